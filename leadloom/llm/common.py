@@ -106,13 +106,11 @@ def bitmap(df: DataFrame, column, bits: int):
     """Which of `bits` positions occur in an integer column, as a bool array: at most bits / 8 bytes reach the driver."""
     from pyspark.sql import functions as F
 
-    rows = df.select(F.pmod(column, F.lit(bits)).alias("p")).groupBy(F.bitmap_bucket_number(F.col("p")).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p"))).alias("b")).collect()
+    rows = df.select((F.pmod(column, F.lit(bits)) + 1).alias("p")).groupBy(F.bitmap_bucket_number(F.col("p")).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p"))).alias("b")).collect()
     out = np.zeros(bits, bool)
     for k, b in rows:
+        # Bucket k has the values from (k - 1) * 32768 + 1 on.
         at = (k - 1) * 32768
-        piece = np.unpackbits(np.frombuffer(bytes(b), np.uint8), bitorder="little")
-        # bucket k holds the positions (k-1)*32768+1 .. k*32768, position p at bit (p-1) % 32768; bucket 0 does not occur for p >= 0 but for p = 0
-        out_at = np.arange(len(piece)) + at
-        keep = piece.astype(bool) & (out_at >= 0) & (out_at < bits)
-        out[out_at[keep]] = True
+        piece = np.unpackbits(np.frombuffer(bytes(b), np.uint8), bitorder="little")[: bits - at]
+        out[at : at + len(piece)] |= piece.astype(bool)
     return out

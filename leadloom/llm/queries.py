@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import line_dedup, packing
+from leadloom.llm import line_dedup, near_duplicates, packing
 from leadloom.llm.common import table
 from leadloom.llm.tokenize import vocabulary
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -22,11 +26,34 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op5_line_dedup": op5_line_dedup,
     "op7_packing": op7_packing,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+          FROM documents
+        ), sets AS (
+          SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s
+          FROM words
+        ), members AS (
+          SELECT doc_id, len(s) AS n, unnest(s) AS m FROM sets
+        ), links AS (
+          SELECT a.doc_id AS a, b.doc_id AS b FROM members a JOIN members b ON a.m = b.m AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), reach AS (
+          SELECT a AS doc_id, b AS other FROM links
+          UNION
+          SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a
+        )
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(min(r.other), s.doc_id)) AS component_id
+        FROM sets s LEFT JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.s
+    """,
     "op5_line_dedup": r"""
         WITH lines AS (
           SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i
