@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadloom.llm.common import partitions, stage
 
@@ -131,7 +132,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
         docs = docs.drop("n_lines", "n_dropped")
     marks = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("n_lines").alias("_size"), F.col("keep").alias("_keep"))
     joined = docs.join(marks, docs["doc_id"].eqNullSafe(marks["_doc"]) & (F.xxhash64(docs["text"]) == marks["_hash"]), "left").drop("_doc", "_hash", "_size")
-    schema = docs.schema.add("n_lines", "long").add("n_dropped", "long")
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at = docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
