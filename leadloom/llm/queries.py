@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import line_dedup, near_duplicates, packing, suffix_dedup, toxicity
+from leadloom.llm import decontamination, line_dedup, near_duplicates, packing, suffix_dedup, toxicity
 from leadloom.llm.common import table
 from leadloom.llm.tokenize import vocabulary
 
@@ -37,12 +37,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.checksums(packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
