@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import decontamination, line_dedup, near_duplicates, packing, quality, suffix_dedup, toxicity
-from leadloom.llm.common import table
+from leadloom.llm import decontamination, line_dedup, near_duplicates, packing, pii, quality, suffix_dedup, toxicity
+from leadloom.llm.common import stage, table
 from leadloom.llm.tokenize import vocabulary
 
 
@@ -42,6 +42,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.checksums(packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Candidates are a small part of the texts: they are written once, fitted to and classified.
+    found = stage(pii.candidates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "pii")
+    spans = pii.classify(found, pii.fit(found))
+    base = F.filter("candidates", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return spans.select("doc_id", *counts, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("candidates")).alias("spans"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
+    "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
 }
 
