@@ -55,6 +55,7 @@ class Encoder:
         for token, k in known.items():
             self.begins[k] = token.startswith("Ġ")
         self.mark = self.whole("\x01" if self.drops_blanks else "\n")
+        self.bytes_of: list[bytes] | None = None
         self._forget()
 
     def _forget(self) -> None:
@@ -170,6 +171,18 @@ class Encoder:
                 parts.append(ids[cut[i] : cut[i + 1]])
         return np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)])
 
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids of a byte-level vocabulary, exactly as it was encoded."""
+        if self.bytes_of is None:
+            # Printable Latin-1 characters stand for their bytes, further code points for the other bytes in order.
+            plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            codes = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in plain)}
+            known = self.tokenizer.get_vocab()
+            self.bytes_of = [b""] * (max(known.values()) + 1)
+            for token, k in known.items():
+                self.bytes_of[k] = bytes(codes[c] for c in token) if all(c in codes for c in token) else token.encode()
+        return b"".join([self.bytes_of[i] for i in ids.tolist()]).decode()
+
     def texts(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null as empty."""
         raw = [(t or "").encode() for t in texts]
