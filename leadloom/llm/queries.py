@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import chat, decontamination, line_dedup, near_duplicates, packing, pii, quality, suffix_dedup, toxicity
+from leadloom.llm import chat, decontamination, line_dedup, near_duplicates, packing, pii, quality, suffix_dedup, token_store, toxicity
 from leadloom.llm.common import stage, table
 from leadloom.llm.tokenize import vocabulary
 
@@ -54,6 +54,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.checksums(packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = token_store.write(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
+    return token_store.read(store).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Candidates are a small part of the texts: they are written once, fitted to and classified.
     found = stage(pii.candidates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "pii")
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
+    "op8_token_store": op8_token_store,
     "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
 }
