@@ -1,0 +1,127 @@
+"""Discovery: URL gate, duplicates among candidates, yield of query families, places."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from leadloom.functions.urls import host
+from leadloom.operators.relational import streaks
+
+#: Hosts that are no company's own site, by class.
+HOST_CLASSES = {
+    "SOCIAL_PROFILE": ("facebook.com", "instagram.com", "linkedin.com", "twitter.com", "x.com", "youtube.com", "tiktok.com", "pinterest.com"),
+    "DIRECTORY": ("yelp.com", "yellowpages.com", "bbb.org", "crunchbase.com", "zoominfo.com", "manta.com", "glassdoor.com", "indeed.com"),
+    "NEWS": ("forbes.com", "bloomberg.com", "nytimes.com", "reuters.com", "medium.com"),
+    "SEARCH": ("google.com", "bing.com", "wikipedia.org"),
+}
+#: Zero-yield batches in a row after which a family that is not required is left.
+STOP_AFTER = 3
+#: Degrees of latitude and longitude within which places may be one.
+NEAR = 0.02
+
+
+def host_class(name: Column) -> Column:
+    """The class of a host or of the site that it is under; null for any other."""
+    out = F.when(name.isNull(), None)
+    for kind, hosts in HOST_CLASSES.items():
+        out = out.when(name.rlike(r"(^|\.)(" + "|".join(h.replace(".", r"\.") for h in hosts) + ")$"), kind)
+    return out
+
+
+def reject_url(url: Column) -> Column:
+    """Why a URL is no candidate's site; null if it may be one."""
+    path = F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
+    return (
+        F.when(~F.coalesce(url, F.lit("")).rlike(r"^https?://[^/]+"), "INVALID_URL")
+        .when(host_class(host(url)).isNotNull(), F.concat(host_class(host(url)), F.lit("_HOST")))
+        .when(path.rlike(r"/(top|best|list)[-_/]|/(directory|category|tag|search)(/|$)"), "LIST_PAGE")
+    )
+
+
+def identity_keys(external_id: Column, website: Column, name: Column, city: Column, state: Column) -> Column:
+    """What makes two candidates one: id, site, or name and place."""
+    tidy = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    place = F.when((tidy(name) != "") & (F.trim(city) != ""), F.concat(F.lit("place:"), tidy(name), F.lit("|"), F.lower(F.trim(city)), F.lit("|"), F.lower(F.trim(F.coalesce(state, F.lit(""))))))
+    keys = F.array(F.when(external_id != "", F.concat(F.lit("id:"), external_id)), F.concat(F.lit("website:"), host(F.nullif(website, F.lit("")))), place)
+    return F.array_compact(keys)
+
+
+def duplicate_pairs(candidates: DataFrame) -> DataFrame:
+    """Ordered pairs of candidates (id, keys) that share a key."""
+    one = candidates.select("id", F.explode("keys").alias("key")).distinct()
+    other = one.select(F.col("id").alias("b"), "key")
+    return one.withColumnRenamed("id", "a").join(other, "key").filter("a < b").select("a", "b").distinct()
+
+
+def first_wins(candidates: DataFrame, block: str) -> DataFrame:
+    """Candidates in order of id, within each block, that share no key with one accepted before.
+
+    A dropped candidate's keys are not remembered, so the result depends on the order. Blocks are worked
+    on side by side; a block must hold all candidates that can share a key, and is one task's work.
+    """
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        seen: set[str] = set()
+        kept = []
+        for i, keys in zip(rows["id"], rows["keys"]):
+            fresh = not seen.intersection(keys)
+            kept.append(fresh)
+            if fresh:
+                seen.update(keys)
+        return rows[kept]
+
+    return candidates.groupBy(block).applyInPandas(lambda rows: fold(rows.sort_values("id")), candidates.schema)
+
+
+def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (left.id, right.id) that lie within NEAR degrees: an equi-join on grid cells, then the exact test.
+
+    Both have id, lat and lon. A row on the left stands in the nine cells around it.
+    """
+    cell = lambda c: F.floor(F.col(c) / NEAR)
+    around = left.select(F.col("id").alias("a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.explode(F.sequence(cell("lat") - 1, cell("lat") + 1)).alias("x"), cell("lon").alias("_y"))
+    around = around.select("a", "lat_a", "lon_a", "x", F.explode(F.sequence(F.col("_y") - 1, F.col("_y") + 1)).alias("y"))
+    own = right.select(F.col("id").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), cell("lat").alias("x"), cell("lon").alias("y"))
+    return around.join(own, ["x", "y"]).filter((F.abs(F.col("lat_a") - F.col("lat_b")) <= NEAR) & (F.abs(F.col("lon_a") - F.col("lon_b")) <= NEAR)).select("a", "b")
+
+
+def boxes_of_points(points: DataFrame, boxes: DataFrame, cell: float = 1.0) -> DataFrame:
+    """(point, box) for each point in a box (south, west, north, east, ends included): boxes are cut into grid cells."""
+    tiles = boxes.select(F.col("id").alias("box"), "south", "west", "north", "east", F.explode(F.sequence(F.floor(F.col("south") / cell), F.floor(F.col("north") / cell))).alias("x"))
+    tiles = tiles.select("box", "south", "west", "north", "east", "x", F.explode(F.sequence(F.floor(F.col("west") / cell), F.floor(F.col("east") / cell))).alias("y"))
+    own = points.select(F.col("id").alias("point"), "lat", "lon", F.floor(F.col("lat") / cell).alias("x"), F.floor(F.col("lon") / cell).alias("y"))
+    return own.join(tiles, ["x", "y"]).filter(F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))).select("point", "box")
+
+
+def yields(batches: DataFrame) -> DataFrame:
+    """Totals of each family, place and category, and of all: one pass with grouping sets.
+
+    `batches` has family, place, category, raw, accepted, duplicates and rejected.
+    """
+    batches.createOrReplaceTempView("_yield_batches")
+    return batches.sparkSession.sql(
+        """SELECT family, place, category, sum(raw) AS raw, sum(accepted) AS accepted, sum(duplicates) AS duplicates, sum(rejected) AS rejected, count(*) AS batches,
+        round(sum(accepted) / count(*), 4) AS yield_per_query FROM _yield_batches GROUP BY GROUPING SETS ((family), (place), (category), ())"""
+    )
+
+
+def zero_streaks(batches: DataFrame) -> DataFrame:
+    """For each family its streak of batches without a new company at the end, and whether it is left."""
+    marked = streaks(batches, ["family"], ["batch"], F.col("accepted") > 0)
+    last = marked.groupBy("family").agg(F.max_by("streak", "batch").alias("streak"), F.bool_or("required").alias("required"))
+    return last.withColumn("skip", ~F.col("required") & (F.col("streak") >= STOP_AFTER))
+
+
+def priority(raw: Column, accepted: Column, duplicates: Column, rejected: Column, required: Column) -> Column:
+    """What a family's remaining queries are worth: only new companies raise it."""
+    noise = F.when((raw > 0) & (accepted == 0), raw * 3).otherwise(0)
+    return accepted * 100 - duplicates * 15 - rejected * 2 - noise + F.when(required, 25).otherwise(0)
+
+
+def provider_outcomes(attempts: DataFrame, keys: list[str]) -> DataFrame:
+    """Attempts of each key by outcome, and one status for all."""
+    out = attempts.groupBy(*keys).agg(F.count("*").alias("attempted"), *(F.count_if(F.col("outcome") == o).alias(o.lower()) for o in ("SUCCEEDED", "EMPTY", "FAILED", "SKIPPED")))
+    status = F.when(F.col("succeeded") > 0, F.when(F.col("failed") > 0, "PARTIAL").otherwise("COMPLETED")).when(F.col("failed") == F.col("attempted"), "FAILED").when(F.col("skipped") == F.col("attempted"), "SKIPPED").otherwise("EMPTY")
+    return out.withColumn("status", status)

@@ -27,7 +27,7 @@ def status_points(status: Column, most: int) -> Column:
 
 def freshness(newest: Column, as_of: Column) -> Column:
     """3 points up to 30 days, 2 up to 180, 1 beyond, none without evidence."""
-    days = F.greatest(F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros(newest)) / 86400e6)
+    days = F.greatest(F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros(newest.cast("timestamp"))) / 86400e6)
     return F.when(newest.isNull(), 0).when(days <= 30, FRESHNESS).when(days <= 180, 2).otherwise(1)
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from leadloom.plans import evidence_queries, lead_queries
+from leadloom.plans import activity_queries, evidence_queries, lead_queries, text_queries
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (lead_queries, evidence_queries):
+for _module in (lead_queries, evidence_queries, text_queries, activity_queries):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
