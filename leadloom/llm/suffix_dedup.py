@@ -3,7 +3,7 @@
 A suffix array holds a batch's suffixes that start at anchors. An anchor is the position of the
 smallest 8-byte hash among SPAN consecutive ones, so equal strings of LENGTH bytes have an anchor
 at the same place, within SPAN bytes of their start, with CORE equal bytes behind it. An entry is
-ordered by the suffix's first 8 bytes and then by a 64-bit fingerprint of its first CORE bytes:
+ordered by the suffix's first bytes and then by a fingerprint of its first CORE bytes:
 matches of that length are neighbours, which is all that is asked of the order.
 
 The index is a list of levels, each a sorted table, of sizes 1, 2, 4... batches. A new batch is
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import Rolling, chunks, stage
+from leadloom.llm.common import Rolling, bitmap, chunks, stage
 
 #: Bytes of a repeated string that goes.
 LENGTH = 400
@@ -30,10 +30,17 @@ SPAN = 200
 CORE = LENGTH - SPAN + 1
 #: Stands for a missing doc_id, which else is none.
 NO_ID = -(1 << 63)
+#: Bytes of text that a task works on at once.
+SLICE = 1 << 18
 #: Batches in which a table is added to the index.
 BATCHES = 4
 
-ENTRY = "lead long, core long, whole long, doc_id long, row_id long, low int, high int, anchor int"
+#: Bits of an entry that are the suffix's first bytes; the rest are of the fingerprint.
+LEAD_BITS = 16
+#: Bits of the maps that let a second pass leave most texts and entries alone; a clash only lets more through.
+MAP_BITS = 1 << 23
+
+ENTRY = "core long, whole long, doc_id long, row_id long, low int, high int"
 
 
 def smallest(values: np.ndarray, span: int) -> np.ndarray:
@@ -82,34 +89,29 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return doc[first], starts[first], starts[np.append(first[1:] - 1, len(starts) - 1)], at[first]
 
 
-def suffix_array(docs: DataFrame) -> DataFrame:
-    """The sparse suffix array of a batch: an entry for each anchor, unsorted.
+def suffixes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """The entry of each anchor: the suffix's first bytes, then a fingerprint of its first CORE bytes; and anchors()."""
+    found = anchors(data, offsets)
+    anchor = found[3]
+    lead = eights(data)[anchor] >> np.uint64(64 - LEAD_BITS) << np.uint64(64 - LEAD_BITS)
+    return (lead | Rolling(data).hashes(anchor, anchor + CORE) >> np.uint64(LEAD_BITS)).view(np.int64), found
 
-    `low` and `high` are the first and the last start of the strings of the anchor, `whole` a
-    fingerprint of all bytes that these strings cover.
-    """
+
+def suffix_array(docs: DataFrame) -> DataFrame:
+    """The sparse suffix array of a batch: the entry of each anchor, unsorted."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in chunks(batch):
-                doc, low, high, anchor = anchors(data, offsets)
-                rolling = Rolling(data)
-                base = offsets[doc]
-                whole = rolling.hashes(low, high + LENGTH) ^ ((anchor - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                columns = [eights(data)[anchor].view(np.int64), rolling.hashes(anchor, anchor + CORE).view(np.int64), whole.view(np.int64)]
-                own = pa.array(doc)
-                yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, columns), part.column(0).take(own), part.column(1).take(own), *(pa.array((x - base).astype(np.int32)) for x in (low, high, anchor))],
-                    names=[x.split()[0] for x in ENTRY.split(", ")],
-                )
+            for _, data, offsets in chunks(batch, limit=SLICE):
+                yield pa.RecordBatch.from_arrays([pa.array(suffixes(data, offsets)[0])], names=["core"])
 
-    return docs.select("doc_id", "row_id", "text").mapInArrow(entries, ENTRY)
+    return docs.select("text").mapInArrow(entries, "core long")
 
 
 class SuffixIndex:
-    """Levels of sorted entries; `matches` gathers the keys that more than one entry holds.
+    """Levels of sorted entries; `matches` gathers the entries that more than one suffix has.
 
-    A level keeps one row for each (key, whole): rows are counted, not repeated, so a string that
+    A level keeps one row for each entry: suffixes are counted, not repeated, so a string that
     very many documents share is one entry.
     """
 
@@ -119,33 +121,68 @@ class SuffixIndex:
 
     def add(self, entries: DataFrame) -> None:
         """Scan a batch against itself and all levels, then put it in and merge levels of equal size."""
-        level = stage(entries.groupBy("lead", "core").agg(F.count("*").alias("n")).sortWithinPartitions("lead", "core"), "level")
-        self.matches.append(level.filter("n > 1").select("lead", "core"))
+        level = stage(entries.groupBy("core").agg(F.count("*").alias("n")).sortWithinPartitions("core"), "level")
+        self.matches.append(level.filter("n > 1").select("core"))
         for _, other in self.levels:
-            self.matches.append(level.select("lead", "core").join(other.select("lead", "core"), ["lead", "core"]))
+            self.matches.append(level.select("core").join(other.select("core"), "core"))
         size = 1
         while self.levels and self.levels[-1][0] == size:
             _, other = self.levels.pop()
-            level = stage(level.unionByName(other).groupBy("lead", "core").agg(F.sum("n").alias("n")).sortWithinPartitions("lead", "core"), "level")
+            level = stage(level.unionByName(other).groupBy("core").agg(F.sum("n").alias("n")).sortWithinPartitions("core"), "level")
             size *= 2
         self.levels.append((size, level))
 
     def repeated(self) -> DataFrame:
-        """Keys with more than one entry in the index."""
+        """Entries that the index holds more than once."""
         out = self.matches[0]
         for more in self.matches[1:]:
             out = out.unionByName(more)
         return out.distinct()
 
 
+def occurrences(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The suffixes of the entries in `repeated`: where the strings of each anchor lie.
+
+    `low` and `high` are the first and the last start of these strings, `whole` a fingerprint of all
+    bytes that they cover.
+    """
+    wanted = bitmap(repeated, F.col("core"), MAP_BITS)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in chunks(batch, limit=SLICE):
+                core, (doc, low, high, anchor) = suffixes(data, offsets)
+                own = wanted[core % MAP_BITS]
+                core, doc, low, high, anchor = (x[own] for x in (core, doc, low, high, anchor))
+                whole = Rolling(data).hashes(low, high + LENGTH) ^ ((anchor - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                row = pa.array(doc)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(core), pa.array(whole.view(np.int64)), part.column(0).take(row), part.column(1).take(row), *(pa.array((x - offsets[doc]).astype(np.int32)) for x in (low, high))],
+                    names=[x.split()[0] for x in ENTRY.split(", ")],
+                )
+
+    return docs.select("doc_id", "row_id", "text").mapInArrow(look, ENTRY).join(repeated, "core", "left_semi")
+
+
+def with_rows(docs: DataFrame, marked: DataFrame, there: bool = True) -> DataFrame:
+    """The documents that may have a row in `marked` (or, not `there`, the ones that surely have none), so that few texts are dealt out."""
+    wanted = bitmap(marked, F.col("row_id"), MAP_BITS)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted[batch.column(batch.schema.get_field_index("row_id")).to_numpy() % MAP_BITS] == there))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def string_hashes(docs: DataFrame, undecided: DataFrame) -> DataFrame:
     """(string, doc_id, row_id, start): a fingerprint of every LENGTH-byte string of the undecided runs."""
     runs = undecided.groupBy("doc_id", "row_id").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-    asked = docs.join(runs, ["doc_id", "row_id"]).select("doc_id", "row_id", "text", "runs")
+    asked = with_rows(docs, undecided).join(runs, ["doc_id", "row_id"]).select("doc_id", "row_id", "text", "runs")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in chunks(batch):
+            for part, data, offsets in chunks(batch, limit=SLICE):
                 runs = part.column(3)
                 flat = runs.flatten()
                 counts = np.diff(runs.offsets.to_numpy())
@@ -179,12 +216,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     # A row is known by its doc_id and a hash of both columns: rows equal in both get equal results.
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_id"), "text")
-    entries = stage(suffix_array(rows), "suffixes")
     index = SuffixIndex()
     for k in range(BATCHES):
-        index.add(entries.filter(F.pmod(F.xxhash64("row_id"), F.lit(BATCHES)) == k).select("lead", "core"))
+        index.add(suffix_array(rows.filter(F.pmod(F.xxhash64("row_id"), F.lit(BATCHES)) == k)))
     repeated = stage(index.repeated(), "repeated")
-    found = stage(entries.join(repeated, ["lead", "core"], "left_semi").drop("lead", "anchor"), "found")
+    found = stage(occurrences(rows, repeated), "found")
     # A run whose every byte another run repeats is repeated throughout.
     twice = stage(found.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_id", "low", "high")).alias("one")), "wholes")
     open_cores = twice.filter("n = 1").select("core").distinct()
@@ -194,8 +230,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     strings = stage(string_hashes(rows, undecided), "strings")
     again = strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
     single = strings.join(again, "string", "left_semi").select("doc_id", "row_id", F.col("start").alias("low"), F.col("start").alias("high"))
-    spans = marked.unionByName(single).groupBy("doc_id", "row_id").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-    joined = rows.join(spans, ["doc_id", "row_id"], "left").select("doc_id", "row_id", "text", "runs")
+    covered = stage(marked.unionByName(single), "covered")
+    spans = covered.groupBy("doc_id", "row_id").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    joined = with_rows(rows, covered).join(spans, ["doc_id", "row_id"], "left").select("doc_id", "row_id", "text", "runs")
+    whole = with_rows(rows, covered, there=False).withColumn("runs", F.lit(None).cast("array<struct<low:int,high:int>>"))
+    joined = joined.unionByName(whole.select(joined.columns))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
