@@ -88,7 +88,9 @@ def pack(docs: DataFrame, vocabulary_path: str, seed: int = 17) -> DataFrame:
     are packed as documents of their own. An empty table gives no rows.
     """
     groups = max(1, -(-docs.count() // GROUP_DOCUMENTS))
-    dealt = pieces(docs, vocabulary_path).withColumn("pack_group", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)))
+    # Rows without an id are told apart by their ids' checksum, so that they are spread too.
+    own = F.when(F.col("doc_id").isNull(), F.crc32("ids"))
+    dealt = pieces(docs, vocabulary_path).withColumn("pack_group", F.pmod(F.xxhash64("doc_id", own, F.lit(seed)), F.lit(groups)))
     shuffled = dealt.repartition(min(groups, partitions(docs.sparkSession)), "pack_group")
 
     def fit(group: pa.Table) -> pa.Table:
