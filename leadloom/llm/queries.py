@@ -86,6 +86,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_quality_rules": r"""
+        WITH w AS (
+          SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+            string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+        ), windows AS (
+          SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: {'i': i, 'k': w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]})) AS x FROM w
+        ), again AS (
+          SELECT doc_id, x.i AS i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, x.k) > 1
+        ), covered AS (
+          SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id
+        ), counts AS (
+          SELECT doc_id, t, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+            (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+            (len(list_filter(ls, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(ls, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+            coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN covered USING (doc_id)
+        ), lines AS (
+          SELECT doc_id, n_symbols > 0 AS dense, length(trim(raw, ' ')) AS chars, regexp_replace(regexp_replace(raw, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS l
+          FROM (SELECT doc_id, n_symbols, unnest(string_split(t, chr(10))) AS raw FROM counts)
+        ), judged AS (
+          SELECT doc_id, chars, l <> '' AND (
+              NOT (regexp_matches(right(l, 8), '[.!?…:;。！？]["''”’»)\]]*$') OR regexp_matches(l, '[.!?…:;]["''”’»)\]]*\s'))
+              OR regexp_matches(l, '[!?]{2,}\s+\S+[!?]{2,}')
+              OR (dense AND (length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g'))) * 20 > length(l))
+              OR regexp_matches(l, '(\s[|»>·•/]\s.*){2,}')
+              OR (length(l) <= 120 AND regexp_matches(lower(l), 'all rights reserved|\blicen[sc]ed? under\b|released under the|terms of (use|service)|privacy policy|cookie|javascript|copyright|subscribe|newsletter|sign (in|up)|log ?in|click here|lorem ipsum|powered by|share this'))
+            ) AS gone FROM lines
+        ), lost AS (
+          SELECT doc_id, sum(chars) AS chars, coalesce(sum(chars) FILTER (WHERE gone), 0) AS lost FROM judged GROUP BY doc_id
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+          NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost <= 40 * chars AS kept FROM counts JOIN lost USING (doc_id)
+    """,
+    "op4_chat_formatting": r"""
+        WITH turns AS (
+          SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ), sized AS (
+          SELECT *, length(replace(replace(replace(text, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>')) AS n,
+            length(replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>'), ':', '\:')) AS r FROM turns
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+          coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+          sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(15 + r + n)::BIGINT AS formatted_chars
+        FROM sized GROUP BY conv_id
+    """,
     "op2_ngram_jaccard_join": r"""
         WITH RECURSIVE words AS (
           SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
