@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -113,3 +113,40 @@ def title_role(title: Column) -> Column:
     for word, role in (("FOUNDER", "FOUNDER"), ("CHIEF EXECUTIVE", "CEO"), ("CEO", "CEO"), ("OWNER", "OWNER"), ("PRESIDENT", "PRESIDENT"), ("MANAGING PARTNER", "MANAGING PARTNER"), ("PARTNER", "PARTNER"), ("DIRECTOR", "DIRECTOR"), ("MANAGER", "MANAGER")):
         out = out.when(upper.contains(word), role)
     return out.otherwise(upper)
+
+
+#: US states by name, spaces left out, and their codes.
+STATES = {
+    "alabama": "AL", "alaska": "AK", "arizona": "AZ", "arkansas": "AR", "california": "CA", "colorado": "CO", "connecticut": "CT", "florida": "FL", "georgia": "GA", "illinois": "IL",
+    "newyork": "NY", "northcarolina": "NC", "ohio": "OH", "oklahoma": "OK", "oregon": "OR", "pennsylvania": "PA", "texas": "TX", "utah": "UT", "virginia": "VA", "washington": "WA", "wisconsin": "WI",
+}
+
+
+def state_code(text: Column) -> Column:
+    """Two letters in upper case, the code of a known name, or the trimmed text."""
+    tidy = F.trim(text)
+    names = F.create_map(*(F.lit(x) for kv in STATES.items() for x in kv))
+    known = F.try_element_at(names, F.regexp_replace(F.lower(tidy), r"\s+", ""))
+    return F.when(tidy.rlike("^[A-Za-z]{2}$"), F.upper(tidy)).otherwise(F.coalesce(known, tidy))
+
+
+def postal_code(text: Column) -> Column:
+    """Upper case without blanks."""
+    return F.upper(F.regexp_replace(text, r"\s+", ""))
+
+
+def source_email(text: Column) -> Column:
+    """An address in lower case if it looks like one, else null."""
+    low = F.lower(F.trim(text))
+    return F.when(low.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), low)
+
+
+def query_signature(text: Column) -> Column:
+    """A query's letters and digits in lower case, one blank between words."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), r"\s+", " "))
+
+
+def address_parts(text: Column) -> list[Column]:
+    """Street, city, state and ZIP of `street, city, ST 12345`."""
+    pattern = r"([0-9]+ [A-Za-z0-9 .'-]+), ([A-Za-z .'-]+), ([A-Z]{2}) ([0-9]{5}(?:-[0-9]{4})?)"
+    return [F.nullif(F.regexp_extract(text, pattern, i), F.lit("")).alias(n) for i, n in enumerate(("street", "city", "state", "zip"), 1)]

@@ -54,3 +54,25 @@ def same_site(left: Column, right: Column) -> Column:
     """Equal hosts, or one under the other."""
     a, b = host(left), host(right)
     return (a == b) | a.endswith(F.concat(F.lit("."), b)) | b.endswith(F.concat(F.lit("."), a))
+
+
+#: Query parameters that a crawl leaves out beside the tracking ones.
+CRAWL_EXTRA = ("msclkid", "mc_cid", "mc_eid", "ref", "source")
+
+
+def crawl_url(url: Column) -> Column:
+    """Crawl form: no user, default port, www., fragment or tracking; a page named index is its folder."""
+    query = F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))
+    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(*TRACKING, *CRAWL_EXTRA)), "&")
+    path = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), r"/index\.(html?|php)$", "/")
+    path = F.when(path == "", "/").otherwise(path)
+    scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
+    port = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*:([0-9]+)", 1)
+    shown = F.when((port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")), "").otherwise(F.concat(F.lit(":"), port))
+    return F.concat(scheme, F.lit("://"), host(url), shown, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
+
+
+def source_website(url: Column) -> Column:
+    """A source row's website: lower case, no fragment, no trailing slash; null unless http or https."""
+    tidy = F.regexp_replace(F.regexp_replace(F.lower(F.trim(url)), "#.*$", ""), "/$", "")
+    return F.when(tidy.rlike("^https?://[^/]+"), tidy)
