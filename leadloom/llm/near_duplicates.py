@@ -182,7 +182,8 @@ def postings(docs: DataFrame, wanted: np.ndarray, small: int, frequent: np.ndarr
     """The keys of each document: subset hashes of a small set, the rarest members of one that large sets can reach.
 
     Members are ordered by how frequent they are, in powers of two, then by hash. `frequent` is sorted;
-    frequent[i] occurs about counts[i] times, and its list is dealt over blocks of BLOCK. `wanted` maps the documents that stand for a set;
+    frequent[i] occurs about counts[i] times, and its list is dealt over blocks of BLOCK, from 1 on; a list
+    that stays whole is block 0. `wanted` maps the documents that stand for a set;
     a copy that slips through only makes its links twice.
     """
 
@@ -206,7 +207,8 @@ def postings(docs: DataFrame, wanted: np.ndarray, small: int, frequent: np.ndarr
                 docs_ = part.column(0).to_numpy(zero_copy_only=False)
                 key, who, block = sets[taken], owner[taken], np.zeros(len(taken), np.int32)
                 hot = known[taken]
-                block[hot] = mix(docs_[who[hot]].astype(np.uint64)) % blocks[place[taken[hot]]]
+                several = blocks[place[taken[hot]]]
+                block[hot] = np.where(several > 1, mix(docs_[who[hot]].astype(np.uint64)) % several + np.uint64(1), 0)
                 more_keys, more_who = [], []
                 for i in np.flatnonzero((sizes > 0) & (sizes <= small)).tolist():
                     members = sets[at[i] : at[i + 1]]
@@ -228,7 +230,10 @@ LISTED = "key long, block int, doc_id long, n_shingles int, leader long, leader_
 
 
 def shared_lists(posted: DataFrame) -> DataFrame:
-    """The postings of keys with more than one document, each with the first document of its block."""
+    """The postings of keys with more than one document, each with the first document of its block.
+
+    Of a list dealt over several blocks a document alone in its block stays: it may meet those of other blocks.
+    """
     dealt = posted.repartition(partitions(posted.sparkSession), "key", "block").sortWithinPartitions("key", "block", "n_shingles", "doc_id")
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +253,7 @@ def shared_lists(posted: DataFrame) -> DataFrame:
             leaders = doc[heads] if new[0] else np.concatenate([[state[2]], doc[heads]])
             sizes = (size[heads] if new[0] else np.concatenate([[state[3]], size[heads]])).astype(np.int32)
             follows = np.append(~new[1:], False)
-            keep = ~new | follows
+            keep = ~new | follows | (block > 0)
             out = [x[keep] for x in (key, block, doc, size, leaders[group], sizes[group])]
             if not new[0] and not state[4]:
                 # The leader was the last row of the batch before and seemed alone.

@@ -102,6 +102,25 @@ def test_near_duplicates_of_random_sets(spark):
     assert {r["doc_id"]: r["component_id"] for r in found} == known
 
 
+@pytest.mark.parametrize("block", [1, 2])
+def test_near_duplicates_of_many_exact_copies(spark, monkeypatch, block):
+    # Lists are dealt by the number of copies, while few documents stand for them: each may be alone in its block.
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    rng = random.Random(17)
+    rows = []
+    for group in range(12):
+        base = [f"g{group}w{i}" for i in range(120)]
+        for k in range(30 + 2):
+            copy = list(base)
+            if k >= 30:
+                copy[rng.randrange(30, 90)] = f"new{group}x{k}"
+            rows.append((len(rows), " ".join(copy)))
+    known = components([(i, shingles(t)) for i, t in rows])
+    assert len(set(known.values())) == 12
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == known
+
+
 def test_parity_maps_never_rule_out_a_link():
     rng = np.random.default_rng(3)
     for _ in range(200):
