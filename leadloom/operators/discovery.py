@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import tempfile
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,24 +58,45 @@ def duplicate_pairs(candidates: DataFrame) -> DataFrame:
     return one.withColumnRenamed("id", "a").join(other, "key").filter("a < b").select("a", "b").distinct()
 
 
-def first_wins(candidates: DataFrame, block: str) -> DataFrame:
-    """Candidates in order of id, within each block, that share no key with one accepted before.
+def completeness(*fields: Column) -> Column:
+    """How many of a candidate's fields are filled."""
+    return sum((F.when(f != "", 1).otherwise(0) for f in fields), F.lit(0))
 
-    A dropped candidate's keys are not remembered, so the result depends on the order. Blocks are worked
-    on side by side; a block must hold all candidates that can share a key, and is one task's work.
-    """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        seen: set[str] = set()
-        kept = []
-        for i, keys in zip(rows["id"], rows["keys"]):
-            fresh = not seen.intersection(keys)
-            kept.append(fresh)
-            if fresh:
-                seen.update(keys)
-        return rows[kept]
-
-    return candidates.groupBy(block).applyInPandas(lambda rows: fold(rows.sort_values("id")), candidates.schema)
+def _settled(rows: DataFrame) -> DataFrame:
+    """`rows`, computed once into the checkpoint folder; one is made only where none is configured."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="leadloom-"))
+    return rows.checkpoint()
+
+
+def first_wins(candidates: DataFrame, block: str | None = None, order: Sequence[str | Column] = ()) -> DataFrame:
+    """Candidates by `order`, then id, that share no key with one accepted before; of one block, if that is given.
+
+    A dropped candidate's keys are not remembered, so the result depends on the order. Worked in rounds
+    over all rows: a candidate that comes first on each of its keys is accepted, those that share a key
+    with it go, and the rest are judged anew, until none is left. There are as many rounds as the longest
+    chain of decisions that wait for one another, few unless keys are chained in the very order of the rows.
+    """
+    whole = _settled(candidates.withColumn("_row", F.monotonically_increasing_id()))
+    # Rows without an id come last; equal ones keep the order in which they were read.
+    rank = F.struct(*order, F.col("id").isNull().alias("_last"), "id", "_row").alias("_rank")
+    scope = (F.col(block) if block else F.lit(0)).alias("_scope")
+    left = whole.select("_row", rank, scope, F.explode(F.array_distinct("keys")).alias("_k")).select("_row", "_rank", F.struct("_scope", "_k").alias("_key"))
+    left = _settled(left)
+    dropped = []
+    while not left.isEmpty():
+        firsts = left.groupBy("_key").agg(F.min("_rank").alias("_first"))
+        judged = left.join(firsts, "_key").withColumn("_leads", F.col("_first").eqNullSafe(F.col("_rank")))
+        accepted = _settled(judged.groupBy("_row").agg(F.bool_and("_leads").alias("_leads")).filter("_leads").select("_row"))
+        taken = left.join(accepted, "_row", "left_semi").select("_key")
+        open_ = left.join(accepted, "_row", "left_anti")
+        out = _settled(open_.join(taken, "_key", "left_semi").select("_row").distinct())
+        dropped.append(out)
+        left = _settled(open_.join(out, "_row", "left_anti"))
+    gone = reduce(DataFrame.unionByName, dropped) if dropped else whole.select("_row").limit(0)
+    return whole.join(gone, "_row", "left_anti").select(*candidates.columns)
 
 
 def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import size, text, urls
 from leadloom.operators import discovery, evidence, export, leads, relational
+from leadloom.plans import activity_queries
 from leadloom.plans.search_plan import SearchPlan, parse_prompts
 from leadloom.streaming import usage as stream
 
@@ -74,6 +76,37 @@ def test_streaks_and_greedy_first_wins(spark):
     assert sorted(r["id"] for r in discovery.first_wins(found, "block").collect()) == [1, 3, 4]
 
 
+def greedy(rows):
+    seen, kept = set(), []
+    for i, keys in rows:
+        if not seen.intersection(keys or ()):
+            seen.update(keys or ())
+            kept.append(i)
+    return sorted(kept)
+
+
+def test_first_wins_in_rounds_equals_one_pass(spark):
+    rng = random.Random(3)
+    rows = [(i, None if i % 50 == 7 else rng.sample("abcdefghijklmnopqrstuvwxyz0123456789", rng.randint(0, 3)), rng.randint(0, 2)) for i in range(150)]
+    # The last is a repeated row.
+    rows.append(rows[20])
+    found = spark.createDataFrame(rows, "id int, keys array<string>, filled int").repartition(3)
+    by_id = sorted(rows, key=lambda r: r[0])
+    assert sorted(r["id"] for r in discovery.first_wins(found).collect()) == greedy((r[0], r[1]) for r in by_id)
+    ranked = sorted(by_id, key=lambda r: -r[2])
+    assert sorted(r["id"] for r in discovery.first_wins(found, order=[-F.col("filled")]).collect()) == greedy((r[0], r[1]) for r in ranked)
+
+
+def test_greedy_queries_compare_all_candidates(spark, sf_dir):
+    ids = sorted(r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect())
+    keys = {i: [f"id{i % 211}", f"site{i % 173}"] for i in ids}
+    filled = lambda i: 1 + sum(i % n == 0 for n in (2, 3, 5, 7, 11))
+    assert sorted(r["id"] for r in activity_queries.discovery_dedupe_greedy(spark, sf_dir).collect()) == greedy((i, keys[i]) for i in ids)
+    got = activity_queries.discovery_dedupe_ranked(spark, sf_dir).collect()
+    assert sorted(r["id"] for r in got) == greedy((i, keys[i]) for i in sorted(ids, key=lambda i: (-filled(i), i)))
+    assert all(r["completeness"] == filled(r["id"]) for r in got)
+
+
 def test_pages_and_filters_are_checked(spark):
     with pytest.raises(ValueError):
         relational.page(spark.range(3), [F.col("id")], 0, 10)
