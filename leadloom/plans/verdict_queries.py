@@ -82,12 +82,26 @@ def person_identity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
       claims < 2 OR (names <= 1 AND websites <= 1 AND phones <= 1) AS same_entity FROM t"""
 )
 def entity_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Do an entity's sources agree on its name, site and phone?"""
+    """E6 over every fourth order only: do an entity's sources agree on its name, site and phone? entity_agreement_all takes all."""
+    return V.agreement(_claims(A.table(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0")), "company_id")
+
+
+def _claims(orders: DataFrame) -> DataFrame:
     o, c = F.col("o_orderkey"), F.col("o_custkey")
-    claims = A.table(spark, sf_dir, "orders").filter(o % 4 == 0).select(
+    return orders.select(
         c.alias("company_id"), F.concat(F.lit("Co"), (c % 7).cast("string")).alias("name"), F.concat(F.lit("https://s"), (o % 2).cast("string"), F.lit(".example")).alias("website"), F.when(o % 3 == 0, "555-01").otherwise("").alias("phone")
     )
-    return V.agreement(claims, "company_id")
+
+
+@query(
+    """WITH c AS (SELECT o_custkey AS company_id, 'Co' || (o_custkey % 7) AS name, 'https://s' || (o_orderkey % 2) || '.example' AS website, CASE WHEN o_orderkey % 3 = 0 THEN '555-01' ELSE '' END AS phone FROM orders),
+    t AS (SELECT company_id, count(*) AS claims, count(DISTINCT lower(name)) AS names, count(DISTINCT website) AS websites, count(DISTINCT nullif(regexp_replace(phone, '[^0-9]', '', 'g'), '')) AS phones FROM c GROUP BY 1)
+    SELECT company_id, claims, names, websites, phones, CASE WHEN claims < 2 THEN 0.6 ELSE round(CASE WHEN names <= 1 THEN 0.4 ELSE 0 END + CASE WHEN websites <= 1 THEN 0.35 ELSE 0 END + CASE WHEN phones <= 1 THEN 0.25 ELSE 0 END, 2) END::DOUBLE AS confidence,
+      claims < 2 OR (names <= 1 AND websites <= 1 AND phones <= 1) AS same_entity FROM t"""
+)
+def entity_agreement_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Do an entity's sources agree on its name, site and phone? All orders."""
+    return V.agreement(_claims(A.table(spark, sf_dir, "orders")), "company_id")
 
 
 _PEOPLE = [("Ada Example", True), ("Read More", False), ("Ada", False), ("ada example", False), ("Mary-Jane O’Neil", False), ("Jean-Luc Picard", True), ("Acme Holdings", False), ("A B C D E", False)]
@@ -187,8 +201,14 @@ def query_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT s_suppkey AS id, coalesce(list_position(['FOUNDER', 'CEO', 'OWNER'], r), 99)::BIGINT AS priority FROM (SELECT s_suppkey, ['OWNER', 'CEO', 'MANAGER', 'FOUNDER'][s_suppkey % 4 + 1] AS r FROM supplier) ORDER BY priority, id LIMIT 30")
 def role_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contacts by the place of their role among the wanted ones."""
+    """The first 30 contacts by the place of their role among the wanted ones. role_priority_all has all."""
+    return role_priority_all(spark, sf_dir).limit(30)
+
+
+@query("SELECT s_suppkey AS id, coalesce(list_position(['FOUNDER', 'CEO', 'OWNER'], r), 99)::BIGINT AS priority FROM (SELECT s_suppkey, ['OWNER', 'CEO', 'MANAGER', 'FOUNDER'][s_suppkey % 4 + 1] AS r FROM supplier) ORDER BY priority, id")
+def role_priority_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All contacts, by the place of their role among the wanted ones."""
     role = F.get(F.array(*map(F.lit, ("OWNER", "CEO", "MANAGER", "FOUNDER"))), (F.col("s_suppkey") % 4).cast("int"))
     place = F.array_position(F.array(*map(F.lit, ("FOUNDER", "CEO", "OWNER"))), role)
     rows = A.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.when(place == 0, 99).otherwise(place).cast("long").alias("priority"))
-    return rows.orderBy("priority", "id").limit(30)
+    return rows.orderBy("priority", "id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import size, text, urls
 from leadloom.operators import discovery, evidence, export, leads, relational
-from leadloom.plans import activity_queries
+from leadloom.plans import activity_queries, catalogue
 from leadloom.plans.search_plan import SearchPlan, parse_prompts
 from leadloom.streaming import usage as stream
 
@@ -107,6 +107,17 @@ def test_greedy_queries_compare_all_candidates(spark, sf_dir):
     assert all(r["completeness"] == filled(r["id"]) for r in got)
 
 
+def test_queries_over_whole_tables(spark, sf_dir):
+    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    claims = {r["company_id"]: r["claims"] for r in catalogue.QUERIES["entity_agreement_all"](spark, sf_dir).collect()}
+    assert claims == {r["o_custkey"]: r["count"] for r in table("orders").groupBy("o_custkey").count().collect()}
+    shown = catalogue.QUERIES["latest_verification_breakdown_all"](spark, sf_dir)
+    assert {r[0] for r in shown.select(F.col("company_id") % 3).distinct().collect()} == {0, 1, 2}
+    placed = [(r["priority"], r["id"]) for r in catalogue.QUERIES["role_priority_all"](spark, sf_dir).collect()]
+    places = {0: 3, 1: 2, 2: 99, 3: 1}
+    assert placed == sorted((places[r[0] % 4], r[0]) for r in table("supplier").select("s_suppkey").collect())
+
+
 def test_pages_and_filters_are_checked(spark):
     with pytest.raises(ValueError):
         relational.page(spark.range(3), [F.col("id")], 0, 10)
