@@ -52,11 +52,17 @@ def url_canonical_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
 def text_normalize_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normal form of texts that are ASCII."""
+    """T1 over English texts that are ASCII only: normal form. text_normalize takes all documents."""
     docs = A.table(spark, sf_dir, "documents").filter((F.col("lang") == "en") & ~F.col("text").rlike(r"[^\x00-\x7F]"))
     return docs.select("doc_id", T.normal_ascii(F.col("text")).alias("plain"))
 
 
+@query()
+def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1, and T7 of a single part: normal form of the text of every document, decomposed (NFKD), which SQL cannot do."""
+    return A.table(spark, sf_dir, "documents").select("doc_id", T.normal_text(F.col("text")).alias("plain"))
+
+
 @query("SELECT * FROM (VALUES ('ABC Home Buyers, LLC', 'abc home buyers'), ('résumé Inc', 're sume'), ('L.L.C. Oak', 'oak'), (NULL, '')) v(raw, plain)")
 def text_normalize_nfkd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks become blanks; legal forms go wherever they stand."""

@@ -1,4 +1,6 @@
 import random
+import re
+import unicodedata
 from datetime import datetime, timedelta
 
 import pytest
@@ -118,6 +120,19 @@ def test_queries_over_whole_tables(spark, sf_dir):
     assert placed == sorted((places[r[0] % 4], r[0]) for r in table("supplier").select("s_suppkey").collect())
 
 
+def test_normal_text_of_all_documents(spark, tmp_path):
+    texts = ["Plain, ASCII text!", "Das Gebäude  für Bücher", "“Curly” quotes’ end", "ﬁne ＷＩＤＥ Ⅳ ½ x²", "a\u00a0b\u2003c\u2028d\ufeffe", "İstanbul ŒUVRE ß", "日本語 text", "e\u0301te\u0301", " \t\n", "", None]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate((t, lang) for t in texts for lang in ("en", "de", None))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def plain(text):
+        kept = re.sub(r"[^a-z0-9\s]", " ", unicodedata.normalize("NFKD", (text or "").lower()))
+        return " ".join(kept.split())
+
+    got = {r["doc_id"]: r["plain"] for r in catalogue.QUERIES["text_normalize"](spark, str(tmp_path)).collect()}
+    assert got == {i: plain(t) for i, t, _ in rows}
+
+
 def test_pages_and_filters_are_checked(spark):
     with pytest.raises(ValueError):
         relational.page(spark.range(3), [F.col("id")], 0, 10)
