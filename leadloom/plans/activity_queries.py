@@ -274,6 +274,6 @@ def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def prompt_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What users' prompts ask for; free text, so rows only."""
+    """X34, and the count, size and place of P1: what users' prompts ask for; free text, so rows only."""
     prompts = A.table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
     return search_plan.parse_prompts(prompts, "text").drop("text")
