@@ -12,28 +12,26 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import Rolling, bitmap, chunks, mix, partitions, stage
+from leadloom.llm.common import Rolling, bitmap, chunks, discard, fresh, map_bits, mix, partitions, stage
 
 #: Words of a shingle; two sets link when 100 * intersection >= PERCENT * union.
 WORDS = 5
 PERCENT = 80
-#: Sizes among which the boundary between small and large sets is sought.
-SMALL_SIZES = 24
-#: What following one inverted list costs, in subset keys.
-LIST_COST = 4.0
+#: Bytes of text that a task works on at once.
+SLICE = 1 << 19
+#: Sizes beyond which the subsets of one set are more than 10^8: never the cheaper way.
+ENUMERABLE = 64
 #: Frequent shingles that are moved to the end of the order of all shingles (8 bytes each are broadcast);
 #: the order decides how long lists get, never which links are found.
 FREQUENT = 1 << 18
-#: Documents of one slice of a batch from which a shingle is reported as frequent, and of all.
-SLICE_OFTEN, OFTEN = 3, 24
-#: Pairs across components, for each row of their lists, up to which all of them are compared at once.
-FEW = 4
-#: A further leader is tried while the one before left at most this part of the pairs.
-WORTH = 0.8
+#: Documents of one slice from which a shingle is reported as frequent, and of all.
+SLICE_OFTEN, OFTEN = 2, 8
 #: Members of one block of the list of a frequent shingle, about.
 BLOCK = 4096
-#: Bits of the maps of documents that stand for a set or have a candidate; a clash only lets one more document through.
-MAP_BITS = 1 << 23
+#: Members of a star that one cell compares with each other, about.
+TILE = 4096
+#: Rounds in which a star only proposes a forest of links, before all pairs that may link are proposed.
+FORESTS = 2
 
 _MULTIPLIERS = mix(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
@@ -108,15 +106,24 @@ def prefix_length(size: int) -> int:
     return size - -(-PERCENT * size // 100) + 1
 
 
-def boundary(histogram: dict[int, int]) -> int:
-    """The size up to which sets enumerate subsets, at the least cost over the documents' sizes."""
+def boundary(histogram: dict[int, int], list_rows: float) -> int:
+    """The size up to which sets enumerate subsets, at the least cost over the documents' sizes.
 
-    def cost(x: int) -> float:
-        enumerated = sum(n * subset_keys(s) for s, n in histogram.items() if s <= x)
-        scanned = sum(n * prefix_length(s) * LIST_COST for s, n in histogram.items() if max(partner_sizes(s)) > x)
-        return enumerated + scanned
+    A subset costs one key; a member to look up costs one key and the `list_rows` other rows of its list.
+    """
+    sizes = range(0, ENUMERABLE + 1)
+
+    def scanned(x: int) -> float:
+        return sum(n * prefix_length(s) * (1 + list_rows) for s, n in histogram.items() if max(partner_sizes(s)) > x)
 
-    return min(range(0, SMALL_SIZES + 1), key=cost)
+    best, least, enumerated = 0, scanned(0), 0.0
+    for x in sizes[1:]:
+        enumerated += histogram.get(x, 0) * subset_keys(x)
+        if enumerated >= least:
+            break
+        if enumerated + scanned(x) < least:
+            best, least = x, enumerated + scanned(x)
+    return best
 
 
 #: log2 of the bits of the smallest parity map.
@@ -124,12 +131,12 @@ LEAST_BITS = 6
 
 
 def parities(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """A map for each set: bit h mod B tells whether an odd number of members h fall there; B is a power of two, at least the set's size.
+    """A map for each set: bit h mod B tells whether an odd number of members h fall there; B is a power of two, at least twice the set's size.
 
     The bits in which two maps differ are at most as many as the members that only one of the sets has.
     """
     sizes = np.diff(at)
-    bits = 1 << np.maximum(LEAST_BITS, np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    bits = 1 << np.maximum(LEAST_BITS, 1 + np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
     base = np.concatenate([[0], np.cumsum(bits)])
     owner = np.repeat(np.arange(len(sizes)), sizes)
     place = base[owner] + (sets & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
@@ -137,27 +144,65 @@ def parities(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [packed[a:b] for a, b in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist())]
 
 
-def may_link(x: bytes, y: bytes, m: int, n: int) -> bool:
-    """Whether sets of m and n members with these parity maps can link; never false for sets that do."""
-    a, b, size, other = int.from_bytes(x, "little"), int.from_bytes(y, "little"), len(x), len(y)
-    if size < other:
-        a, b, size, other = b, a, other, size
-    while size > other:
-        size //= 2
-        a = (a >> (8 * size)) ^ (a & ((1 << (8 * size)) - 1))
-    # 100 * common >= PERCENT * (m + n - common) bounds m + n - 2 * common.
-    return (100 + PERCENT) * (a ^ b).bit_count() <= (100 - PERCENT) * (m + n)
+def proposals(doc: np.ndarray, label: np.ndarray, size: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray, every: bool) -> list[tuple[int, int]]:
+    """Pairs (i, j) of a `left` and a `right` member with different labels whose parity maps leave a link possible.
+
+    Members come by ascending size. Unless `every` pair is asked for, a pair makes one label of the
+    two, so that the pairs are a forest: one less than the labels at most.
+    """
+    out: list[tuple[int, int]] = []
+    label, places = label.copy(), np.arange(len(doc))
+    width = np.array([len(m) for m in maps])
+    rows, words, folded = {}, {}, {}
+    for w in np.unique(width).tolist():
+        rows[w] = np.flatnonzero(width == w)
+        words[w] = np.frombuffer(b"".join(maps[i] for i in rows[w].tolist()), np.uint64).reshape(len(rows[w]), w // 8)
+        if w > 8:
+            folded[w] = words[w][:, : w // 16] ^ words[w][:, w // 16 :]
+    within = np.zeros(len(doc), np.int64)
+    for w in rows:
+        within[rows[w]] = np.arange(len(rows[w]))
+    low, high = np.searchsorted(size, -(-PERCENT * size // 100)), np.searchsorted(size, 100 * size // PERCENT, "right")
+    for i in places[left].tolist():
+        reach = slice(low[i], high[i])
+        open_ = right[reach] & (label[reach] != label[i]) & (doc[reach] != doc[i])
+        if not open_.any():
+            continue
+        others = places[reach][open_]
+        own, w = words[width[i]][within[i]], int(width[i])
+        near = []
+        for v, mine in ((w, own), (2 * w, own), (w // 2, folded[w][within[i]] if w > 8 else None)):
+            if v not in rows or mine is None:
+                continue
+            some = others[width[others] == v]
+            if len(some):
+                theirs = (folded if v > w else words)[v][within[some]]
+                apart = np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64)
+                # 100 * common >= PERCENT * (m + n - common) bounds m + n - 2 * common.
+                may = (100 + PERCENT) * apart <= (100 - PERCENT) * (size[i] + size[some])
+                near.append((some[may], apart[may]))
+        if not near:
+            continue
+        found, apart = np.concatenate([x for x, _ in near]), np.concatenate([x for _, x in near])
+        if not every and len(found):
+            # Of each label the closest member.
+            order = np.lexsort((apart, label[found]))
+            found = found[order]
+            found = found[np.append(True, label[found][1:] != label[found][:-1])]
+            label[np.isin(label, label[found])] = label[i]
+        out += [(i, j) for j in found.tolist()]
+    return out
 
 
 PROFILE = "doc_id long, n_shingles long, print_high long, print_low long, parity binary, often array<long>, counts array<int>"
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """Each document's set size and fingerprint; the first row of a slice also carries its frequent shingles."""
+    """Each document's set size, fingerprint and parity map; the first row of a slice also carries its frequent shingles."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in chunks(batch, limit=4 << 20):
+            for part, data, offsets in chunks(batch, limit=2 * SLICE):
                 sets, at = shingle_sets(data, offsets)
                 sizes = np.diff(at)
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(sets)])
@@ -175,7 +220,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(look, PROFILE)
 
 
-POSTINGS = "key long, block int, doc_id long, n_shingles int"
+POSTINGS = "key long, block int, doc_id long, n_shingles long"
 
 
 def postings(docs: DataFrame, wanted: np.ndarray, small: int, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -193,7 +238,7 @@ def postings(docs: DataFrame, wanted: np.ndarray, small: int, frequent: np.ndarr
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(wanted[batch.column(2).to_numpy()]))
-            for part, data, offsets in chunks(batch, limit=4 << 20):
+            for part, data, offsets in chunks(batch, limit=2 * SLICE):
                 sets, at = shingle_sets(data, offsets)
                 sizes = np.diff(at)
                 place = np.minimum(np.searchsorted(frequent, sets), max(0, len(frequent) - 1))
@@ -220,26 +265,26 @@ def postings(docs: DataFrame, wanted: np.ndarray, small: int, frequent: np.ndarr
                 if more_keys:
                     key, who = np.concatenate([key, *more_keys]), np.concatenate([who, *more_who])
                     block = np.concatenate([block, np.zeros(len(key) - len(block), np.int32)])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(block), pa.array(docs_[who], pa.int64()), pa.array(sizes[who].astype(np.int32))], names=["key", "block", "doc_id", "n_shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(block), pa.array(docs_[who], pa.int64()), pa.array(sizes[who])], names=["key", "block", "doc_id", "n_shingles"])
 
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(len(wanted)))
     return docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(keys, POSTINGS)
 
 
-LISTED = "key long, block int, doc_id long, n_shingles int, leader long, leader_size int"
+STARS = "star long, doc_id long, n_shingles long"
 
 
-def shared_lists(posted: DataFrame) -> DataFrame:
-    """The postings of keys with more than one document, each with the first document of its block.
+def stars(posted: DataFrame) -> DataFrame:
+    """(star, doc_id, n_shingles): documents that share a list are in one star, named by the list's first document.
 
-    Of a list dealt over several blocks a document alone in its block stays: it may meet those of other blocks.
+    Near copies share most of their lists and these mostly have the same first document, so a star's
+    rows are far fewer than its lists'. A list dealt over blocks is a star named by its key.
     """
     dealt = posted.repartition(partitions(posted.sparkSession), "key", "block").sortWithinPartitions("key", "block", "n_shingles", "doc_id")
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The block in hand: its key, its leader, the leader's size, whether the leader's own row went out.
-        state = (None, None, 0, 0, False)
-        names = [x.split()[0] for x in LISTED.split(", ")]
+        # The block in hand: its key, its first document and that one's size.
+        state = (None, None, 0, 0)
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -248,76 +293,142 @@ def shared_lists(posted: DataFrame) -> DataFrame:
             new = np.ones(n, bool)
             new[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
             new[0] = (key[0], block[0]) != state[:2]
-            group = np.cumsum(new) - 1 + (not new[0])
             heads = np.flatnonzero(new)
-            leaders = doc[heads] if new[0] else np.concatenate([[state[2]], doc[heads]])
-            sizes = (size[heads] if new[0] else np.concatenate([[state[3]], size[heads]])).astype(np.int32)
-            follows = np.append(~new[1:], False)
-            keep = ~new | follows | (block > 0)
-            out = [x[keep] for x in (key, block, doc, size, leaders[group], sizes[group])]
-            if not new[0] and not state[4]:
-                # The leader was the last row of the batch before and seemed alone.
-                out = [np.concatenate([[v], x]).astype(x.dtype) for v, x in zip((key[0], block[0], state[2], state[3], state[2], state[3]), out)]
-            state = (key[-1], block[-1], int(leaders[group[-1]]), int(sizes[group[-1]]), bool(keep[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
-
-    return dealt.mapInArrow(lead, LISTED)
-
-
-def close(profile: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose parity maps leave a link possible."""
-    maps = profile.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    sides = [maps.select(F.col("doc_id").alias(x), F.col("parity").alias(f"parity_{x}"), F.col("n_shingles").alias(f"size_{x}")) for x in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "parity_a", "parity_b", "size_a", "size_b")
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [may_link(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            group = np.cumsum(new) - 1 + (not new[0])
+            first, least = (x[heads] if new[0] else np.concatenate([[y], x[heads]]) for x, y in ((doc, state[2]), (size, state[3])))
+            state = (key[-1], block[-1], int(first[group[-1]]), int(least[group[-1]]))
+            hot, follows = block > 0, ~new & (block == 0)
+            named, sized = first[group[follows]], least[group[follows]]
+            rows = np.stack([np.concatenate([key[hot], named, named]), np.concatenate([doc[hot], doc[follows], named]), np.concatenate([size[hot], size[follows], sized])])
+            rows = rows[:, np.lexsort(rows)]
+            rows = rows[:, np.append(True, (rows[:, 1:] != rows[:, :-1]).any(axis=0))] if rows.size else rows
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["star", "doc_id", "n_shingles"])
 
-    return both.mapInArrow(choose, "a long, b long")
+    return dealt.mapInArrow(lead, STARS).distinct()
 
 
-def verified(docs: DataFrame, profile: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of distinct documents whose sets link, counted on whole texts.
+def spread(joined: DataFrame) -> DataFrame:
+    """Rows (star, cell, doc_id, component, left, right): within each cell, `left` members are to be compared with `right` ones.
 
-    Pairs that their parity maps rule out go first; only documents in one of the others are read on,
-    and their texts travel compressed.
+    `joined` has star, doc_id and component. Stars of one component are left out. Of two members in
+    different components one is not in the star's largest component; such members are the left ones.
+    A star of more than TILE members is cut into cells: each block of its left members meets each block of all.
     """
-    pairs = stage(close(profile, pairs), "close")
-    wanted = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")), F.xxhash64("id"), MAP_BITS)
-    asked = docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)).alias("slot"), "text")
+    parts = joined.groupBy("star", "component").agg(F.count("*").alias("n"))
+    heads = parts.groupBy("star").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top")).filter(F.col("n") > F.col("top.n"))
+    tiles, blocks = F.ceil(F.col("n") / TILE), F.ceil((F.col("n") - F.col("top.n")) / TILE)
+    minor = F.col("component") != F.col("top.component")
+    here = F.pmod(F.xxhash64("doc_id"), F.col("tiles"))
+    block = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks"))
+    cell = lambda c, left, right: F.struct(c.cast("long").alias("cell"), left.alias("left"), right.alias("right"))
+    yes, no = F.lit(True), F.lit(False)
+    one = F.array(cell(F.lit(0), F.col("minor"), yes))
+    rights = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: cell(b * F.col("tiles") + here, no, yes))
+    lefts = F.when(F.col("minor"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: cell(block * F.col("tiles") + t, yes, no))).otherwise(F.array().cast("array<struct<cell:bigint,left:boolean,right:boolean>>"))
+    rows = joined.join(heads, "star").select("star", "doc_id", "component", minor.alias("minor"), tiles.alias("tiles"), blocks.alias("blocks"))
+    return rows.select("star", "doc_id", "component", F.explode(F.when(F.col("tiles") == 1, one).otherwise(F.concat(rights, lefts))).alias("c")).select("star", "c.cell", "doc_id", "component", "c.left", "c.right")
+
+
+def first_cells(starred: DataFrame) -> DataFrame:
+    """The rows of spread() before any link is known: a large star is cut into cells that all hold its first member."""
+    heads = starred.groupBy("star").agg(F.count("*").alias("n"), F.min(F.struct("n_shingles", "doc_id")).alias("top")).filter("n > 1").withColumn("tiles", F.ceil(F.col("n") / TILE))
+    rows = starred.join(heads.select("star", "tiles"), "star").select("star", F.pmod(F.xxhash64("doc_id"), "tiles").alias("cell"), "doc_id", F.col("doc_id").alias("component"), F.lit(True).alias("left"), F.lit(True).alias("right"))
+    tops = heads.filter("tiles > 1").select("star", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("cell"), F.col("top.doc_id").alias("doc_id"), F.col("top.doc_id").alias("component"), F.lit(True).alias("left"), F.lit(False).alias("right"))
+    return rows.unionByName(tops)
+
+
+def proposed(cells: DataFrame, maps: DataFrame, every: bool) -> DataFrame:
+    """The distinct pairs (a, b), a > b, that the members of the cells propose; see proposals()."""
+    rows = cells.join(maps, "doc_id").select("star", "cell", "n_shingles", "doc_id", "component", "left", "right", "parity")
+    dealt = rows.repartition(partitions(cells.sparkSession), "star", "cell").sortWithinPartitions("star", "cell", "n_shingles", "doc_id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(cell: list[pa.RecordBatch]) -> tuple[list, list]:
+            table = pa.Table.from_batches(cell)
+            size, doc, label, left, right = (table.column(i).to_numpy() for i in range(2, 7))
+            made = proposals(doc, label, size, table.column(7).to_pylist(), left, right, every)
+            return [int(max(doc[i], doc[j])) for i, j in made], [int(min(doc[i], doc[j])) for i, j in made]
+
+        # The rows of the cell in hand, which may go on in the next batch.
+        kept: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            star, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            begins = np.flatnonzero(np.append(True, (star[1:] != star[:-1]) | (cell[1:] != cell[:-1])))
+            a, b = [], []
+            for x, y in zip(begins.tolist(), [*begins[1:].tolist(), batch.num_rows]):
+                if (star[x], cell[x]) != last:
+                    if sum(p.num_rows for p in kept) > 1:
+                        more = pairs(kept)
+                        a += more[0]
+                        b += more[1]
+                    kept, last = [], (star[x], cell[x])
+                kept.append(batch.slice(x, y - x))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        if sum(p.num_rows for p in kept) > 1:
+            a, b = pairs(kept)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+def bodies(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, body): the lower-cased texts, compressed, of the documents that `asked` names by doc_id (and of few others, by a clash in a map)."""
+    wanted = bitmap(asked, F.xxhash64("doc_id"), map_bits(asked.count()))
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(3)
         for batch in batches:
             batch = batch.filter(pa.array(wanted[batch.column(1).to_numpy()]))
-            packed = [press.compress((t or b"").lower()) for t in batch.column(2).cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "body"])
+            for part, data, offsets in chunks(batch, limit=2 * SLICE):
+                raw, at = data.tobytes().lower(), offsets.tolist()
+                packed = [press.compress(raw[a:b]) for a, b in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["id", "body"])
+
+    return docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(len(wanted))).alias("slot"), "text").mapInArrow(shrink, "id long, body binary")
+
 
-    bodies = asked.mapInArrow(shrink, "id long, body binary")
-    bodies = stage(bodies, "bodies")
-    left = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
-    both = left.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b").select("a", "b", "body_a", "body_b")
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets link, counted on whole texts."""
+    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
+    both = left.join(texts.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b").select("a", "b", "body_a", "body_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
 
-        def members(body: bytes) -> np.ndarray:
-            data = np.frombuffer(press.decompress(body), np.uint8)
-            return shingle_sets(data, np.array([0, len(data)]))[0]
+        def linked(texts: list[bytes], sides: list[tuple[int, int]]) -> list[bool]:
+            data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            sets, at = shingle_sets(data, offsets)
+            out = []
+            for x, y in sides:
+                mine, theirs = sets[at[x] : at[x + 1]], sets[at[y] : at[y + 1]]
+                common = len(np.intersect1d(mine, theirs, assume_unique=True))
+                out.append(common > 0 and 100 * common >= PERCENT * (len(mine) + len(theirs) - common))
+            return out
 
         for batch in batches:
-            keep, last, mine = [], None, None
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if b != last:
-                    last, mine = b, members(y)
-                theirs = members(x)
-                both_have = len(np.intersect1d(mine, theirs, assume_unique=True))
-                keep.append(100 * both_have >= PERCENT * (len(mine) + len(theirs) - both_have) and both_have > 0)
+            keep: list[bool] = []
+            # The texts in hand, the pairs' places there, and the last b's.
+            texts, sides, held, last = [], [], 0, None
+            for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                y = y.as_buffer()
+                if last is None or last[0] != b or last[1] != y:
+                    texts.append(press.decompress(y))
+                    held += len(texts[-1])
+                    last = (b, y, len(texts) - 1)
+                texts.append(press.decompress(x.as_buffer()))
+                held += len(texts[-1])
+                sides.append((len(texts) - 1, last[2]))
+                if held > SLICE:
+                    keep += linked(texts, sides)
+                    texts, sides, held, last = [], [], 0, None
+            if sides:
+                keep += linked(texts, sides)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(compare, "a long, b long")
+    return both.mapInArrow(compare, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -326,18 +437,20 @@ def components(links: DataFrame) -> DataFrame:
     Alternates two rounds of joins by the larger and the smaller neighbours (large-star, small-star)
     until no edge changes; stars that remain are the components.
     """
+    def state(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
     edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
-    while True:
+    before, now = None, state(edges)
+    while before != now:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         own = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(own, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u != v").distinct()
         new = stage(small, "edges")
-        moved = new.join(edges, ["u", "v"], "left_anti").limit(1).count() + edges.join(new, ["u", "v"], "left_anti").limit(1).count()
-        edges = new
-        if not moved:
-            break
+        discard(edges)
+        edges, before, now = new, now, state(new)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
 
 
@@ -349,22 +462,30 @@ def _stars(joined: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
-    Equal sets are joined by their fingerprints, and one document stands for them. Small sets post
+    Equal sets are joined by their 128-bit fingerprints, and one document stands for them. Small sets post
     all their subsets of the fixed sizes that a link needs, large sets their rarest members; both
-    meet in inverted lists. First each list's documents are compared with one leader; lists that still
-    hold many pairs across components are compared with further leaders as long as that joins many;
-    then come all pairs across components. No pair that could
-    link is left out, and a group of n near copies costs about n comparisons.
+    meet in inverted lists, whose members make stars. Members of a star in different components
+    are compared by their parity maps, which never rule out a link: first each star proposes a forest of
+    links, then, what is joined being left out, every pair that may link. Proposed pairs are counted on
+    whole texts. So no link is lost, and a group of n near copies costs about n counts.
+
+    Shingles are 64-bit hashes: two different ones are taken for equal in one text of a million words
+    among ten million or so.
 
-    A null or wordless text has an empty set and links with nothing. Rows that repeat a doc_id share
-    their component. A null doc_id links with nothing and has no component. An empty table gives no rows.
+    A null or wordless text has an empty set and links with nothing; very long ones are taken whole.
+    Rows that repeat a doc_id share their component. A null doc_id links with nothing and has no component.
+    An empty table gives no rows.
     """
     profile = stage(profiles(docs), "profiles")
     rows = profile.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    sets = rows.groupBy("n_shingles", "print_high", "print_low").agg(F.min("doc_id").alias("stands"))
-    same = rows.join(sets, ["n_shingles", "print_high", "print_low"]).select(F.col("doc_id").alias("a"), F.col("stands").alias("b")).filter("a != b")
-    histogram = {r["n_shingles"]: r["n"] for r in sets.filter(F.col("n_shingles") <= 2 * SMALL_SIZES).groupBy("n_shingles").agg(F.count("*").alias("n")).collect()}
-    small = boundary(histogram)
+    prints = ["n_shingles", "print_high", "print_low"]
+    sets = rows.groupBy(*prints).agg(F.min("doc_id").alias("stands"))
+    histogram, members, n_sets = {}, 0, 0
+    tally = sets.groupBy(F.when(F.col("n_shingles") <= ENUMERABLE, F.col("n_shingles")).alias("size")).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("members"))
+    for r in tally.collect():
+        members, n_sets = members + r["members"], n_sets + r["n"]
+        if r["size"] is not None:
+            histogram[r["size"]] = r["n"]
     often = (
         profile.filter("often IS NOT NULL").select(F.explode(F.arrays_zip("often", "counts")).alias("o")).groupBy("o.often").agg(F.sum("o.counts").alias("n"))
         .filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "often").limit(FREQUENT).toPandas()
@@ -372,49 +493,47 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     frequent = often["often"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(frequent)
     counts = often["n"].to_numpy(np.int64)[order]
+    # Rows that a list holds beside a member's own, on average over all members.
+    small = boundary(histogram, float((counts * (counts - 1.0)).sum()) / max(1, members))
     texts = docs.filter("doc_id IS NOT NULL")
-    stand = bitmap(sets, F.xxhash64("stands"), MAP_BITS)
-    posted = postings(texts, stand, small, frequent[order], counts)
-    lists = stage(shared_lists(posted), "lists")
-    fits = 100 * F.least("n_shingles", "leader_size") >= PERCENT * F.greatest("n_shingles", "leader_size")
-    starred = lists.filter("doc_id != leader").filter(fits).select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
-    heads = lists.groupBy("key", "block").agg(F.min(F.struct("leader_size", "leader")).alias("h"))
-    across = heads.join(heads.groupBy("key").agg(F.min("h").alias("m"), F.count("*").alias("n")).filter("n > 1"), "key")
-    across = across.filter("h.leader != m.leader").filter(100 * F.col("m.leader_size") >= PERCENT * F.col("h.leader_size")).select(F.col("h.leader").alias("a"), F.col("m.leader").alias("b"))
-    first_pairs = stage(starred.unionByName(across).distinct(), "pairs")
-    links = stage(verified(texts, profile, first_pairs), "links")
-    joined = stage(components(links), "components")
-    seen = first_pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    turn, before = 0, math.inf
-    while True:
-        # Lists with several components left.
-        labelled = lists.select("key", "doc_id", "n_shingles").join(joined.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
-        mixed = stage(labelled.join(open_keys, "key", "left_semi"), "mixed")
-        parts = mixed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        rows, apart = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0))).first()
-        if apart <= FEW * rows or apart > WORTH * before:
-            break
-        before = apart
-        # Many pairs: one more comparison of each list with a leader of its own, chosen at random, joins most copies.
+    stand = bitmap(sets, F.xxhash64("stands"), map_bits(n_sets))
+    starred = stage(stars(postings(texts, stand, small, frequent[order], counts)), "stars")
+    maps = rows.select("doc_id", "n_shingles", "parity")
+    packed = stage(bodies(texts, starred), "bodies")
+    tried: list[DataFrame] = []
+    joined = None
+    turn = 0
+    while turn <= FORESTS:
+        if joined is None:
+            cells = first_cells(starred)
+        else:
+            labels = joined.select(F.col("id").alias("doc_id"), "component")
+            cells = spread(starred.select("star", "doc_id").distinct().join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+        pairs = proposed(cells, maps, turn == FORESTS)
+        for seen in tried:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        tried.append(stage(pairs, "pairs"))
+        links = stage(verified(tried[-1], packed), "links")
+        if joined is None:
+            joined = stage(components(links), "components")
+        elif links.isEmpty():
+            # A forest without a new link: what is left is for the last turn.
+            turn = max(turn, FORESTS - 1)
+        else:
+            before, joined = joined, stage(components(_stars(joined).unionByName(links)), "components")
+            discard(before)
+        discard(links)
         turn += 1
-        leader = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "n_shingles", "component")).alias("l"))
-        stars_ = mixed.join(leader, "key").filter(F.col("component") != F.col("l.component")).filter(100 * F.least("n_shingles", "l.n_shingles") >= PERCENT * F.greatest("n_shingles", "l.n_shingles"))
-        asked = stars_.select(F.greatest("doc_id", "l.doc_id").alias("a"), F.least("doc_id", "l.doc_id").alias("b")).distinct()
-        asked = stage(asked.join(seen, ["a", "b"], "left_anti"), "pairs")
-        more = stage(verified(texts, profile, asked), "links")
-        seen = seen.unionByName(asked)
-        joined = stage(components(_stars(joined).unionByName(more)), "components")
-    # All pairs across components of a list; without a link they are what an exact answer has to look at.
-    x, y = mixed.alias("x"), mixed.alias("y")
-    rest = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & (100 * F.least("x.n_shingles", "y.n_shingles") >= PERCENT * F.greatest("x.n_shingles", "y.n_shingles")))
-        .select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).filter("a != b").distinct()
-    )
-    rest = stage(rest.join(seen, ["a", "b"], "left_anti"), "pairs")
-    more = stage(verified(texts, profile, rest), "links")
-    final = components(_stars(joined).unionByName(more).unionByName(same))
-    return profile.select("doc_id", "n_shingles").join(final.select(F.col("id").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    discard(starred, packed, *tried)
+    # A doc_id whose rows have several sets joins their groups.
+    own = rows.join(sets, prints).select("doc_id", *prints, "stands")
+    several = own.groupBy("doc_id").agg(F.min("stands").alias("a"), F.max("stands").alias("b"), F.collect_set("stands").alias("all")).filter("a < b")
+    bridges = stage(several.select("a", F.explode("all").alias("b")).filter("a != b"), "bridges")
+    if not bridges.isEmpty():
+        joined = stage(components(_stars(joined).unionByName(bridges)), "components")
+    found = profile.join(sets, prints, "left").join(joined, F.col("stands") == F.col("id"), "left")
+    component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("component", "stands"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -422,12 +541,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat that doc_id one stays. Documents without a link, without words or without a doc_id stay.
     """
+    kept_id, again = fresh(docs.columns, "kept_id", "again")
     found = near_duplicates(docs.select("doc_id", "text"))
-    several = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
-    joined = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.max("n_shingles").alias("n_shingles"))
-    keep = joined.filter("doc_id = component_id").join(several, "doc_id").select(F.col("doc_id").alias("_kept"), ((F.col("n") > 1) & (F.col("n_shingles") > 0)).alias("_again"))
-    kept = docs.join(keep, docs["doc_id"] == keep["_kept"]).drop("_kept")
+    joined = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
+    keep = joined.filter("doc_id = component_id").select(F.col("doc_id").alias(kept_id), ((F.col("n") > 1) & (F.col("n_shingles") > 0)).alias(again))
+    kept = docs.join(keep, docs["doc_id"] == keep[kept_id]).drop(kept_id)
     # Rows that repeat a doc_id are few or none: only they are dealt out once more.
-    once = kept.filter(~F.col("_again")).drop("_again")
-    again = kept.filter("_again").drop("_again").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.filter("doc_id IS NULL"))
+    once = kept.filter(~F.col(again)).drop(again)
+    more = kept.filter(again).drop(again).dropDuplicates(["doc_id"])
+    return once.unionByName(more).unionByName(docs.filter("doc_id IS NULL"))
