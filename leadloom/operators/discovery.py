@@ -12,13 +12,31 @@ from pyspark.sql import functions as F
 from leadloom.functions.urls import host
 from leadloom.operators.relational import streaks
 
-#: Hosts that are no company's own site, by class.
+#: Hosts that are no company's own site, by class; the first class that has a host counts.
 HOST_CLASSES = {
-    "SOCIAL_PROFILE": ("facebook.com", "instagram.com", "linkedin.com", "twitter.com", "x.com", "youtube.com", "tiktok.com", "pinterest.com"),
-    "DIRECTORY": ("yelp.com", "yellowpages.com", "bbb.org", "crunchbase.com", "zoominfo.com", "manta.com", "glassdoor.com", "indeed.com"),
-    "NEWS": ("forbes.com", "bloomberg.com", "nytimes.com", "reuters.com", "medium.com"),
-    "SEARCH": ("google.com", "bing.com", "wikipedia.org"),
-}
+    "SOCIAL_PROFILE": ("linkedin.com", "facebook.com", "instagram.com", "twitter.com", "x.com", "youtube.com", "tiktok.com", "pinterest.com", "threads.net"),
+    "REVIEW_SITE": (
+        "yelp.com", "yellowpages.com", "tripadvisor.com", "glassdoor.com", "trustpilot.com", "angi.com", "thumbtack.com", "bbb.org", "g2.com", "capterra.com", "sitejabber.com",
+        "clutch.co", "goodfirms.co", "sortlist.com", "designrush.com",
+    ),
+    "DIRECTORY": (
+        "crunchbase.com", "zoominfo.com", "opencorporates.com", "manta.com", "dnb.com", "pitchbook.com", "owler.com", "rocketreach.co", "apollo.io", "signalhire.com", "datanyze.com",
+        "cbinsights.com", "craft.co", "buzzfile.com", "corporationwiki.com", "bizapedia.com", "kompass.com", "hoovers.com", "startupintros.com", "indeed.com", "ziprecruiter.com",
+        "monster.com", "simplyhired.com", "careerbuilder.com",
+    ),
+    "PROXY_OR_FILING": ("proxyvote.com", "sec.gov", "sedar.com", "sedarplus.ca", "bamsec.com", "last10k.com", "annualreports.com", "edgar-online.com", "secfilings.com", "companieshouse.gov.uk"),
+    "NEWS_ARTICLE": (
+        "reuters.com", "apnews.com", "nytimes.com", "wsj.com", "forbes.com", "cnbc.com", "marketwatch.com", "yahoo.com", "seekingalpha.com", "prnewswire.com", "businesswire.com",
+        "globenewswire.com", "techcrunch.com", "ft.com", "bizjournals.com", "axios.com",
+    ),
+    "MARKETPLACE": ("amazon.com", "ebay.com", "etsy.com", "apps.apple.com", "play.google.com"),
+    "GENERIC_THIRD_PARTY_PAGE": ("wikipedia.org", "wikidata.org", "bloomberg.com", "quora.com", "medium.com", "blogspot.com", "blogger.com", "wordpress.com", "substack.com", "reddit.com", "homelight.com"),
+}
+#: First words of paths that lead to articles, directories and lists.
+LIST_PATHS = (
+    "blog", "blogs", "directory", "directories", "guide", "guides", "article", "articles", "answer", "answers", "question", "questions", "profile", "profiles", "agencies", "companies",
+    "review", "reviews", "ranking", "rankings",
+)
 #: Zero-yield batches in a row after which a family that is not required is left.
 STOP_AFTER = 3
 #: Degrees of latitude and longitude within which places may be one.
@@ -34,13 +52,17 @@ def host_class(name: Column) -> Column:
 
 
 def reject_url(url: Column) -> Column:
-    """Why a URL is no candidate's site; null if it may be one."""
-    path = F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
-    return (
-        F.when(~F.coalesce(url, F.lit("")).rlike(r"^https?://[^/]+"), "INVALID_URL")
-        .when(host_class(host(url)).isNotNull(), F.concat(host_class(host(url)), F.lit("_HOST")))
-        .when(path.rlike(r"/(top|best|list)[-_/]|/(directory|category|tag|search)(/|$)"), "LIST_PAGE")
-    )
+    """Why a URL is no candidate's site; null if it may be one, or if there is none. Without a scheme it is read as https."""
+    whole = F.when(url.contains("://"), F.trim(url)).otherwise(F.concat(F.lit("https://"), F.trim(url)))
+    readable = whole.rlike("(?i)^https?://") & F.try_parse_url(whole, F.lit("HOST")).isNotNull()
+    path = F.coalesce(F.try_parse_url(whole, F.lit("PATH")), F.lit(""))
+    listed = F.when(path.rlike(rf"(?i)/({'|'.join(LIST_PATHS)})\b"), "GENERIC_LIST")
+    return F.when(F.trim(F.coalesce(url, F.lit(""))) == "", None).when(~readable, "INVALID_URL").otherwise(F.coalesce(host_class(host(whole)), listed))
+
+
+def reject_candidate(website: Column, source: Column) -> Column:
+    """Why a candidate may not be stored: the first of its URLs that is rejected tells."""
+    return F.coalesce(reject_url(website), reject_url(source))
 
 
 def identity_keys(external_id: Column, website: Column, name: Column, city: Column, state: Column) -> Column:
@@ -124,11 +146,9 @@ def yields(batches: DataFrame) -> DataFrame:
 
     `batches` has family, place, category, raw, accepted, duplicates and rejected.
     """
-    batches.createOrReplaceTempView("_yield_batches")
-    return batches.sparkSession.sql(
-        """SELECT family, place, category, sum(raw) AS raw, sum(accepted) AS accepted, sum(duplicates) AS duplicates, sum(rejected) AS rejected, count(*) AS batches,
-        round(sum(accepted) / count(*), 4) AS yield_per_query FROM _yield_batches GROUP BY GROUPING SETS ((family), (place), (category), ())"""
-    )
+    sums = [F.sum(c).alias(c) for c in ("raw", "accepted", "duplicates", "rejected")]
+    family, place, category = F.col("family"), F.col("place"), F.col("category")
+    return batches.groupingSets([[family], [place], [category], []], family, place, category).agg(*sums, F.count("*").alias("batches"), F.round(F.sum("accepted") / F.count("*"), 4).alias("yield_per_query"))
 
 
 def zero_streaks(batches: DataFrame) -> DataFrame:
@@ -138,10 +158,18 @@ def zero_streaks(batches: DataFrame) -> DataFrame:
     return last.withColumn("skip", ~F.col("required") & (F.col("streak") >= STOP_AFTER))
 
 
-def priority(raw: Column, accepted: Column, duplicates: Column, rejected: Column, required: Column) -> Column:
-    """What a family's remaining queries are worth: only new companies raise it."""
+def priority(raw: Column, accepted: Column, duplicates: Column, rejected: Column, required: Column, issued: Column) -> Column:
+    """What a family's remaining queries are worth: only new companies raise it, and a required family without a query comes first."""
     noise = F.when((raw > 0) & (accepted == 0), raw * 3).otherwise(0)
-    return accepted * 100 - duplicates * 15 - rejected * 2 - noise + F.when(required, 25).otherwise(0)
+    return F.when(required & (issued == 0), 1000).otherwise(accepted * 100 - duplicates * 15 - rejected * 2 - noise + F.when(required, 25).otherwise(0))
+
+
+def places_agree(city: Column, lat: Column, lon: Column, other_city: Column, other_lat: Column, other_lon: Column) -> Column:
+    """Whether two places may be one: the same city if both are known, and within NEAR degrees if both have coordinates."""
+    tidy = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    cities = (tidy(city) == "") | (tidy(other_city) == "") | (tidy(city) == tidy(other_city))
+    unknown = lat.isNull() | lon.isNull() | other_lat.isNull() | other_lon.isNull()
+    return cities & (unknown | ((F.abs(lat - other_lat) <= NEAR) & (F.abs(lon - other_lon) <= NEAR)))
 
 
 def provider_outcomes(attempts: DataFrame, keys: list[str]) -> DataFrame:

@@ -93,3 +93,16 @@ def independent_copies(evidence: DataFrame, excerpt: str, url: str, keys: list[s
     text = F.lower(F.trim(F.regexp_replace(excerpt, r"\s+", " ")))
     key = F.when(F.length(text) >= COPY_CHARS, F.concat(F.lit("text:"), text)).otherwise(F.concat(F.lit("domain:"), F.coalesce(registrable_domain(F.col(url)), F.lit(""))))
     return evidence.withColumn("_key", F.sha2(key, 256)).groupBy(*keys).agg(F.countDistinct("_key").alias("independent"), F.count("*").alias("pieces"))
+
+
+def merge_evidence(groups: list[DataFrame]) -> DataFrame:
+    """Lists of evidence (id, url, excerpt, kind and more) as one: a piece stays once, from the first list that has it,
+    told by its id or, without one, by its source, excerpt and kind."""
+    numbered = [g.withColumn("_list", F.lit(k)) for k, g in enumerate(groups)]
+    every = numbered[0]
+    for more in numbered[1:]:
+        every = every.unionByName(more)
+    part = lambda c: F.coalesce(F.col(c), F.lit(""))
+    key = F.when(part("id") != "", F.concat(F.lit("id:"), "id")).otherwise(F.concat_ws("|", part("url"), part("excerpt"), part("kind")))
+    row = F.struct(*groups[0].columns)
+    return every.groupBy(key.alias("_key")).agg(F.min_by(row, F.struct("_list", row)).alias("_row")).select("_row.*")

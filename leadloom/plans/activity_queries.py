@@ -28,13 +28,16 @@ def query(sql: str | None = None):
     return register
 
 
-_URLS = ["https://www.facebook.com/x", "https://acme.example/", "ftp://acme.example", "https://acme.example/best-10-firms", "https://sub.yelp.com/biz", "https://x.example/search", "http://news.forbes.com/a"]
-_WHY = ["SOCIAL_PROFILE_HOST", None, "INVALID_URL", "LIST_PAGE", "DIRECTORY_HOST", "LIST_PAGE", "NEWS_HOST"]
+_URLS = ["https://www.facebook.com/x", "https://acme.example/", "ftp://acme.example", "https://acme.example/rankings/10-firms", "https://sub.yelp.com/biz", "acme.example", "https://x.example/blog/a", None, "https://www.sec.gov/x", "https://news.forbes.com/a", "http://not a url"]
+_WHY = ["SOCIAL_PROFILE", None, "INVALID_URL", "GENERIC_LIST", "REVIEW_SITE", None, "GENERIC_LIST", None, "PROXY_OR_FILING", "NEWS_ARTICLE", "INVALID_URL"]
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f'''('{u}', {'NULL' if w is None else chr(39) + w + chr(39)})''' for u, w in zip(_URLS, _WHY))}) v(url, reason)")
+_quoted = lambda x: "NULL" if x is None else f"'{x}'"
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({_quoted(u)}, {_quoted(w)})' for u, w in zip(_URLS, _WHY))}) v(url, reason)")
 def url_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why a URL is no candidate's own site."""
+    """Why a URL is no candidate's own site, case by case; candidate_url_gate does it over a table."""
     return spark.createDataFrame([(u,) for u in _URLS], "url string").withColumn("reason", D.reject_url(F.col("url")))
 
 
@@ -135,9 +138,9 @@ def yield_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT family, priority, (SELECT string_agg(family || ':' || a, ' | ' ORDER BY a DESC, family) FROM k WHERE k <= 8) AS summary FROM k"""
 )
 def yield_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Priorities of families, and the eight best in a line."""
-    totals = _batches(spark, sf_dir).groupBy("family").agg(*(F.sum(c).alias(c) for c in ("raw", "accepted", "duplicates", "rejected")), F.bool_or("required").alias("required"))
-    worth = D.priority(*(F.col(c) for c in ("raw", "accepted", "duplicates", "rejected", "required"))).cast("long")
+    """Priorities of families that have queries, and the eight best in a line."""
+    totals = _batches(spark, sf_dir).groupBy("family").agg(*(F.sum(c).alias(c) for c in ("raw", "accepted", "duplicates", "rejected")), F.bool_or("required").alias("required"), F.count("*").alias("issued"))
+    worth = D.priority(*(F.col(c) for c in ("raw", "accepted", "duplicates", "rejected", "required", "issued"))).cast("long")
     best = totals.orderBy(F.desc("accepted"), "family").limit(8)
     listed = F.array_sort(F.collect_list(F.struct((-F.col("accepted")).alias("n"), "family")))
     line = best.agg(F.array_join(F.transform(listed, lambda x: F.concat(x["family"], F.lit(":"), (-x["n"]).cast("string"))), " | ").alias("summary"))
