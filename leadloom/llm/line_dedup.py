@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadloom.llm.common import partitions, stage
+from leadloom.llm.common import fresh, partitions, stage
 
 #: Code points from which a key counts, and documents from which its lines go.
 LEAST_CHARS = 20
@@ -128,10 +128,10 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
     A bitmap ends with the byte of the last line that goes; lines behind it stay.
     """
-    if {"n_lines", "n_dropped"} & set(docs.columns):
-        docs = docs.drop("n_lines", "n_dropped")
-    marks = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("n_lines").alias("_size"), F.col("keep").alias("_keep"))
-    joined = docs.join(marks, docs["doc_id"].eqNullSafe(marks["_doc"]) & (F.xxhash64(docs["text"]) == marks["_hash"]), "left").drop("_doc", "_hash", "_size")
+    docs = docs.drop("n_lines", "n_dropped")
+    doc, text_hash, keep = fresh(docs.columns, "mark_doc", "mark_hash", "mark_keep")
+    marks = bitmaps.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash), F.col("keep").alias(keep))
+    joined = docs.join(marks, docs["doc_id"].eqNullSafe(marks[doc]) & (F.xxhash64(docs["text"]) == marks[text_hash]), "left").drop(doc, text_hash)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at = docs.columns.index("text")
 
@@ -158,6 +158,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     A key is the line stripped of blanks with A-Z lower-cased, LEAST_CHARS code points at least.
     A null or empty text is one empty line and stays as it is; rows that repeat a doc_id count as
-    documents of their own; a null doc_id is the smallest. An empty table gives no rows.
+    documents of their own; a null doc_id is the smallest; very long texts are taken whole. Other columns
+    stay as they are, but for n_lines and n_dropped, which are replaced. An empty table gives no rows.
     """
     return apply_bitmaps(docs, keep_bitmaps(docs))
