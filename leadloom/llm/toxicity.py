@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadloom.llm.common import Rolling, chunks
+from leadloom.llm.common import Rolling, chunks, fresh
 
 #: Documents of the training sample at most: confirmed toxic ones, and unlabelled ones.
 SAMPLE_TOXIC, SAMPLE_UNLABELLED = 3000, 9000
@@ -103,12 +103,11 @@ def fit_one(rows: tuple[np.ndarray, np.ndarray], toxic: np.ndarray, size: int, p
     return theta[:-1], float(theta[-1])
 
 
-def train(texts: list[np.ndarray], toxic: np.ndarray, prior: float) -> Model:
-    """A model from each sample document's buckets and whether it is confirmed toxic."""
+def train(bucket: np.ndarray, at: np.ndarray, toxic: np.ndarray, prior: float) -> Model:
+    """A model from the buckets of the sample documents, bucket[at[i]:at[i + 1]], and whether each is confirmed toxic."""
     if not toxic.any() or toxic.all():
         return Model(np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0))
-    row = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
-    bucket = np.concatenate(texts).astype(np.int64)
+    row = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(at))
     in_toxic = np.bincount(bucket[toxic[row]], minlength=BUCKETS)
     in_other = np.bincount(bucket[~toxic[row]], minlength=BUCKETS)
     p, u = in_toxic / toxic.sum(), in_other / (~toxic).sum()
@@ -118,10 +117,10 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, prior: float) -> Model:
     kept = np.sort(best[worth[best] > 3])
     inside = np.isin(bucket, kept)
     row, feature = row[inside], np.searchsorted(kept, bucket[inside])
-    fold = np.random.default_rng(29).integers(0, CLASSIFIERS, len(texts))
+    fold = np.random.default_rng(29).integers(0, CLASSIFIERS, len(toxic))
     weights, bias = [], []
     for k in range(CLASSIFIERS):
-        part = fold != k if (toxic & (fold != k)).any() and (~toxic & (fold != k)).any() else np.ones(len(texts), bool)
+        part = fold != k if (toxic & (fold != k)).any() and (~toxic & (fold != k)).any() else np.ones(len(toxic), bool)
         index = np.cumsum(part) - 1
         own = part[row]
         w, b = fit_one((index[row[own]], feature[own]), toxic[part], len(kept), prior)
@@ -133,21 +132,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from `labels` (doc_id, toxic): toxic = 1 confirms, all else is unlabelled text.
 
     The sample has at most SAMPLE_TOXIC and SAMPLE_UNLABELLED documents, those with the smallest
-    hashes of their doc_id; the class prior is the labels' share of toxic rows. Without a toxic
-    label all scores are 0.
+    hashes of their doc_id, each once; the class prior is the labels' share of toxic rows. A null doc_id or label
+    teaches nothing; of labels that repeat a doc_id the larger counts. Without a toxic label all scores are 0.
     """
     order = F.xxhash64("doc_id", F.lit(41))
     labels = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total, marked = labels.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
     if not marked:
-        return train([], np.zeros(0, bool), PRIOR)
+        return train(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool), PRIOR)
     # Bounded: at most SAMPLE_TOXIC ids.
     confirmed = F.broadcast(labels.filter("toxic = 1").select("doc_id").orderBy(order, "doc_id").limit(SAMPLE_TOXIC))
     rows = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
+
+    def single(some: DataFrame, known: bool) -> DataFrame:
+        # Of rows that repeat a doc_id one is learnt from, so that ids bound the sample.
+        one = some.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+        return one.select("doc_id", "one.text", F.lit(known).alias("known"))
+
     share = min(1.0, SAMPLE_UNLABELLED / max(1, docs.count()))
     below = int(-(1 << 63) + share * ((1 << 64) - 1))
     sampled = rows.filter(F.xxhash64("doc_id", F.lit(43)) <= F.lit(min(below, (1 << 63) - 1)))
-    known = rows.join(confirmed, "doc_id").withColumn("known", F.lit(True)).unionByName(sampled.withColumn("known", F.lit(False)))
+    known = single(rows.join(confirmed, "doc_id"), True).unionByName(single(sampled, False))
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,13 +166,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     lists = sample.column("buckets").combine_chunks()
     flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy()
     toxic = sample.column("known").to_numpy()
-    return train([flat[a:b] for a, b in zip(at[:-1], at[1:])], toxic, marked / total)
+    return train(flat, at, toxic, marked / total)
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """The documents' columns and `column`, a score from 0 to 1 of every whole text; a column of that name is replaced.
 
-    Null and empty texts count as texts without words. An empty table gives no rows.
+    Null and empty texts count as texts without words; very long ones are scored whole; equal texts get equal scores.
+    An empty table gives no rows.
     """
     docs = docs.drop(column)
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -192,7 +198,5 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that do not score as toxic (0.5 or more), with their columns as they were."""
-    name = "toxicity_score"
-    while name in docs.columns:
-        name += "_"
+    (name,) = fresh(docs.columns, "toxicity_score")
     return score(docs, fit(docs, learnable(labels)), name).filter(F.col(name) < 0.5).drop(name)
