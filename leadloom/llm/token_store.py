@@ -4,12 +4,12 @@ Each document's ids are cut into chunks where a rolling hash of the last ids say
 passages give equal chunks wherever they stand. A chunk is known by its digest. A store has
 
 - documents/: Parquet in ascending doc_id order, one row per document: its part and place there, its
-  first id's place among its part's ids, its recipe (the digests of its chunks in order), its Merkle
-  root, which of its chunks are stored away, and the ids of the others, which occur nowhere else;
-- chunks/: Parquet, each chunk that may occur more than once, stored once: digest and ids;
+  first id's place among its part's ids, its recipe (the digests of its chunks in order) and its Merkle root;
+- chunks/: Parquet, every chunk, stored once: digest and ids;
 - manifest/: Parquet, one row per part: rows, ids, ids of all parts before, the Merkle root of its rows.
 
-Ids are little-endian, two bytes wide if the vocabulary allows it and four bytes else.
+Reading recomputes all of it: chunks from their bytes, documents from their chunks, parts from their
+documents. Ids are little-endian, two bytes wide if the vocabulary allows it and four bytes else.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import bitmap, chunks, mix, partitions, stage
+from leadloom.llm.common import chunks, discard, mix, partitions, stage
 from leadloom.llm.tokenize import encoder
 
 #: The id that ends each document.
@@ -81,7 +81,7 @@ def encode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(vocabulary_path)
         for batch in batches:
-            for part, data, offsets in chunks(batch, limit=4 << 20):
+            for part, data, offsets in chunks(batch, limit=1 << 20):
                 ids, at = tokens.encode(data, offsets)
                 streams, sizes, recipes = [], [], []
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
@@ -103,9 +103,9 @@ def width(vocabulary_path: str) -> int:
     return encoder(vocabulary_path).dtype.itemsize
 
 
-PLACED = "part int, place long, doc_id long, start long, n_tokens long, sizes array<int>, recipe array<binary>, away array<int>, root binary, ids binary"
-#: Bits of the map of digests that may occur more than once; a clash only puts a chunk into chunks/.
-MAP_BITS = 1 << 23
+PLACED = "part int, place long, doc_id long, start long, n_tokens long, recipe array<binary>, root binary"
+#: Rows of a table that one node of a part's Merkle tree covers, and nodes that one node above covers.
+FAN = 4096
 
 
 @dataclass
@@ -118,107 +118,116 @@ class Store:
     id_bytes: int
 
 
-def slots(recipe: list[bytes]) -> np.ndarray:
-    return np.array([int.from_bytes(d[:8], "little") % MAP_BITS for d in recipe], np.int64)
+def part_roots(documents: DataFrame) -> DataFrame:
+    """rows, n_tokens and root of each part, from the places and the roots of its documents.
 
+    The tree has FAN children to a node, so that no task gathers more than that.
+    """
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots = [merkle([r["root"] for r in listed]) for listed in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(roots, pa.binary())], names=["part", "place", "rows", "n_tokens", "root"])
 
-def pieces(ids: bytes, sizes: list[int], id_bytes: int) -> list[bytes]:
-    ends = (np.cumsum(sizes) * id_bytes).tolist()
-    return [ids[a:b] for a, b in zip([0, *ends], ends)]
+    nodes = documents.select("part", "place", F.lit(1).cast("long").alias("rows"), "n_tokens", "root")
+    size = documents.agg(F.max("place")).first()[0]
+    size = 1 if size is None else size + 1
+    while True:
+        size = -(-size // FAN)
+        grouped = nodes.groupBy("part", F.floor(F.col("place") / FAN).alias("place")).agg(F.sum("rows").alias("rows"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("place", "root"))).alias("roots"))
+        nodes = grouped.mapInArrow(top, "part int, place long, rows long, n_tokens long, root binary")
+        if size == 1:
+            return nodes.select("part", "rows", "n_tokens", "root")
 
 
-def write(docs: DataFrame, vocabulary_path: str) -> Store:
+def write(docs: DataFrame, vocabulary_path: str, known: DataFrame | None = None) -> Store:
     """Write all documents into a new store in the shared folder.
 
     Documents are dealt by ranges of doc_id (null first), ties by a hash of the text; a part is one
-    range. Rows that repeat a doc_id are documents of their own. An empty table makes an empty store.
-    Only a map of MAP_BITS bits and the manifest's rows reach the driver.
+    range. Rows that repeat a doc_id are documents of their own; very long texts are taken whole; other
+    columns are not looked at. `known` are the chunks of a store before: they are not stored again.
+    An empty table makes an empty store. Only the manifest's rows reach the driver.
     """
     spark = docs.sparkSession
-    id_bytes = encoder(vocabulary_path).dtype.itemsize
     # Written once, as dealing by range reads its input twice.
     coded = stage(encode(docs, vocabulary_path), "encoded")
-    again = coded.select(F.explode("recipe").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(slots(batch.column(0).to_pylist()), pa.int64())], names=["slot"])
-
-    shared = bitmap(again.select("digest").mapInArrow(mark, "slot long"), F.col("slot"), MAP_BITS)
+    id_bytes = encoder(vocabulary_path).dtype.itemsize
 
-    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[bytes, bytes] = {}
-            for ids, sizes, recipe in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                away = np.flatnonzero(shared[slots(recipe)]).tolist()
-                if away:
-                    cut = pieces(ids, sizes, id_bytes)
-                    found.update((recipe[k], cut[k]) for k in away)
+            for ids, sizes, recipe in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                stream, end = ids.as_py(), 0
+                for n, name in zip(sizes, recipe):
+                    found.setdefault(name, stream[end : end + n * id_bytes])
+                    end += n * id_bytes
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.binary())], names=["digest", "ids"])
 
-    chunks_ = stage(coded.select("ids", "sizes", "recipe").mapInArrow(common, "digest binary, ids binary").groupBy("digest").agg(F.first("ids").alias("ids")), "chunks")
-    dealt = coded.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), "text_hash").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text_hash").withColumn("part", F.spark_partition_id())
+    pieces = coded.select("ids", "sizes", "recipe").mapInArrow(apart, "digest binary, ids binary")
+    if known is not None:
+        pieces = pieces.join(known.select("digest"), "digest", "left_anti")
+    chunks_ = stage(pieces.groupBy("digest").agg(F.first("ids").alias("ids")), "chunks")
+    if known is not None:
+        chunks_ = known.select("digest", "ids").unionByName(chunks_)
+    light = coded.select("doc_id", "text_hash", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n).alias("n_tokens"), "recipe")
+    dealt = light.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), "text_hash").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text_hash").withColumn("part", F.spark_partition_id())
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, before = 0, 0
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for ids, sizes, recipe in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                away = np.flatnonzero(shared[slots(recipe)]).tolist()
-                gone = set(away)
-                kept = b"".join(x for k, x in enumerate(pieces(ids, sizes, id_bytes)) if k not in gone) if away else ids
-                for column, value in zip(out, (row, before, len(ids) // id_bytes, away, merkle(recipe), kept)):
-                    column.append(value)
-                row, before = row + 1, before + len(ids) // id_bytes
-            columns = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary()))]
+            n = batch.column(2).to_numpy()
+            starts = before + np.cumsum(n) - n
+            roots = [merkle(recipe) for recipe in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(5), columns[0], batch.column(0), columns[1], columns[2], batch.column(3), batch.column(4), *columns[3:]],
+                [batch.column(4), pa.array(np.arange(row, row + len(n))), batch.column(0), pa.array(starts, pa.int64()), batch.column(2), batch.column(3), pa.array(roots, pa.binary())],
                 names=[x.split()[0] for x in PLACED.split(", ")],
             )
+            row, before = row + len(n), before + int(n.sum())
 
     documents = stage(dealt.mapInArrow(place, PLACED), "documents")
-    parts = documents.groupBy("part").agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("place", "root"))).alias("roots"))
-
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            roots = [merkle([r["root"] for r in listed]) for listed in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(roots, pa.binary())], names=["part", "rows", "n_tokens", "root"])
-
+    discard(coded)
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # One row for each part: few.
-    manifest = stage(parts.mapInArrow(top, "part int, rows long, n_tokens long, root binary").withColumn("before", before), "manifest")
+    manifest = stage(part_roots(documents).withColumn("before", before), "manifest")
     return Store(documents, chunks_, manifest, id_bytes)
 
 
 READ = "doc_id long, start long, n_tokens long, ids binary"
 
 
+def verify(store: Store) -> None:
+    """Compare the parts' rows, ids and roots, from the documents as they are, with the manifest; a difference is an error."""
+    stated = store.manifest.select("part", F.struct("rows", "n_tokens", "root").alias("stated"))
+    there = part_roots(store.documents).select("part", F.struct("rows", "n_tokens", "root").alias("there"))
+    wrong = stated.join(there, "part", "full").filter(~F.col("stated").eqNullSafe(F.col("there"))).select("part").limit(5).collect()
+    if wrong:
+        raise ValueError(f"the documents do not match the manifest in parts {[r['part'] for r in wrong]}")
+
+
 def read(store: Store) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids (32 bits wide) of every document, from the files of a store.
 
-    Every chunk is checked against its digest and every recipe against its Merkle root; a mismatch is an error.
+    Documents are checked against the manifest at once, chunks and recipes as the rows are made; a mismatch is an error.
     """
-    starts = {r["part"]: r["before"] for r in store.manifest.select("part", "before").collect()}
+    verify(store)
     id_bytes = store.id_bytes
-    asked = store.documents.filter(F.size("away") > 0)
-    plain = store.documents.filter(F.size("away") == 0)
-    needed = asked.select("part", "place", F.explode("away").alias("k"), "recipe").select("part", "place", "k", F.get("recipe", F.col("k")).alias("digest"))
-    fetched = needed.join(store.chunks.withColumnRenamed("ids", "chunk"), "digest").groupBy("part", "place").agg(F.collect_list(F.struct("k", "chunk")).alias("fetched"))
-    columns = ["part", "doc_id", "start", "sizes", "recipe", "away", "root", "ids"]
-    both = asked.join(fetched, ["part", "place"], "left").select(*columns, "fetched").unionByName(plain.select(*columns, F.lit(None).cast("array<struct<k:int,chunk:binary>>").alias("fetched")))
+    placed = store.documents.join(F.broadcast(store.manifest.select("part", "before")), "part")
+    asked = placed.select("part", "place", "doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "root", F.posexplode("recipe").alias("k", "digest"))
+    fetched = asked.join(store.chunks.select("digest", F.col("ids").alias("chunk")), "digest", "left")
+    whole = fetched.groupBy("part", "place").agg(*(F.first(c).alias(c) for c in ("doc_id", "start", "n_tokens", "root")), F.array_sort(F.collect_list(F.struct("k", "digest", "chunk"))).alias("chunks"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, counts, out = [], [], []
-            for part, start, sizes, recipe, away, root, ids, fetched in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6, 7, 8))):
-                there = {f["k"]: f["chunk"] for f in fetched or ()}
-                gone = set(away)
-                own = iter(pieces(ids, [n for k, n in enumerate(sizes) if k not in gone], id_bytes))
-                whole = [there[k] if k in gone else next(own) for k in range(len(sizes))]
-                if [digest(x) for x in whole] != recipe or merkle(recipe) != root:
+            out = []
+            for n, root, listed in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6)):
+                listed = listed.as_py()
+                recipe = [c["digest"] for c in listed]
+                if any(c["chunk"] is None or digest(c["chunk"]) != c["digest"] for c in listed) or merkle(recipe) != root:
                     raise ValueError("a document's chunks do not match its recipe")
-                stream = np.frombuffer(b"".join(whole), f"<u{id_bytes}")
-                first.append(starts[part] + start), counts.append(len(stream)), out.append(stream.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(first, pa.int64()), pa.array(counts, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                stream = np.frombuffer(b"".join(c["chunk"] for c in listed), f"<u{id_bytes}")
+                if len(stream) != n:
+                    raise ValueError("a document's chunks do not match its length")
+                out.append(stream.astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(4), pa.array(out, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return both.mapInArrow(build, READ)
+    return whole.mapInArrow(build, READ)
