@@ -1,14 +1,17 @@
-"""Finding training documents that hold benchmark items: BM25 with block-max bounds, then an overlap check.
+"""Finding training documents that hold benchmark items: BM25 with block-max WAND, then an overlap check.
 
 An inverted index over the test items has weights BM25(term, item) / BM25(item, item), so that a
 passage with all terms of an item scores 1 whatever its length. Every training passage is a query.
 Passages are windows of 2 * reach words, one beginning each `reach` words, so every run of
 `reach` words lies in one; items are indexed by their length's power of two, which is the reach.
-
-A batch of passages is looked up at once. As in WAND, an item's lightest terms, which together weigh
-less than half the threshold, open no candidates: only the postings of the other terms are followed.
-As in block-max WAND, postings are in blocks of items, and a block is left when the sum of its
-terms' block maxima cannot reach the threshold. What remains is scored in full.
+Statistics of terms and lengths are those of all items, in whatever index these are.
+
+All passages of a slice of text move through the index together, each by its own pivots. A passage's cursors
+stand on blocks of items; in the order of these blocks the terms' largest weights are summed until the
+threshold can be reached: that cursor's block is the pivot, and all cursors before it jump there. The block
+is looked into if the block maxima of the terms that stand on it reach the threshold too. An item's
+lightest terms, which together weigh less than half the threshold, have no cursors but
+count with every bound. Items that remain are scored in full.
 """
 
 from __future__ import annotations
@@ -24,14 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadloom.llm.common import Rolling, chunks
+from leadloom.llm.common import Rolling, chunks, fresh, stage
 
 #: BM25's term saturation and length share.
 K1, B = 1.2, 0.75
 #: Part of an item's own score that a passage must reach.
 THRESHOLD = 0.5
-#: Items of a block of postings, and of an index (what is broadcast at once; more items make more indexes).
-BLOCK, SHARD = 64, 20_000
+#: Items of a block of postings.
+BLOCK = 64
+#: Bytes of items' texts in the indexes that one pass over the documents has at hand (what is broadcast at once is some
+#: four times as much); an item counts for ITEM_BYTES more. Larger benchmarks take more passes.
+SHARD_BYTES, ITEM_BYTES = 8 << 20, 64
 #: Words of the shortest reach.
 LEAST_REACH = 64
 #: Words of a shingle for the question's overlap, least words of an answer, and what parts must be found.
@@ -51,8 +57,13 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.searchsorted(offsets, first, "right") - 1, Rolling(data).hashes(first, last)
 
 
+def lowered(texts: pa.Array) -> pa.Array:
+    """Lower-cased texts: items and documents alike go through this one function."""
+    return pc.utf8_lower(texts)
+
+
 def text_words(text: str) -> np.ndarray:
-    raw = np.frombuffer(text.lower().encode(), np.uint8)
+    raw = np.frombuffer(lowered(pa.array([text]))[0].as_py().encode(), np.uint8)
     return words(raw, np.array([0, len(raw)]))[1]
 
 
@@ -101,20 +112,32 @@ class Index:
     block_at: np.ndarray  # where each term's blocks begin in block_ids, block_max
     block_ids: np.ndarray
     block_max: np.ndarray
+    term_max: np.ndarray  # largest weight of each term's followed postings
     rest: np.ndarray  # weight of the terms that open no candidates, of each item and of each block at most
     block_rest: np.ndarray
 
 
-def build(items: list[tuple[int, str]], reach: int) -> Index:
+@dataclass
+class Statistics:
+    """Of all items: how many, their mean length, and for some term hashes, ascending, in how many items they are."""
+
+    items: int
+    mean_length: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def build(items: list[tuple[int, str]], reach: int, known: Statistics) -> Index:
+    """The index of items with a word, by statistics that know all their terms."""
     hashes = [text_words(text) for _, text in items]
     lengths = np.array([len(h) for h in hashes], float)
     owner = np.repeat(np.arange(len(items)), lengths.astype(int))
     terms, term = np.unique(np.concatenate(hashes), return_inverse=True)
     pairs, tf = np.unique(owner * len(terms) + term, return_counts=True)
     item, term = pairs // len(terms), pairs % len(terms)
-    df = np.bincount(term, minlength=len(terms))
-    idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
-    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / lengths.mean()))
+    df = known.df[np.searchsorted(known.terms, terms)]
+    idf = np.log(1 + (known.items - df + 0.5) / (df + 0.5))
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / known.mean_length))
     weight /= np.bincount(item, weight)[item]
     # Lightest terms of each item whose weights sum to less than half the threshold.
     order = np.lexsort((weight, item))
@@ -133,23 +156,46 @@ def build(items: list[tuple[int, str]], reach: int) -> Index:
     block_max = np.maximum.reduceat(weight[kept], first)
     block_at = np.searchsorted(key, np.arange(len(terms) + 1) * blocks)
     block_rest = np.maximum.reduceat(rest, np.arange(0, len(items), BLOCK))
-    return Index(reach, [i for i, _ in items], [question_and_answer(t) for _, t in items], terms, start, term, weight, list_at, item[kept], weight[kept], block_at, key % blocks, block_max, rest, block_rest)
+    term_max = np.zeros(len(terms))
+    np.maximum.at(term_max, term[kept], weight[kept])
+    return Index(reach, [i for i, _ in items], [question_and_answer(t) for _, t in items], terms, start, term, weight, list_at, item[kept], weight[kept], block_at, key % blocks, block_max, term_max, rest, block_rest)
 
 
-def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes over all items with a word, each over SHARD items at most; null ids and texts make no item."""
+def term_counts(items: DataFrame) -> DataFrame:
+    """(item_id, n_words, terms): the words of each item, and its distinct term hashes."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [text_words(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([np.unique(x).view(np.int64) for x in found], pa.list_(pa.int64()))], names=["item_id", "n_words", "terms"])
+
+    return items.mapInArrow(each, "item_id long, n_words long, terms array<long>")
+
+
+def indexes(benchmark: DataFrame) -> Iterator[list[Index]]:
+    """Indexes over all items with a word, those of about SHARD_BYTES of items at a time; null ids and texts make no item."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    shards = -(-rows.count() // SHARD)
+    size = rows.agg(F.sum(F.octet_length("text") + ITEM_BYTES)).first()[0]
+    if not size:
+        return
+    counted = stage(term_counts(rows).filter("n_words > 0"), "items")
+    n, mean = counted.agg(F.count("*"), F.avg("n_words")).first()
+    df = stage(counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "terms")
+    shards = -(-size // SHARD_BYTES)
     for k in range(shards):
-        # Dealt by hash: a shard has about SHARD items, with the shards' count growing as the items do.
-        shard = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).collect()
+        # Dealt by hash: their number grows as the items do, so a shard stays of one size.
+        own = F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k
+        shard = rows.filter(own).collect()
+        terms = counted.filter(own).select(F.explode("terms").alias("term")).distinct().join(df, "term").toArrow()
+        hashes = terms.column("term").to_numpy().view(np.uint64)
+        order = np.argsort(hashes)
+        known = Statistics(n, mean or 1.0, hashes[order], terms.column("df").to_numpy()[order])
         by_reach: dict[int, list] = {}
         for item, text in sorted(map(tuple, shard)):
-            n = len(text_words(text))
-            if n:
-                by_reach.setdefault(max(LEAST_REACH, 1 << (n - 1).bit_length()), []).append((item, text))
-        for reach, items in sorted(by_reach.items()):
-            yield build(items, reach)
+            words_ = len(text_words(text))
+            if words_:
+                by_reach.setdefault(max(LEAST_REACH, 1 << (words_ - 1).bit_length()), []).append((item, text))
+        yield [build(items, reach, known) for reach, items in sorted(by_reach.items())]
 
 
 def spread(at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,13 +205,47 @@ def spread(at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return who, np.arange(len(who)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + at[keys][who]
 
 
+def pivots(index: Index, window: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """window * blocks + block, ascending, of the blocks that may hold an item at the threshold, from distinct (window, term) pairs."""
+    blocks, out = len(index.block_rest), []
+    # All postings' blocks in one ascending array: a cursor is a place there.
+    ends = index.block_at[1:]
+    every = np.repeat(np.arange(len(ends)), np.diff(index.block_at)) * blocks + index.block_ids
+    least, most_rest = THRESHOLD - 1e-9, index.block_rest.max()
+    cursor = index.block_at[term]
+    alive = cursor < ends[term]
+    while alive.any():
+        window, term, cursor = window[alive], term[alive], cursor[alive]
+        block = index.block_ids[cursor]
+        order = np.lexsort((block, window))
+        window, term, cursor, block = window[order], term[order], cursor[order], block[order]
+        begins = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
+        sums = np.cumsum(index.term_max[term])
+        own = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(window))))
+        reached = sums - (sums[begins] - index.term_max[term[begins]])[own] + most_rest >= least
+        # The pivot of each passage: its first cursor at which the threshold can be reached; without one it is done.
+        at = np.minimum.reduceat(np.where(reached, np.arange(len(window)), len(window)), begins)
+        goes_on = at < len(window)
+        pivot = block[np.minimum(at, len(window) - 1)][own]
+        alive = goes_on[own]
+        window, term, cursor, block, pivot = window[alive], term[alive], cursor[alive], block[alive], pivot[alive]
+        behind = block < pivot
+        cursor[behind] = np.searchsorted(every, term[behind] * blocks + pivot[behind])
+        there = cursor < ends[term]
+        window, term, cursor, pivot = window[there], term[there], cursor[there], pivot[there]
+        on = index.block_ids[cursor] == pivot
+        key, back = np.unique(window[on] * blocks + pivot[on], return_inverse=True)
+        bound = np.bincount(back, index.block_max[cursor[on]], len(key)) + index.block_rest[key % blocks]
+        out.append(key[bound >= least])
+        cursor = cursor + on
+        alive = cursor < ends[term]
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
 def retrieve(index: Index, window: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(window, item, score) of all that reach the threshold, from distinct (window, term) pairs in order."""
     blocks = len(index.block_rest)
-    who, place = spread(index.block_at, term)
-    key, back = np.unique(window[who] * blocks + index.block_ids[place], return_inverse=True)
-    most = np.bincount(back, index.block_max[place], len(key)) + index.block_rest[key % blocks]
-    live = key[most >= THRESHOLD - 1e-9]
+    live = pivots(index, window, term)
     if not len(live):
         return live, live, np.zeros(0)
     who, place = spread(index.list_at, term)
@@ -187,14 +267,12 @@ def retrieve(index: Index, window: np.ndarray, term: np.ndarray) -> tuple[np.nda
     return key[good] // n, key[good] % n, score[good]
 
 
-def matches(index: Index, data: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], tuple[float, float, float]]:
-    """(row, item number) of the items that a row's passages hold: best score, question and answer overlap."""
-    row, hashes = words(data, offsets)
+def matches(index: Index, row: np.ndarray, hashes: np.ndarray, n: int) -> dict[tuple[int, int], tuple[float, float, float]]:
+    """(row, item number) of the items that the passages of n rows of words hold: best score, question and answer overlap."""
     place = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
     hit = np.flatnonzero(index.terms[place] == hashes)
     if not len(hit):
         return {}
-    n = len(offsets) - 1
     first = np.searchsorted(row, np.arange(n + 1))
     # Steps of `reach` words within each row; window k covers steps k and k + 1.
     base = np.concatenate([[0], np.cumsum((first[1:] - first[:-1]) // index.reach + 2)])
@@ -219,26 +297,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row (doc_id, item_id, score, question_overlap, answer_overlap) for each item that a document's text holds.
 
     Every passage of every whole text is a query. The score is the best passage's; ties of scores go to the
-    larger overlaps. Null and empty texts hold nothing; rows that repeat a doc_id are judged each by itself.
-    Without items, or without documents, there are no rows.
+    larger overlaps. Null and empty texts hold nothing; rows that repeat a doc_id are judged each by itself; items
+    that repeat an item_id are items of their own. Other columns are not looked at. Without items, or without
+    documents, there are no rows.
     """
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *LEAKS.fields])
     context, out = docs.sparkSession.sparkContext, None
-    for index in indexes(benchmark):
-        # At most SHARD items of one reach.
-        held = context.broadcast(index)
+    for some in indexes(benchmark):
+        # Of about SHARD_BYTES of items.
+        held = context.broadcast(some)
 
         def look(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                batch = batch.set_column(1, "text", pc.utf8_lower(batch.column(1)))
+                batch = batch.set_column(1, "text", lowered(batch.column(1)))
                 for part, data, offsets in chunks(batch):
-                    found = matches(held.value, data, offsets)
-                    if found:
-                        rows = [r for r, _ in found]
-                        yield pa.RecordBatch.from_arrays(
-                            [part.column(0).take(pa.array(rows)), pa.array([held.value.item_ids[i] for _, i in found], pa.int64()), *(pa.array(x, pa.float64()) for x in zip(*found.values()))],
-                            names=schema.names,
-                        )
+                    row, hashes = words(data, offsets)
+                    for index in held.value:
+                        found = matches(index, row, hashes, part.num_rows)
+                        if found:
+                            rows = [r for r, _ in found]
+                            yield pa.RecordBatch.from_arrays(
+                                [part.column(0).take(pa.array(rows)), pa.array([index.item_ids[i] for _, i in found], pa.int64()), *(pa.array(x, pa.float64()) for x in zip(*found.values()))],
+                                names=schema.names,
+                            )
 
         part = docs.select("doc_id", "text").mapInArrow(look, schema)
         out = part if out is None else out.unionByName(part)
@@ -247,5 +328,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with their columns as they were, whose doc_id has no leak; a null doc_id stays only if no such row leaks."""
-    gone = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaking")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_leaking"]), "left_anti")
+    (leaking,) = fresh(docs.columns, "leaking")
+    gone = leaks(docs, benchmark).select(F.col("doc_id").alias(leaking)).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[leaking]), "left_anti")
