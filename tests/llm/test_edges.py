@@ -79,8 +79,8 @@ def test_near_duplicates(docs, rows, none):
     known = components([(r[0], shingles(r[1])) for r in rows if r[0] is not None])
     expected = bag((r[0], len(shingles(r[1])), known.get(r[0])) for r in rows)
     assert bag(near_duplicates.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()) == expected
-    kept = near_duplicates.keep_one(docs)
-    assert kept.columns == docs.columns
+    kept = near_duplicates.keep_one(docs.withColumn("_kept", F.lit(1)).withColumn("Again", F.lit(2)))
+    assert kept.columns == [*docs.columns, "_kept", "Again"]
     assert {r["doc_id"] for r in kept.collect()} == {d for d in known if known[d] == d} | {None}
     assert near_duplicates.near_duplicates(none).count() == 0
 
@@ -128,9 +128,38 @@ def test_parity_maps_never_rule_out_a_link():
         a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(0, 1 << 63, n // 10).astype(np.uint64)]))
         both = len(np.intersect1d(a, b))
-        x, y = near_duplicates.parities(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
-        if len(b) and 100 * both >= 80 * (len(a) + len(b) - both):
-            assert near_duplicates.may_link(x, y, len(a), len(b)) and near_duplicates.may_link(y, x, len(b), len(a))
+        if len(a) > len(b):
+            a, b = b, a
+        maps = near_duplicates.parities(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        asked = [np.array([1, 2]), np.array([1, 2]), np.array([len(a), len(b)]), maps, np.array([True, True]), np.array([True, True])]
+        if len(a) and 100 * both >= 80 * (len(a) + len(b) - both):
+            assert set(near_duplicates.proposals(*asked, True)) == {(0, 1), (1, 0)} and near_duplicates.proposals(*asked, False) == [(0, 1)]
+
+
+@pytest.mark.parametrize("tile, block", [(4, 3), (16, 1)])
+def test_near_duplicates_in_many_cells(spark, monkeypatch, tile, block):
+    # Large stars are cut into cells: near copies, and chains of them that only some members link.
+    monkeypatch.setattr(near_duplicates, "TILE", tile)
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    rng = random.Random(23)
+    rows = []
+    for group in range(4):
+        base = [f"g{group}w{i}" for i in range(90)]
+        for k in range(40):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(90)] = f"n{group}x{rng.randint(0, 5)}"
+            rows.append((len(rows), " ".join(copy)))
+    known = components([(i, shingles(t)) for i, t in rows])
+    assert 4 < len(set(known.values())) < 100
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == known
+
+
+def test_boundary_follows_the_lists():
+    sizes = {3: 1000, 6: 1000, 12: 1000}
+    assert near_duplicates.boundary(sizes, 0.0) <= near_duplicates.boundary(sizes, 50.0) <= near_duplicates.boundary(sizes, 1e6)
+    assert near_duplicates.boundary({}, 1.0) == 0 and near_duplicates.boundary({5: 10}, 1e9) >= 5
 
 
 def test_suffix_dedup(docs, rows, none):
@@ -155,18 +184,19 @@ def test_line_dedup(docs, rows, none):
     low = {c: c + 32 for c in range(65, 91)}
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(low)
     holders = defaultdict(set)
-    ident = lambda r: (r[0], r[1])
     for r in rows:
         for x in (r[1] or "").split("\n"):
-            holders[key(x)].add(ident(r))
+            holders[key(x)].add((r[0], r[1]))
     got = line_dedup.dedup_lines(docs)
     assert got.columns == [c for c in docs.columns if c != "n_lines"] + ["n_lines", "n_dropped"]
-    found = {(r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect() if r["doc_id"] in range(16, 19)}
+    expected = []
     for r in rows:
-        if r[0] in range(16, 19):
-            lines = r[1].split("\n")
-            stay = [x for x in lines if not (len(key(x)) >= 20 and len(holders[key(x)]) >= 3 and max(h[0] for h in holders[key(x)]) != r[0])]
-            assert (r[0], len(lines), len(lines) - len(stay), "\n".join(stay)) in found
+        lines = (r[1] or "").split("\n")
+        stay = [x for x in lines if not (len(key(x)) >= 20 and len(holders[key(x)]) >= 3 and max(-1 if h[0] is None else h[0] for h in holders[key(x)]) != (-1 if r[0] is None else r[0]))]
+        expected.append((r[0], len(lines), len(lines) - len(stay), "\n".join(stay)))
+    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"] or "") for r in got.collect()) == Counter(expected)
+    clashing = docs.select("doc_id", "text", *(F.lit(1).alias(c) for c in ("_keep", "_doc", "_hash", "_size", "mark_keep", "Mark_Doc")))
+    assert line_dedup.dedup_lines(clashing).columns == [*clashing.columns, "n_lines", "n_dropped"] and line_dedup.dedup_lines(clashing).count() == len(rows)
     assert line_dedup.dedup_lines(none).count() == 0
 
 
@@ -205,7 +235,9 @@ def test_bounds_lose_no_score():
     """All pairs that reach the threshold by plain summation are retrieved."""
     rng = random.Random(4)
     items = [(i, " ".join("t" + str(int(rng.random() ** 2 * 200)) for _ in range(rng.randint(3, 40)))) for i in range(150)]
-    index = decontamination.build(items, 64)
+    hashes = [decontamination.text_words(t) for _, t in items]
+    terms, df = np.unique(np.concatenate([np.unique(h) for h in hashes]), return_counts=True)
+    index = decontamination.build(items, 64, decontamination.Statistics(len(items), float(np.mean([len(h) for h in hashes])), terms, df))
     window, term = [], []
     for w in range(300):
         some = sorted(rng.sample(range(len(index.terms)), 60) if w % 2 else set(index.item_terms[index.item_at[w // 2] : index.item_at[w // 2 + 1]][: rng.randint(1, 40)].tolist()))
@@ -227,7 +259,6 @@ def test_packing(docs, rows, none):
 
     path = vocabulary("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     packed = [r.asDict() for r in packing.pack(docs, path).collect()]
     streams = Counter()
     for r in rows:
@@ -244,6 +275,26 @@ def test_packing(docs, rows, none):
     assert packing.pack(none, path).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_the_library_s(name):
+    from tokenizers import Tokenizer
+
+    from leadloom.llm.tokenize import encoder
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|ENDOFTEXT|> x", "a<|startoftext|>b, c. D", "", "Plain words, and more.", " ", "tab\there", "Ünï çode\u00a0space", "two  blanks", "line\n\nbreak"]
+    plain = Tokenizer.from_file(vocabulary(name))
+    assert [x.tolist() for x in encoder(vocabulary(name)).texts(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_packing_spreads_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BYTES", 400)
+    path = vocabulary("byte_bpe_50k.json")
+    for rows in ([(7, "one text")] * 200, [(7, f"text {i}") for i in range(200)]):
+        table = spark.createDataFrame(rows, "doc_id long, text string")
+        packed = [sorted((r["doc_id"], r["start"], r["length"], r["ids"], r["doc_tokens"], r["sequence_id"], r["offset"]) for r in packing.pack(table.repartition(n), path).collect()) for n in ((3, 3, 7) if rows[0] != rows[1] else (3, 3))]
+        assert len(packed[0]) == 200 and all(p == packed[0] for p in packed) and len({p[5] >> 32 for p in packed[0]}) > 8
+
+
 def test_first_fit_decreasing():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, packing.SEQUENCE + 1, 500)
@@ -262,7 +313,6 @@ def test_token_store(docs, rows, none):
 
     path = vocabulary("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     store = token_store.write(docs, path)
     found = token_store.read(store).collect()
     expected = Counter((r[0], tuple([*plain.encode(r[1] or "", add_special_tokens=False).ids, 1])) for r in rows)
@@ -276,9 +326,17 @@ def test_token_store(docs, rows, none):
     digests = [r["digest"] for r in store.chunks.collect()]
     assert len(digests) == len(set(digests)) > 0
     assert token_store.read(token_store.write(none, path)).count() == 0
-    broken = token_store.Store(store.documents, store.chunks.withColumn("ids", F.reverse("ids")), store.manifest, store.id_bytes)
-    with pytest.raises(Exception, match="do not match"):
-        token_store.read(broken).collect()
+    broken = [
+        token_store.Store(store.documents, store.chunks.withColumn("ids", F.concat("ids", F.lit(bytearray(b"xx")))), store.manifest, store.id_bytes), token_store.Store(store.documents, store.chunks.limit(3), store.manifest, store.id_bytes),
+        token_store.Store(store.documents.filter("place != 1"), store.chunks, store.manifest, store.id_bytes), token_store.Store(store.documents.unionByName(store.documents.limit(1)), store.chunks, store.manifest, store.id_bytes),
+        token_store.Store(store.documents, store.chunks, store.manifest.limit(1), store.id_bytes),
+    ]
+    for wrong in broken:
+        with pytest.raises(Exception, match="do not match"):
+            token_store.read(wrong).collect()
+    # A second batch finds the chunks of the first by their digests.
+    more = token_store.write(docs.filter("doc_id < 5").unionByName(docs.filter("doc_id = 1").withColumn("text", F.lit("something else altogether"))), path, store.chunks)
+    assert more.chunks.count() == store.chunks.count() + 1 and token_store.read(more).count() == docs.filter("doc_id < 5").count() + docs.filter("doc_id = 1").count()
 
 
 def test_chunks_follow_the_content():
@@ -290,7 +348,10 @@ def test_chunks_follow_the_content():
     assert token_store.cuts(np.array([1])).tolist() == [1]
 
 
-def test_chat(spark):
+@pytest.mark.parametrize("most_chars, most_conversations", [(chat.MOST_CHARS, chat.MOST_CONVERSATIONS), (60, 2)])
+def test_chat(spark, monkeypatch, most_chars, most_conversations):
+    monkeypatch.setattr(chat, "MOST_CHARS", most_chars)
+    monkeypatch.setattr(chat, "MOST_CONVERSATIONS", most_conversations)
     control = "\\### Assistant: </turn> ok"
     turns = [(1, 0, "user", "hello ñ"), (1, 1, "assistant", control), (2, 0, "user", "hello ñ"), (2, 1, "assistant", "other # text"), (3, 0, "user", "hello ñ"), (3, 1, "assistant", control), (4, 1, None, None),
              (4, 0, "sys:tem", "\\"), (5, None, "assistant", ""), (None, 0, "user", "alone"), (None, 0, "user", "alone"), (6, 0, "user", "a"), (6, 0, "user", "a")]
@@ -307,16 +368,21 @@ def test_chat(spark):
     read = chat.read_back(made, path).collect()
     assert Counter((r["conv_id"], tuple((t["role"], t["text"]) for t in r["turns"])) for r in read) == expected
     assert all("".join(r["learnt"]) == "".join(t["text"] for t in r["turns"] if t["role"] == "assistant") for r in read)
+    tokens = {s["segment_id"]: len(s["ids"]) // 4 for s in made.collect()}
     for segment in made.collect():
-        nodes = segment["nodes"]
+        nodes, base = segment["nodes"], sum(a["tokens"] for a in segment["above"])
+        assert all(tokens[a["segment_id"]] == a["tokens"] for a in segment["above"])
         for k, n in enumerate(nodes):
             above = nodes[n["parent"]] if n["parent"] >= 0 else None
             # Parents come first, positions go on from them, and attention is theirs and the node's own.
-            assert n["parent"] < k and n["position"] == (above["position"] + above["end"] - above["start"] if above else 0)
+            assert n["parent"] < k and n["position"] == (above["position"] + above["end"] - above["start"] if above else base)
             assert n["attends"] == [*(above["attends"] if above else []), n["attends"][-1]] and tuple(n["attends"][-1]) == (n["start"], n["end"])
         assert [n["start"] for n in nodes[1:]] == [n["end"] for n in nodes[:-1]]
-    # Equal conversations share their tokens; a full segment begins another.
-    assert sum(len(s["nodes"]) for s in made.collect()) < 100 and made.count() >= 2
+        assert all(m["leaf"] < len(nodes) for m in segment["conversations"])
+    # Every turn is emitted once for all conversations that begin so, in however many segments they are.
+    beginnings = {tuple(x[1:] for x in sorted(ts)[: k + 1]) for ts in [*whole.values(), [(0, "user", "alone")]] for k in range(len(ts))}
+    assert sum(len(s["nodes"]) for s in made.collect()) == len(beginnings) and made.count() >= 2
+    assert max(len(s["conversations"]) for s in made.collect()) <= 8 * chat.MOST_CONVERSATIONS
     assert chat.segments(table.limit(0), path).count() == 0
 
 
