@@ -5,14 +5,25 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The session's bound on an Arrow batch, what it is if nobody has set it, and what the operators then set.
+ARROW_BOUND, ARROW_UNSET, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold ARROW_BYTES at most, so that long texts do not fill a Python worker; a session's own bound stands."""
+    if spark.conf.get(ARROW_BOUND, ARROW_UNSET) == ARROW_UNSET:
+        spark.conf.set(ARROW_BOUND, ARROW_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,6 +50,7 @@ def stage_path(spark: SparkSession, tag: str) -> str:
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = stage_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -65,6 +77,14 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def set_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`df` with its columns of these names called otherwise, and what gives a frame made of it their names back."""
+    own = {n.lower() for n in names}
+    clashing = [c for c in df.columns if c.lower() in own]
+    other = dict(zip(clashing, fresh([*df.columns, *names], *clashing)))
+    return df.withColumnsRenamed(other), lambda out: out.withColumnsRenamed({v: k for k, v in other.items()})
+
+
 def map_bits(rows: int) -> int:
     """Bits of a map for so many entries: sixteen for each, a power of two between 2^16 and 2^27 (16 MB)."""
     return 1 << min(27, max(16, (16 * rows).bit_length()))
