@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,12 +23,19 @@ def host(url: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(found), r"^www\.", ""), F.lit(""))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once for each row however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def registrable_domain(url: Column) -> Column:
     """The last two labels of the host, three under a two-label public suffix."""
-    labels = F.filter(F.split(host(url), r"\."), lambda x: x != "")
-    last = lambda n: F.array_join(F.slice(labels, -n, n), ".")
-    two = last(2)
-    return F.when(F.size(labels) < 2, F.array_join(labels, ".")).when((F.size(labels) >= 3) & two.isin(*TWO_LABEL_SUFFIXES), last(3)).otherwise(two)
+
+    def of(labels: Column) -> Column:
+        last = lambda n: F.array_join(F.slice(labels, -n, n), ".")
+        return F.when(F.size(labels) < 2, F.array_join(labels, ".")).when((F.size(labels) >= 3) & last(2).isin(*TWO_LABEL_SUFFIXES), last(3)).otherwise(last(2))
+
+    return once(F.filter(F.split(host(url), r"\."), lambda x: x != ""), of)
 
 
 def social_url(url: Column) -> Column:

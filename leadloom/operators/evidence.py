@@ -23,7 +23,19 @@ def normal_value(field: Column, value: Column) -> Column:
     return F.when(field == "phone", F.regexp_replace(value, "[^0-9]", "")).otherwise(F.lower(F.trim(value)))
 
 
-def reconcile(evidence: DataFrame, stored: DataFrame) -> DataFrame:
+def borne_out(stored: DataFrame, excerpts: DataFrame) -> DataFrame:
+    """(company_id, field, text_sources): from how many independent sources an excerpt (company_id, text, source_url, provider) has the stored value in it.
+
+    Excerpts of one company that come from one source are told apart by their text, so each is looked at once.
+    """
+    source = source_key(F.col("source_url"), F.col("provider"))
+    texts = excerpts.select("company_id", F.lower("text").alias("text"), source.alias("source")).filter("text <> ''").distinct()
+    values = stored.filter("trim(value) <> ''").select("company_id", "field", F.lower(F.trim("value")).alias("wanted")).distinct()
+    held = values.join(texts, "company_id").filter(F.contains("text", "wanted"))
+    return held.groupBy("company_id", "field").agg(F.countDistinct("source").alias("text_sources"))
+
+
+def reconcile(evidence: DataFrame, stored: DataFrame, excerpts: DataFrame | None = None) -> DataFrame:
     """A status for each stored value (company_id, field, value) from the claims on its field.
 
     Several distinct values need review and name a conflict, the first claims of the first two
@@ -39,6 +51,9 @@ def reconcile(evidence: DataFrame, stored: DataFrame) -> DataFrame:
     joined = stored.join(by_field, ["company_id", "field"], "left")
     match = F.filter("groups", lambda g: g["norm"] == normal_value(F.col("field"), F.col("value")))
     sources = F.coalesce(F.get(match, 0)["sources"], F.lit(0))
+    if excerpts is not None:
+        joined = joined.join(borne_out(stored, excerpts), ["company_id", "field"], "left")
+        sources = F.when(sources > 0, sources).otherwise(F.coalesce("text_sources", F.lit(0)))
     status = (
         F.when(F.col("value").isNull() | (F.col("value") == ""), "NOT_FOUND")
         .when(F.col("n_values") > 1, "NEEDS_REVIEW")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from leadloom.functions import labels as L
 from leadloom.operators import contact_quality as C
 from leadloom.operators import discovery as D
+from leadloom.operators import pages as G
 from leadloom.operators import places as P
+from leadloom.operators import qualify as Q
 from leadloom.operators import signals as S
 from leadloom.operators import websites as W
 from leadloom.plans.entities_sql import COMPANIES, EVENTS, VERIFICATIONS, LATEST_FIELDS, with_
@@ -395,3 +397,89 @@ def official_websites(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = H.title(F.col("html"))
     named = pages.select("page_id", "url", title.alias("title"), H.visible_text(F.col("html")).alias("text"), "html", F.array_join(F.slice(F.split(title, " "), 1, 3), " ").alias("company"))
     return W.official_websites(named.withColumns({"city": F.lit(None).cast("string"), "state": F.lit("Texas")})).select("page_id", "reason", "accepted", "score")
+
+
+_FIELD_STATES = ["VERIFIED", "SUPPORTED", "UNVERIFIED", "INVALID", "CONFLICT", None]
+_PEOPLE_MAIL = ["ann@co.example", "info@co.example", None, ""]
+_PAGES = ["https://linkedin.com/in/ann", "https://www.linkedin.com/company/acme", None]
+
+
+@query(
+    f"""WITH t AS (SELECT o_orderkey AS id, o_orderkey % 4 AS m, {_sql_pick(_PEOPLE_MAIL, 'o_orderkey')} AS mail, {_sql_pick(_FIELD_STATES, 'o_custkey')} AS s, {_sql_pick(_PAGES, 'o_orderkey // 4')} AS page, o_custkey % 5 = 0 AS owned, o_orderkey % 3 = 0 AS company_mail FROM orders)
+    SELECT id, CASE WHEN coalesce(mail, '') = '' OR mail LIKE 'info@%' THEN 'NOT_FOUND' WHEN s = 'INVALID' THEN 'NO_MATCH' WHEN s = 'CONFLICT' THEN 'NEEDS_REVIEW' WHEN NOT owned THEN 'NEEDS_REVIEW' ELSE 'MATCH' END AS person_email,
+      CASE WHEN page IS NULL OR page LIKE '%/company/%' THEN 'NOT_FOUND' WHEN s = 'INVALID' THEN 'NO_MATCH' WHEN s = 'CONFLICT' THEN 'NEEDS_REVIEW' WHEN s IN ('VERIFIED', 'SUPPORTED') THEN 'MATCH' ELSE 'NEEDS_REVIEW' END AS person_linkedin,
+      CASE WHEN coalesce(mail, CASE WHEN company_mail THEN 'c@co.example' END, '') = '' THEN 'NOT_FOUND' WHEN s = 'CONFLICT' THEN 'NEEDS_REVIEW' WHEN s IN ('VERIFIED', 'SUPPORTED') THEN 'MATCH' ELSE 'NEEDS_REVIEW' END AS email,
+      CASE WHEN page LIKE '%/company/%' THEN 'MATCH' ELSE 'NOT_FOUND' END AS company_linkedin, CASE WHEN page IS NULL THEN 'NOT_FOUND' WHEN s = 'INVALID' THEN 'NO_MATCH' WHEN s IN ('VERIFIED', 'SUPPORTED') THEN 'MATCH' ELSE 'NEEDS_REVIEW' END AS verified_linkedin,
+      CASE WHEN s = 'INVALID' AND owned AND (page IS NOT NULL OR company_mail) THEN 'NEEDS_REVIEW' WHEN s = 'INVALID' THEN 'NOT_QUALIFIED' ELSE 'QUALIFIED' END AS status FROM t"""
+)
+def contact_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q11 Q12 Q13 Q14 Q18: criteria on fields of persons and companies, and who is kept for review."""
+    k = F.col("o_orderkey")
+    mail, state, page = _pick(_PEOPLE_MAIL, k), _pick(_FIELD_STATES, F.col("o_custkey")), _pick(_PAGES, F.floor(k / 4))
+    owned, company_mail = F.col("o_custkey") % 5 == 0, F.when(k % 3 == 0, "c@co.example")
+    profiles = F.array(F.struct(F.lit("LinkedIn").alias("platform"), page.alias("url")))
+    verdict = F.when(state == "INVALID", "NOT_QUALIFIED").otherwise("QUALIFIED")
+    return A.table(spark, sf_dir, "orders").select(
+        k.alias("id"), Q.field_criterion("email", mail, state, True, True, True, owned).alias("person_email"), Q.field_criterion("linkedin", page, state, True, True, True).alias("person_linkedin"),
+        Q.contact_criterion("email", mail, company_mail, state, False, True, False, owned).alias("email"), Q.social_criterion("linkedin", profiles).alias("company_linkedin"), Q.verification_criterion(page, state).alias("verified_linkedin"),
+        Q.kept_for_review(verdict, owned, F.lit("Acme"), page.isNotNull() | company_mail.isNotNull()).alias("status"),
+    )
+
+
+_JOBS = ["CEO", "Founder & CEO", "Sales Manager", None, "Chief Executive Officer"]
+_VERDICTS = ["STRONG", "SUPPORTED", "WEAK", "REJECTED", None]
+
+
+@query(
+    f"""WITH c AS (SELECT o_custkey AS company_id, o_orderkey AS n, {_sql_pick(_JOBS, 'o_orderkey')} AS title, CASE WHEN o_orderkey % 7 = 0 THEN 'Ann' WHEN o_orderkey % 11 = 0 THEN '' ELSE 'Ann Person' END AS full_name FROM orders),
+    m AS (SELECT *, coalesce(title IN ('CEO', 'Chief Executive Officer'), false) AS hit FROM c),
+    p AS (SELECT *, bool_or(hit) OVER (PARTITION BY company_id) AS found, bool_or(full_name <> '') OVER (PARTITION BY company_id) AS named FROM m QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY hit DESC, n) = 1)
+    SELECT company_id, n AS contact, title, CASE WHEN NOT named THEN 'NOT_FOUND' WHEN NOT found THEN 'NO_MATCH' WHEN coalesce(title, '') = '' OR full_name <> 'Ann Person' THEN 'NEEDS_REVIEW' WHEN v = 'REJECTED' THEN 'NO_MATCH' WHEN v = 'WEAK' OR v IS NULL THEN 'NEEDS_REVIEW'
+      WHEN company_id % 6 = 0 THEN 'NEEDS_REVIEW' ELSE 'MATCH' END AS code FROM (SELECT *, {_sql_pick(_VERDICTS, 'company_id')} AS v FROM p)"""
+)
+def decision_makers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q9 Q19: each company's contact with the wanted role, else its first, and the criterion on a decision maker."""
+    k = F.col("o_orderkey")
+    people = A.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("company_id"), k.alias("n"), _pick(_JOBS, k).alias("title"), F.lit(None).cast("string").alias("normalized_role"), F.when(k % 7 == 0, "Ann").when(k % 11 == 0, "").otherwise("Ann Person").alias("full_name")
+    )
+    picked = Q.preferred_contacts(people, ["CEO"])
+    state = F.when(F.col("company_id") % 6 == 0, "CONFLICT")
+    code = Q.decision_maker_criterion(F.col("named"), F.col("role_found"), F.col("contact.full_name"), F.col("contact.title"), _pick(_VERDICTS, F.col("company_id")), [state])
+    return picked.select("company_id", F.col("contact.n").alias("contact"), "contact.title", code.alias("code"))
+
+
+_SNIPPETS = [
+    " Write to Info@co.example or x@y.example. Call (555) 010-0000 now.", " +1 555-010-2222, 12 Main Street, Austin TX 78701. We buy houses for cash and fix and flip.", " Our Services: roofs and   floors for all.", " sales.team@co.example 555.010.3333", "",
+]
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, coalesce(text, '') || {_sql_pick(_SNIPPETS, 'doc_id')} AS t FROM documents WHERE lang = 'de'),
+    m AS (SELECT doc_id, t, list_filter(list_transform(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{{2,}}'), lambda a: lower(a)), lambda a: regexp_matches(a, '^(info|contact|hello|support|sales|team|press|careers)[.+@]')) AS mails,
+      regexp_extract(t, '(?:\+?1[-.\s]?)?(?:\(?[0-9]{{3}}\)?[-.\s]?[0-9]{{3}}[-.\s]?[0-9]{{4}})') AS p, regexp_extract(t, '(?i)we buy houses? for cash') AS s1, regexp_extract(t, '(?i)fix and flip') AS s2 FROM d)
+    SELECT doc_id, mails[1] AS email, nullif(trim(regexp_replace(p, '\s+', ' ', 'g')), '') AS phone, concat_ws('|', nullif(s1, ''), nullif(s2, '')) AS signals FROM m"""
+)
+def text_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The public mailbox, the phone number and the investors' phrases in texts of one language."""
+    docs = A.table(spark, sf_dir, "documents").filter("lang = 'de'").select("doc_id", F.concat(F.coalesce("text", F.lit("")), _pick(_SNIPPETS, F.col("doc_id"))).alias("t"))
+    t = F.col("t")
+    return docs.select("doc_id", G.public_email(t).alias("email"), G.first_phone(t).alias("phone"), F.array_join(G.investment_phrases(t), "|").alias("signals"))
+
+
+@query()
+def page_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as facts, and a row of evidence for each description, address and number."""
+    facts = G.page_facts(A.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return G.evidence_rows(facts, ["page_id"]).withColumn("page_kind", L.page_kind(F.col("source_url")))
+
+
+@query()
+def page_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People that texts name, by windows around names and by sentences, merged over texts."""
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.coalesce("text", F.lit("")), _pick([" Our Team Ann Smith is the CEO.", " Managing Director: The Bob Jones.", ""], F.col("doc_id"))).alias("text"))
+    roles = ["CEO", "MANAGING_DIRECTOR", "DIRECTOR"]
+    windows = G.people_in_windows(docs, roles, ["source", "doc_id"]).withColumnRenamed("full_name", "name")
+    sentences = G.people_in_sentences(docs, roles, ["source", "doc_id"]).select("source", "doc_id", "name", "title")
+    every = windows.unionByName(sentences).select("source", "name", "title", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"))
+    return G.merge_people(every, ["source"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -184,17 +186,24 @@ def title_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
       ON contains(body, excerpt) WHERE excerpt <> ''"""
 )
 def claim_excerpt_on_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims whose excerpt stands in a page; an equi-join on four inner words before the containment test.
+    """Claims whose excerpt stands in a page: equi-joins on inner words, or on first characters, before the containment test.
 
-    Excerpts of fewer than six words have no four inner words; they alone are compared with every page.
+    Inner words of an excerpt are whole words of the page. Six words have four inner ones, three have one;
+    shorter excerpts may begin and end within words and are looked up by their first three characters.
     """
     flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     claims = A.table(spark, sf_dir, "benchmark").select("item_id", flat("text").alias("excerpt")).filter("excerpt <> ''").withColumn("w", F.split("excerpt", " "))
     pages = A.table(spark, sf_dir, "documents").select("doc_id", flat("text").alias("body"))
-    keyed = claims.filter(F.size("w") >= 6).select("item_id", "excerpt", F.expr("xxhash64(w[1], w[2], w[3], w[4])").alias("key"))
+    words = pages.withColumn("w", F.split("body", " "))
     runs = F.expr("if(size(w) < 4, cast(array() as array<bigint>), transform(sequence(0, size(w) - 4), i -> xxhash64(w[i], w[i + 1], w[i + 2], w[i + 3])))")
-    at = pages.withColumn("w", F.split("body", " ")).select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))
-    hits = at.join(keyed, "key").select("doc_id", "item_id", "excerpt").distinct()
-    long = hits.join(pages, "doc_id").filter(F.contains("body", "excerpt")).select("item_id", "doc_id")
-    short = claims.filter(F.size("w") < 6).join(pages, F.contains("body", "excerpt")).select("item_id", "doc_id")
-    return long.unionByName(short).distinct()
+    grams = lambda n: F.expr(f"if(length(body) < {n}, cast(array() as array<string>), transform(sequence(1, length(body) - {n - 1}), i -> substring(body, i, {n})))")
+    asked = [
+        (claims.filter(F.size("w") >= 6).select("item_id", "excerpt", F.expr("xxhash64(w[1], w[2], w[3], w[4])").alias("key")), words.select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))),
+        (claims.filter(F.size("w").between(3, 5)).select("item_id", "excerpt", F.get("w", 1).alias("key")), words.select("doc_id", F.explode(F.array_distinct("w")).alias("key"))),
+    ]
+    for n in (1, 2, 3):
+        size = F.length("excerpt") == n if n < 3 else F.length("excerpt") >= 3
+        asked.append((claims.filter((F.size("w") < 3) & size).select("item_id", "excerpt", F.substring("excerpt", 1, n).alias("key")), pages.select("doc_id", F.explode(F.array_distinct(grams(n))).alias("key"))))
+    parts = [at.join(keyed, "key").select("doc_id", "item_id", "excerpt").distinct() for keyed, at in asked if not keyed.isEmpty()]
+    hits = reduce(DataFrame.unionByName, parts) if parts else claims.select(F.lit(None).cast("long").alias("doc_id"), "item_id", "excerpt").limit(0)
+    return hits.join(pages, "doc_id").filter(F.contains("body", "excerpt")).select("item_id", "doc_id").distinct()
