@@ -64,6 +64,17 @@ def block_pairs(df: DataFrame, id_column: str, keys: dict[str, Column]) -> DataF
     return one.withColumnRenamed("id", "a").join(other, ["kind", "key"]).filter("a < b").select("a", "b").distinct()
 
 
+def block_stars(df: DataFrame, id_column: str, keys: dict[str, Column]) -> DataFrame:
+    """Pairs (a, b) of each row b with the smallest id a that shares a key with it: as many pairs as rows and keys, however many share one.
+
+    They bring together the same rows as block_pairs, by way of a; a pair that only block_pairs gives has a neighbour of both in a.
+    """
+    listed = F.array(*(F.struct(F.lit(name).alias("kind"), key.cast("string").alias("key")) for name, key in keys.items()))
+    one = df.select(F.col(id_column).alias("b"), F.explode(listed).alias("k")).select("b", "k.kind", "k.key").filter("key IS NOT NULL AND key <> ''").distinct()
+    heads = one.groupBy("kind", "key").agg(F.min("b").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    return one.join(heads, ["kind", "key"]).filter("a < b").select("a", "b").distinct()
+
+
 def streaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], hit: Column) -> DataFrame:
     """`streak`: how many rows in a row, up to this one, had no hit."""
     w = Window.partitionBy(*keys).orderBy(*order)
