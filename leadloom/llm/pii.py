@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import stage
+from leadloom.llm.common import set_aside, stage
 
 #: Kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
@@ -49,6 +49,8 @@ CONTEXT = {
     "card": r"(?i)(card|visa|master|amex|credit|debit|payment|account)\W{0,4}\w{0,6}\W{0,4}$",
     "phone": r"(?i)(phone|tel|call|mobile|cell|fax|dial|contact)\W{0,4}\w{0,6}\W{0,4}$",
 }
+#: Digits of a span from which on their number tells no more.
+MOST_DIGITS = 20
 #: Characters around a span that are looked at.
 AROUND = 32
 MARK = "\x01"
@@ -131,13 +133,14 @@ def _described(kind: str, span: Column, base: Column, strict: bool) -> Column:
         span["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), span["end"].alias("end"), F.lit(kind).alias("kind"), base.alias("base"),
         *(votes[v].cast("int").alias(v) for v in VOTES),
         sort_of(F.substring(span["before"], -1, 1)).alias("f_left"), sort_of(F.substring(span["after"], 1, 1)).alias("f_right"),
-        F.length(digits).cast("string").alias("f_size"), F.lit("strict" if strict else "loose").alias("f_shape"),
+        F.least(F.length(digits), F.lit(MOST_DIGITS)).cast("string").alias("f_size"), F.lit("strict" if strict else "loose").alias("f_shape"),
     )
 
 
 def candidates(docs: DataFrame, text: str = "text", column: str = "candidates") -> DataFrame:
     """The documents with `column`: all candidates of the whole text, base and looser, by start and kind."""
     body = F.translate(F.coalesce(F.col(text), F.lit("")), MARK, "\x02")
+    docs, back = set_aside(docs, ["_pii_text", *(f"_pii_{k}" for k in KINDS), *(f"_pii_loose_{k}" for k in LOOSE)])
     docs = docs.withColumn("_pii_text", body)
     lists, names = [], []
     for kind in KINDS:
@@ -155,7 +158,7 @@ def candidates(docs: DataFrame, text: str = "text", column: str = "candidates")
         # What overlaps a strict match of its kind is no candidate of its own.
         apart = F.filter(F.col(names[-1]), lambda s: ~F.exists(F.col(f"_pii_{kind}"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
         lists.append(F.transform(apart, lambda s: _described(kind, s, F.lit(False), False)))
-    return docs.withColumn(column, F.array_sort(F.concat(*lists))).drop("_pii_text", *names)
+    return back(docs.withColumn(column, F.array_sort(F.concat(*lists))).drop("_pii_text", *names))
 
 
 @dataclass
@@ -231,8 +234,8 @@ def find(docs: DataFrame, model: Model | None = None, column: str = "spans") ->
     """The documents with `column`, array<struct<start, rank, end, kind, base, score>>: the personal data in their whole texts.
 
     Places count code points, ends are exclusive; spans come by start and kind. A column of that name
-    is replaced. Null and empty texts have none; without a model one is fitted to these documents. An
-    empty table gives no rows.
+    is replaced. Null and empty texts have none; very long ones are searched whole; rows that repeat are searched
+    each by itself; without a model one is fitted to these documents. An empty table gives no rows.
     """
     if model is None:
         model = fit(stage(candidates(docs.select("text")).select("candidates"), "pii"))
@@ -246,6 +249,7 @@ def written(spans: Column) -> Column:
 
 def mask(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The documents with each span's text replaced by <kind>; of overlapping spans the first one counts."""
+    docs, back = set_aside(docs, ["_pii_spans"])
     found = find(docs, model, "_pii_spans")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.coalesce("text", F.lit(""))
@@ -256,4 +260,4 @@ def mask(docs: DataFrame, model: Model | None = None) -> DataFrame:
         return F.when(s["start"] >= state["at"], replaced).otherwise(state)
 
     masked = F.aggregate("_pii_spans", start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return found.withColumn("text", F.when(F.size("_pii_spans") > 0, masked).otherwise(F.col("text"))).drop("_pii_spans")
+    return back(found.withColumn("text", F.when(F.size("_pii_spans") > 0, masked).otherwise(F.col("text"))).drop("_pii_spans"))

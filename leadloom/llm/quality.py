@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.llm.common import set_aside
+
 #: Words of a document at least; percent of its words at most that lie in repeated 3-word windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Percent of the text's characters that the failing lines may hold at most.
@@ -44,16 +46,21 @@ def failing(line: Column, symbols: Column) -> Column:
     return (line != "") & (punctuation | navigation | boilerplate)
 
 
+#: Columns that are made and dropped on the way.
+WORKING = ["_words", "_full", "_sorted", "_maybe", "_pairs", "_places", "_lines", "_stay", "_lost"]
+
+
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of the whole text.
 
     A null text has no words. Windows are compared by 64-bit hashes: first packed with their places and
     sorted, to find those that may be repeated; then only these with all bits.
     """
+    docs, back = set_aside(docs, WORKING)
     own = F.coalesce(F.col(text), F.lit(""))
     window = "xxhash64(_words[{0}], _words[{0} + 1], _words[{0} + 2])"
     high, low = -(1 << PLACE_BITS), (1 << PLACE_BITS) - 1
-    return (
+    return back(
         docs.withColumn("_words", F.array_remove(F.split(own, BLANKS), ""))
         .withColumn("n_words", F.size("_words").cast("long"))
         .withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
@@ -78,13 +85,15 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Failing lines are missing in clean_text. A document is kept unless its counts fail or the lines
     removed hold more than MOST_LOST percent of its characters that are in lines with a word. Null and
-    empty texts fail by their counts; repeated rows are judged alike; an empty table gives no rows.
+    empty texts fail by their counts; very long ones are judged whole; repeated rows are judged alike; an empty
+    table gives no rows. Boilerplate is known by English phrases; the other rules hold in any language.
     """
+    docs, back = set_aside(docs, WORKING)
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text", "n_lines", "n_removed_lines"]
     counted = with_counts(docs.drop(*made), text)
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     chars = lambda ls: F.aggregate(ls, F.lit(0), lambda a, x: a + F.length(F.trim(x)))
-    return (
+    return back(
         counted.withColumn("_lines", lines)
         .withColumn("_stay", F.filter("_lines", lambda x: ~failing(F.btrim(x, F.lit(" \t\n\x0b\x0c\r")), F.col("n_symbols") > 0)))
         .withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))

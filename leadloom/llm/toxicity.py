@@ -82,20 +82,28 @@ class Model:
         return total / len(self.bias)
 
 
+def risk(z: np.ndarray, toxic: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative positive-unlabelled risk of scores z, and the slope that a step follows.
+
+    With logistic losses: prior * (toxic as toxic) + max(0, unlabelled as clean - prior * (toxic as clean)). Where
+    the second part is negative the step goes up it, so that it does not fit what is not there.
+    """
+    p, u = prior / max(1, toxic.sum()), 1 / max(1, (~toxic).sum())
+    s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    clean = u * np.logaddexp(0, z[~toxic]).sum() - p * np.logaddexp(0, z[toxic]).sum()
+    slope = np.where(toxic, -p * s, u * s)
+    slope = slope + np.where(toxic, p * (s - 1), 0) if clean > 0 else -slope
+    return p * np.logaddexp(0, -z[toxic]).sum() + max(0.0, clean), slope
+
+
 def fit_one(rows: tuple[np.ndarray, np.ndarray], toxic: np.ndarray, size: int, prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias of one classifier with the non-negative risk, by Adam; `rows` are (row, feature) pairs."""
     row, feature = rows
     n = len(toxic)
-    p, u = prior / max(1, toxic.sum()), 1 / max(1, (~toxic).sum())
     theta, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     theta[-1] = -1.0
     for step in range(1, STEPS + 1):
-        z = np.bincount(row, theta[feature], n) + theta[-1]
-        s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        # Logistic losses: toxic as toxic, and the part of the unlabelled that counts as clean.
-        clean = u * np.logaddexp(0, z[~toxic]).sum() - p * np.logaddexp(0, z[toxic]).sum()
-        slope = np.where(toxic, -p * s, u * s)
-        slope = slope + np.where(toxic, p * (s - 1), 0) if clean > 0 else -slope
+        _, slope = risk(np.bincount(row, theta[feature], n) + theta[-1], toxic, prior)
         grad = np.append(np.bincount(feature, slope[row], size), slope.sum())
         grad[:-1] += DECAY / max(1, toxic.sum()) * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad

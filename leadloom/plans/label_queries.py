@@ -12,6 +12,7 @@ from leadloom.operators import pages as G
 from leadloom.operators import places as P
 from leadloom.operators import qualify as Q
 from leadloom.operators import signals as S
+from leadloom.operators import web_hits as X
 from leadloom.operators import websites as W
 from leadloom.plans.entities_sql import COMPANIES, EVENTS, VERIFICATIONS, LATEST_FIELDS, with_
 from leadloom.operators import evidence as E
@@ -483,3 +484,30 @@ def page_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     sentences = G.people_in_sentences(docs, roles, ["source", "doc_id"]).select("source", "doc_id", "name", "title")
     every = windows.unionByName(sentences).select("source", "name", "title", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"))
     return G.merge_people(every, ["source"])
+
+
+_FIRMS = ["Oak Investments", "Oak Realty Investments", "Cash Home Buyers", "Oak Holdings", "Oak Bakery", "We Buy Houses Now"]
+
+
+@query(
+    f"""WITH t AS (SELECT s_suppkey AS id, {_sql_pick(_FIRMS, 's_suppkey')} AS name, CASE WHEN s_suppkey % 7 = 0 THEN 'Estate Agent' END AS category, 'Offers ' || {_sql_pick(['cash offer', 'off-market deals', 'software', 'Land acquisition'], 's_suppkey')} AS text FROM supplier)
+    SELECT id, name NOT LIKE '%Realty%' AND category IS NULL AND name <> 'Oak Bakery' AS allowed, CASE WHEN text LIKE '%cash offer%' THEN 'MATCH' ELSE 'NEEDS_REVIEW' END AS special FROM t"""
+)
+def investor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapped places that may be investors', and the criterion on a special lead type."""
+    k = F.col("s_suppkey")
+    text = F.concat(F.lit("Offers "), _pick(["cash offer", "off-market deals", "software", "Land acquisition"], k))
+    special = X.specialization(text, F.lit(None).cast("string"), ["cash_home_buyer"], F.lit(False))
+    return A.table(spark, sf_dir, "supplier").select(k.alias("id"), X.investor_allowed(_pick(_FIRMS, k), F.when(k % 7 == 0, "Estate Agent")).alias("allowed"), special.alias("special"))
+
+
+@query()
+def web_hit_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as hits of a web search: accepted candidates, without duplicates, and the reasons of the others."""
+    from leadloom.functions import html as H
+
+    pages = A.table(spark, sf_dir, "pages")
+    place = _pick([" investors in Texas", " investments", " in Ohio", " we buy houses, TX"], F.col("page_id"))
+    hits = pages.select(F.col("page_id").alias("id"), H.title(F.col("html")).alias("title"), "url", F.concat(F.substring(H.visible_text(F.col("html")), 1, 200), place).alias("snippet"))
+    kept, dropped = X.collect(X.assess(hits, ["real_estate_investor"], state="Texas", country="US"), 1000)
+    return dropped.unionByName(kept.groupBy().agg(F.count("*").alias("n")).select(F.lit("ACCEPTED").alias("reason"), "n"))
