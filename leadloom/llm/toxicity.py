@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadloom.llm.common import Rolling, chunks, fresh
+from leadloom.llm.common import Rolling, chunks, discard, fresh, stage
 
 #: Documents of the training sample at most: confirmed toxic ones, and unlabelled ones.
 SAMPLE_TOXIC, SAMPLE_UNLABELLED = 3000, 9000
@@ -31,8 +31,6 @@ CLASSIFIERS = 5
 STEPS, RATE = 300, 0.1
 #: Weight decay, divided by the number of toxic examples.
 DECAY = 0.15
-#: The class prior where no label tells it.
-PRIOR = 0.1
 
 
 def features(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -111,20 +109,21 @@ def fit_one(rows: tuple[np.ndarray, np.ndarray], toxic: np.ndarray, size: int, p
     return theta[:-1], float(theta[-1])
 
 
-def train(bucket: np.ndarray, at: np.ndarray, toxic: np.ndarray, prior: float) -> Model:
-    """A model from the buckets of the sample documents, bucket[at[i]:at[i + 1]], and whether each is confirmed toxic."""
-    if not toxic.any() or toxic.all():
-        return Model(np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0))
-    row = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(at))
-    in_toxic = np.bincount(bucket[toxic[row]], minlength=BUCKETS)
-    in_other = np.bincount(bucket[~toxic[row]], minlength=BUCKETS)
-    p, u = in_toxic / toxic.sum(), in_other / (~toxic).sum()
+NOTHING = Model(np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0))
+
+
+def choose(in_toxic: np.ndarray, in_other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+    """The buckets to keep, ascending, from the documents of each kind that have each bucket."""
+    p, u = in_toxic / n_toxic, in_other / n_other
     # How far a bucket's share of toxic texts exceeds its share of all, in standard errors.
-    worth = np.where(in_toxic >= LEAST, (p - u) / np.sqrt((u + 1 / len(toxic)) / toxic.sum()), 0)
+    worth = np.where(in_toxic >= LEAST, (p - u) / np.sqrt((u + 1 / (n_toxic + n_other)) / n_toxic), 0)
     best = np.argsort(-worth, kind="stable")[:KEPT]
-    kept = np.sort(best[worth[best] > 3])
-    inside = np.isin(bucket, kept)
-    row, feature = row[inside], np.searchsorted(kept, bucket[inside])
+    return np.sort(best[worth[best] > 3])
+
+
+def train(kept: np.ndarray, bucket: np.ndarray, at: np.ndarray, toxic: np.ndarray, prior: float) -> Model:
+    """A model of the kept buckets, from those of them that each sample document has, bucket[at[i]:at[i + 1]], and whether it is confirmed toxic."""
+    row, feature = np.repeat(np.arange(len(toxic)), np.diff(at)), np.searchsorted(kept, bucket)
     fold = np.random.default_rng(29).integers(0, CLASSIFIERS, len(toxic))
     weights, bias = [], []
     for k in range(CLASSIFIERS):
@@ -147,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     labels = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total, marked = labels.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
     if not marked:
-        return train(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool), PRIOR)
+        return NOTHING
     # Bounded: at most SAMPLE_TOXIC ids.
     confirmed = F.broadcast(labels.filter("toxic = 1").select("doc_id").orderBy(order, "doc_id").limit(SAMPLE_TOXIC))
     rows = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
@@ -170,11 +169,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(bucket, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists], names=["doc_id", "known", "buckets"])
 
-    sample = known.mapInArrow(buckets, "doc_id long, known boolean, buckets array<int>").toArrow().sort_by([("known", "descending"), ("doc_id", "ascending")])
-    lists = sample.column("buckets").combine_chunks()
-    flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-    toxic = sample.column("known").to_numpy()
-    return train(flat, at, toxic, marked / total)
+    sample = stage(known.mapInArrow(buckets, "doc_id long, known boolean, buckets array<int>"), "sample")
+    n_toxic, n_other = sample.agg(F.count_if("known"), F.count_if(~F.col("known"))).first()
+    if not n_toxic or not n_other:
+        return NOTHING
+    # Of BUCKETS counts only those of buckets that may be kept come to the driver, then only the kept buckets of each document.
+    each = sample.select("known", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count_if("known").alias("toxic"), F.count_if(~F.col("known")).alias("other"))
+    counts = each.filter(F.col("toxic") >= LEAST).toArrow()
+    of = counts.column("bucket").to_numpy()
+    in_toxic, in_other = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    in_toxic[of], in_other[of] = counts.column("toxic").to_numpy(), counts.column("other").to_numpy()
+    kept = choose(in_toxic, in_other, n_toxic, n_other)
+    wanted = np.zeros(BUCKETS, bool)
+    wanted[kept] = True
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            own = wanted[flat]
+            at = np.concatenate([[0], np.cumsum(np.bincount(owner[own], minlength=batch.num_rows))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat[own], pa.int32()))], names=["doc_id", "known", "buckets"])
+
+    rows = sample.mapInArrow(narrow, "doc_id long, known boolean, buckets array<int>").toArrow().sort_by([("known", "descending"), ("doc_id", "ascending")])
+    discard(sample)
+    lists = rows.column("buckets").combine_chunks()
+    return train(kept, lists.flatten().to_numpy(), lists.offsets.to_numpy(), rows.column("known").to_numpy(), marked / total)
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
