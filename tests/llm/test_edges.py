@@ -180,6 +180,65 @@ def test_suffix_dedup(docs, rows, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("around", [1, 2048])
+def test_suffix_dedup_of_a_shared_core(spark, monkeypatch, around):
+    # One passage in many surroundings, near copies of it, and a core that more surroundings have than are compared at once.
+    monkeypatch.setattr(suffix_dedup, "MOST_AROUND", around)
+    rng = random.Random(31)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = letters(700)
+    texts = [letters(rng.randint(0, 300)) + passage[rng.randint(0, 150) : rng.randint(500, 700)] + letters(rng.randint(0, 300)) for _ in range(14)]
+    broken = list(passage)
+    broken[350] = "Z"
+    texts += ["".join(broken), passage + letters(20) + passage, letters(900), letters(399)]
+    starts = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    expected = {}
+    for k, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for i in range(len(t) - 399):
+            if starts[t[i : i + 400]] > 1:
+                gone[i : i + 400] = b"\1" * 400
+        expected[k] = (sum(gone), "".join(c for c, g in zip(t, gone) if not g))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: (r["n_removed"], bytes(r["kept"]).decode()) for r in suffix_dedup.remove_repeats(table).collect()} == expected
+
+
+def test_suffix_index_takes_a_batch_to_stored_levels(spark, tmp_path):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = letters(600)
+    batches = [[letters(2000), letters(100) + shared], [letters(1500)], [shared + letters(50), letters(800)], [letters(700)]]
+    tables = [spark.createDataFrame([(t,) for t in b], "text string") for b in batches]
+    index = suffix_dedup.SuffixIndex()
+    counts = [index.add(suffix_dedup.suffixes(t)).count() for t in tables[:2]]
+    assert counts == [0, 0] and [size for size, _ in index.levels] == [2]
+    index.save(f"file://{tmp_path}/index")
+    stored = suffix_dedup.SuffixIndex.load(spark, f"file://{tmp_path}/index")
+    found = {bytes(r["suffix"]).decode() for r in stored.add(suffix_dedup.suffixes(tables[2])).collect()}
+    assert found and all(x in shared for x in found)
+    assert stored.add(suffix_dedup.suffixes(tables[3])).count() == 0 and [size for size, _ in stored.levels] == [4]
+    whole = stored.levels[0][1]
+    kept = [bytes(r["suffix"]) for r in whole.collect()]
+    assert len(kept) == len(set(kept)) and whole.agg(F.sum("n")).first()[0] == sum(suffix_dedup.suffixes(t).count() for t in tables)
+    # Each file is a run of the array in the order of the suffixes' bytes.
+    ordered = whole.withColumn("p", F.spark_partition_id()).collect()
+    for p in {r["p"] for r in ordered}:
+        own = [bytes(r["suffix"]) for r in ordered if r["p"] == p]
+        assert own == sorted(own)
+
+
+def test_repeated_starts_do_not_rest_on_hashes(monkeypatch):
+    rng = random.Random(2)
+    base = bytes(rng.randrange(97, 105) for _ in range(900))
+    around = [base[:450], base[10:480], bytes(rng.randrange(97, 105) for _ in range(440)), base[30:470]]
+    core = np.array([1, 1, 1, 2])
+    count = Counter((c, a[i : i + 400]) for c, a in zip(core.tolist(), around) for i in range(len(a) - 399))
+    expected = [count[c, a[i : i + 400]] > 1 for c, a in zip(core.tolist(), around) for i in range(len(a) - 399)]
+    assert suffix_dedup.repeated_starts(core, around)[1].tolist() == expected
+    monkeypatch.setattr(suffix_dedup, "mix", lambda x: x % np.uint64(7))
+    assert suffix_dedup.repeated_starts(core, around)[1].tolist() == expected
+
+
 def test_line_dedup(docs, rows, none):
     low = {c: c + 32 for c in range(65, 91)}
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(low)
@@ -217,6 +276,20 @@ def test_toxicity(spark, docs, none):
     assert toxicity.fit(none, labels.limit(0)).bias.size == 0
 
 
+def test_risk_and_its_slope():
+    rng = np.random.default_rng(4)
+    for prior, shift in ((0.3, 0.0), (0.9, 3.0)):
+        z, toxic = rng.normal(size=40) + shift * (np.arange(40) < 20), np.arange(40) < 20
+        loss = lambda x: np.log1p(np.exp(-x))
+        positive = lambda v: prior * loss(v[toxic]).mean()
+        clean = lambda v: loss(-v[~toxic]).mean() - prior * loss(-v[toxic]).mean()
+        assert np.isclose(toxicity.risk(z, toxic, prior)[0], positive(z) + max(0, clean(z)))
+        followed = (lambda v: positive(v) + clean(v)) if clean(z) > 0 else (lambda v: -clean(v))
+        numeric = [(followed(z + h) - followed(z - h)) / 2e-5 for h in 1e-5 * np.eye(40)]
+        assert np.allclose(toxicity.risk(z, toxic, prior)[1], numeric, atol=1e-6)
+    assert clean(z) < 0
+
+
 def test_decontamination(spark, docs, rows, none):
     rng = random.Random(8)
     items = [(i, " ".join("q" + str(rng.randint(0, 3000)) for _ in range(rng.randint(12, 150))) + ". " + " ".join("z" + str(rng.randint(0, 900)) for _ in range(6)) + ".") for i in range(300)]
@@ -421,6 +494,31 @@ def test_pii(spark, docs, rows, none):
     assert [r["text"] for r in masked] == ["ñ <email> and <ip>.", None]
 
 
+def test_added_spans_are_personal_data(spark):
+    """Spelt-out addresses and national numbers are added, numbers that only look like data are not."""
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    number = lambda: f"{rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    rows, planted = [], set()
+    for i in range(400):
+        kind = i % 5
+        lead = ["mail ", "phone ", "", "order ", "card "][kind]
+        body = [f"{name()} (at) {name()} (dot) com", number(), f"{name()}@{name()}.org and +1 {number()}", "".join(rng.choice("0123456789") for _ in range(15)), f"4{rng.randint(10**14, 10**15 - 1)}"][kind]
+        rows.append((i, f"Some words {lead}{body} end."))
+        if kind < 2:
+            planted.add(i)
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    added = {r["doc_id"] for r in found if any(not s["base"] for s in r["spans"])}
+    assert len(added & planted) >= 0.9 * len(planted) and len(added & planted) >= 0.9 * len(added)
+
+
+def test_working_columns_of_callers_stay(spark, docs):
+    named = docs.select("doc_id", "text", *(F.lit(1).alias(c) for c in ("_words", "_Lines", "_pii_text", "_pii_spans", "_pii_email")))
+    for made in (quality.judge(named), quality.clean(named), pii.candidates(named), pii.mask(named, pii.Model({}, {}))):
+        assert set(named.columns) <= set(made.columns)
+        assert all(set(r) == {1} for r in made.select("_words", "_Lines", "_pii_text", "_pii_spans", "_pii_email").collect())
+
+
 def test_votes_tell_good_labelers_from_bad():
     patterns = {(1, 1, 1, 1, 1): 400, (0, -1, -1, 0, -1): 300, (1, 1, 1, 0, 1): 100, (0, -1, 1, 0, 1): 40}
     likely = pii.estimate(patterns)
