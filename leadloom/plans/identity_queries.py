@@ -132,16 +132,16 @@ def first_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_(EVIDENCE)
-    + """, stored AS (SELECT DISTINCT company_id, field, 'Phrase ' || (company_id % 9) AS value FROM evidence WHERE company_id % 2 = 0), none AS (SELECT * FROM evidence WHERE company_id % 4 = 0),
+    + """, stored AS (SELECT DISTINCT company_id, field, 'Phrase ' || (company_id % 9) AS value FROM evidence WHERE company_id % 2 = 0 AND field <> 'phone'), none AS (SELECT * FROM evidence WHERE company_id % 4 = 0),
     x AS (SELECT company_id, 'they say phrase ' || (id % 9) || ' often' AS text, CASE WHEN source_url IS NULL THEN 'provider:' || provider ELSE 'domain:example.co.uk' END AS source FROM evidence),
     c AS (SELECT company_id, field, count(DISTINCT lower(trim(value))) AS n FROM none GROUP BY 1, 2),
     t AS (SELECT s.company_id, s.field, count(DISTINCT source) AS k FROM stored s JOIN x ON x.company_id = s.company_id AND contains(x.text, lower(s.value)) GROUP BY 1, 2)
     SELECT s.company_id, s.field, CASE WHEN c.n > 1 THEN 'NEEDS_REVIEW' WHEN coalesce(k, 0) >= 2 THEN 'VERIFIED' WHEN k = 1 THEN 'SUPPORTED' ELSE 'UNVERIFIED' END AS status, CASE WHEN c.n > 1 THEN 0 ELSE coalesce(k, 0) END AS source_count FROM stored s LEFT JOIN c USING (company_id, field) LEFT JOIN t USING (company_id, field)"""
 )
 def claims_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored values that no claim repeats, from the independent sources whose texts have them."""
+    """Stored values (no numbers) that no claim repeats, from the independent sources whose texts have them."""
     rows = A.evidence(spark, sf_dir)
     k = F.col("company_id")
-    stored = rows.filter(k % 2 == 0).select("company_id", "field").distinct().withColumn("value", F.concat(F.lit("Phrase "), (k % 9).cast("string")))
+    stored = rows.filter((k % 2 == 0) & (F.col("field") != "phone")).select("company_id", "field").distinct().withColumn("value", F.concat(F.lit("Phrase "), (k % 9).cast("string")))
     excerpts = rows.select("company_id", F.concat(F.lit("they say phrase "), (F.col("id") % 9).cast("string"), F.lit(" often")).alias("text"), "source_url", "provider")
     return E.reconcile(rows.filter(k % 4 == 0), stored, excerpts).select("company_id", "field", "status", "source_count")

@@ -456,7 +456,7 @@ _SNIPPETS = [
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id, coalesce(text, '') || {_sql_pick(_SNIPPETS, 'doc_id')} AS t FROM documents WHERE lang = 'de'),
+    rf"""WITH d AS (SELECT doc_id, coalesce(text, '') || {_sql_pick(_SNIPPETS, 'doc_id')} AS t FROM documents WHERE lang = 'de'),
     m AS (SELECT doc_id, t, list_filter(list_transform(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{{2,}}'), lambda a: lower(a)), lambda a: regexp_matches(a, '^(info|contact|hello|support|sales|team|press|careers)[.+@]')) AS mails,
       regexp_extract(t, '(?:\+?1[-.\s]?)?(?:\(?[0-9]{{3}}\)?[-.\s]?[0-9]{{3}}[-.\s]?[0-9]{{4}})') AS p, regexp_extract(t, '(?i)we buy houses? for cash') AS s1, regexp_extract(t, '(?i)fix and flip') AS s2 FROM d)
     SELECT doc_id, mails[1] AS email, nullif(trim(regexp_replace(p, '\s+', ' ', 'g')), '') AS phone, concat_ws('|', nullif(s1, ''), nullif(s2, '')) AS signals FROM m"""
