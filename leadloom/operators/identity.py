@@ -93,3 +93,11 @@ def settled(jobs: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.when(F.col("running") > 0, "PENDING").when(F.col("failed") == F.col("jobs"), "FAILED").when((F.col("failed") > 0) | (F.col("without") > 0), "PARTIAL").otherwise("COMPLETED")
     )
     return out.select(*keys, state.alias("state"), "jobs", "found")
+
+
+def citations(decisions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Of each decision (decision, cited: ids): how many cited ids are stored evidence (id), how many are not, and whether any is. Blank and repeated ids count once or not at all."""
+    cited = decisions.select("decision", F.explode_outer(F.array_distinct(F.array_compact("cited"))).alias("id"))
+    known = evidence.select("id").distinct().withColumn("there", F.lit(True))
+    kept = F.count_if(F.col("there"))
+    return cited.join(known, "id", "left").groupBy("decision").agg(kept.alias("kept"), F.count_if(F.col("id").isNotNull() & F.col("there").isNull()).alias("dropped"), (kept > 0).alias("backed"))

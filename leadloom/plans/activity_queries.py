@@ -246,8 +246,9 @@ def qualify_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _qualified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = E.latest_fields(A.verifications(spark, sf_dir)).groupBy("company_id").agg(F.max(F.when(F.col("field") == "website", F.col("status"))).alias("website_status"), F.bool_or(F.col("status") == "CONFLICT").alias("conflict"))
-    scores = leads.latest_scores(A.scores(spark, sf_dir)).select("company_id", "score")
+    own = A.companies(spark, sf_dir).filter("org_id = 1").select(F.col("id").alias("company_id"))
+    fields = E.latest_fields(A.verifications(spark, sf_dir, own)).groupBy("company_id").agg(F.max(F.when(F.col("field") == "website", F.col("status"))).alias("website_status"), F.bool_or(F.col("status") == "CONFLICT").alias("conflict"))
+    scores = leads.latest_scores(A.of_companies(A.scores(spark, sf_dir), own)).select("company_id", "score")
     found = A.companies(spark, sf_dir).filter("org_id = 1").withColumnRenamed("id", "company_id").join(fields, "company_id", "left").join(scores, "company_id", "left").withColumnRenamed("company_id", "id")
     return qualify.qualify(found, search_plan.SearchPlan(states=("NATION_1", "NATION_6", "NATION_11"), size_min=1, size_max=200), min_score=20)
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from leadloom.operators import evidence as E
 from leadloom.operators import identity as I
-from leadloom.plans.entities_sql import EVENTS, EVIDENCE, with_
+from leadloom.operators import places as P
+from leadloom.operators.relational import page
+from leadloom.plans.entities_sql import COMPANIES, EVENTS, EVIDENCE, SOURCES, with_
 from leadloom.sources import adapters as A
 
 QUERIES: dict = {}
@@ -145,3 +147,34 @@ def claims_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = rows.filter((k % 2 == 0) & (F.col("field") != "phone")).select("company_id", "field").distinct().withColumn("value", F.concat(F.lit("Phrase "), (k % 9).cast("string")))
     excerpts = rows.select("company_id", F.concat(F.lit("they say phrase "), (F.col("id") % 9).cast("string"), F.lit(" often")).alias("text"), "source_url", "provider")
     return E.reconcile(rows.filter(k % 4 == 0), stored, excerpts).select("company_id", "field", "status", "source_count")
+
+
+@query(
+    with_(COMPANIES, SOURCES)
+    + """, places AS (SELECT o_custkey AS company_id, o_orderkey AS id, o_orderdate AS created_at, o_orderkey % 9 = 0 AS is_primary, 'city' || (o_orderkey % 50) AS city FROM orders WHERE o_orderkey % 4 > 0),
+    main AS (SELECT * FROM places QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY is_primary DESC, created_at, id) = 1)
+    SELECT r.external_id, c.name, m.city FROM source_records r JOIN companies c ON c.id = r.company_id LEFT JOIN main m ON m.company_id = c.id AND m.is_primary WHERE execution_id = '1996-03' AND c.org_id IN (1, 2) ORDER BY r.external_id LIMIT 20 OFFSET 20"""
+)
+def candidates_with_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of an execution's candidates with their company and, where there is one, its primary location."""
+    k = F.col("o_orderkey")
+    records = A.source_records(spark, sf_dir).filter("execution_id = '1996-03'").select("external_id", "company_id")
+    companies = A.companies(spark, sf_dir).filter("org_id IN (1, 2)").select(F.col("id").alias("company_id"), "name")
+    places = A.table(spark, sf_dir, "orders").filter(k % 4 > 0).select(F.col("o_custkey").alias("company_id"), k.alias("id"), F.col("o_orderdate").alias("created_at"), (k % 9 == 0).alias("is_primary"), F.concat(F.lit("city"), (k % 50).cast("string")).alias("city"))
+    found = records.join(companies, "company_id")
+    main = P.main_location(A.of_companies(places, found)).select(F.col("company_id").alias("owner"), "location.city", "location.is_primary")
+    listed = found.join(main, (F.col("company_id") == F.col("owner")) & F.col("is_primary"), "left")
+    return page(listed, [F.asc("external_id")], 2, 20).select("external_id", "name", "city")
+
+
+@query(
+    with_(EVIDENCE)
+    + """, cited AS (SELECT doc_id AS decision, unnest([doc_id * 10 + 1, doc_id * 10 + 2, doc_id * 7 + 3, NULL]) AS id FROM labels),
+    e AS (SELECT DISTINCT id, trim(value) AS value FROM evidence), j AS (SELECT decision, c.id, count(e.id) AS n FROM cited c LEFT JOIN e USING (id) GROUP BY 1, 2)
+    SELECT decision, count(*) FILTER (WHERE n > 0) AS kept, count(*) FILTER (WHERE n = 0 AND id IS NOT NULL) AS dropped, count(*) FILTER (WHERE n > 0) > 0 AS backed FROM j GROUP BY 1"""
+)
+def citations_backed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cited ids of each decision that are stored evidence; a decision without any is not backed."""
+    d = F.col("doc_id")
+    decisions = A.table(spark, sf_dir, "labels").select(d.alias("decision"), F.array(d * 10 + 1, d * 10 + 2, d * 7 + 3, F.lit(None).cast("long")).alias("cited"))
+    return I.citations(decisions, A.evidence(spark, sf_dir).select("id"))

@@ -120,7 +120,7 @@ def json_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " SELECT r.external_id, c.name, c.state, r.provider FROM source_records r JOIN companies c ON c.id = r.company_id WHERE r.execution_id = '1996-03' AND c.org_id = 1 ORDER BY r.external_id LIMIT 20 OFFSET 20"
 )
 def candidates_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second page of an execution's candidates with their company."""
+    """The second page of an execution's candidates with their company; candidates_with_location adds the location."""
     records = A.source_records(spark, sf_dir).filter("execution_id = '1996-03'")
     companies = A.companies(spark, sf_dir).filter("org_id = 1").select(F.col("id").alias("company_id"), "name", "state")
     return page(records.join(companies, "company_id"), [F.asc("external_id")], 2, 20).select("external_id", "name", "state", "provider")
@@ -134,10 +134,11 @@ def candidates_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     LEFT JOIN (SELECT company_id, count(*) AS n_sources, arg_min(external_id, (retrieved_at, external_id)) AS first_source FROM source_records GROUP BY 1) r ON r.company_id = c.id WHERE org_id = 0"""
 )
 def hydrate_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leads with what their child tables hold; each child is aggregated before it is joined."""
-    scores = leads.latest_scores(A.scores(spark, sf_dir)).select("company_id", "score")
-    fields = latest_by(A.verifications(spark, sf_dir), ["company_id", "field"], ["checked_at", "id", "status"]).groupBy("company_id").agg(F.count("*").alias("n_fields"), F.count_if(F.col("status") == "VERIFIED").alias("n_verified"))
-    records = A.source_records(spark, sf_dir).groupBy("company_id").agg(F.count("*").alias("n_sources"), F.min_by("external_id", F.struct("retrieved_at", "external_id")).alias("first_source"))
+    """Leads with what their child tables hold (3 of 11); children are cut to the tenant's companies, then aggregated, then joined."""
+    own = A.companies(spark, sf_dir).filter("org_id = 0").select(F.col("id").alias("company_id"))
+    scores = leads.latest_scores(A.of_companies(A.scores(spark, sf_dir), own)).select("company_id", "score")
+    fields = latest_by(A.verifications(spark, sf_dir, own), ["company_id", "field"], ["checked_at", "id", "status"]).groupBy("company_id").agg(F.count("*").alias("n_fields"), F.count_if(F.col("status") == "VERIFIED").alias("n_verified"))
+    records = A.of_companies(A.source_records(spark, sf_dir), own).groupBy("company_id").agg(F.count("*").alias("n_sources"), F.min_by("external_id", F.struct("retrieved_at", "external_id")).alias("first_source"))
     out = A.companies(spark, sf_dir).filter("org_id = 0").withColumnRenamed("id", "company_id")
     for child in (scores, fields, records):
         out = out.join(child, "company_id", "left")
@@ -165,7 +166,7 @@ def execution_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
       (SELECT count(DISTINCT s.company_id) FROM scores s JOIN found USING (company_id)) AS scored, NULL::BIGINT AS exported"""
 )
 def pipeline_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of an execution; the counter of a stage that has not begun is masked."""
+    """Counters of an execution; the counter of a stage that has not begun is masked."""
     found = A.source_records(spark, sf_dir).filter("execution_id = '1995-05'").select("company_id").distinct()
     checked = A.verifications(spark, sf_dir).join(found, "company_id", "left_semi")
     facts = checked.agg(F.countDistinct(F.when(F.col("status") == "VERIFIED", F.col("company_id"))).alias("verified"), F.count("*").alias("facts"), F.max("checked_at").alias("facts_version"))

@@ -179,7 +179,7 @@ def social_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, len(list_filter([1, 2, 3, doc_id], lambda x: list_contains([2, 3, 5], x))) AS kept, len(list_filter([1, 2, 3, doc_id], lambda x: list_contains([2, 3, 5], x))) > 0 AS backed FROM labels")
 def citation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cited ids that are evidence; a decision without any is not backed."""
+    """Cited ids among given ones; citations_backed joins them with stored evidence."""
     cited = F.array(F.lit(1).cast("long"), F.lit(2).cast("long"), F.lit(3).cast("long"), F.col("doc_id"))
     kept = F.size(F.filter(cited, lambda x: F.array_contains(F.array(F.lit(2).cast("long"), F.lit(3).cast("long"), F.lit(5).cast("long")), x))).cast("long")
     return A.table(spark, sf_dir, "labels").select("doc_id", kept.alias("kept"), (kept > 0).alias("backed"))

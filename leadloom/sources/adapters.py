@@ -39,6 +39,11 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def of_companies(rows: DataFrame, companies: DataFrame | None) -> DataFrame:
+    """Of rows with a company_id those of `companies` (company_id), or all."""
+    return rows if companies is None else rows.join(companies.select("company_id"), "company_id", "left_semi")
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as the history of lead scores."""
     return table(spark, sf_dir, "orders").select(
@@ -53,8 +58,9 @@ def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("company_id"))
+def _lines(spark: SparkSession, sf_dir: str, companies: DataFrame | None = None) -> DataFrame:
+    # Orders are few beside their lines: the wanted ones are picked first.
+    orders = of_companies(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("company_id")), companies)
     return table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
@@ -62,10 +68,10 @@ def _field() -> F.Column:
     return F.get(F.array(*map(F.lit, FIELDS)), ((F.col("l_linenumber") - 1) % len(FIELDS)).cast("int"))
 
 
-def verifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as field verifications."""
+def verifications(spark: SparkSession, sf_dir: str, companies: DataFrame | None = None) -> DataFrame:
+    """Line items as field verifications, of all companies or of some."""
     status = F.when(F.col("l_returnflag") == "A", "VERIFIED").when(F.col("l_returnflag") == "R", "CONFLICT").when(F.col("l_quantity") > 40, "NEEDS_REVIEW").when(F.col("l_quantity") > 10, "SUPPORTED").otherwise("NOT_FOUND")
-    return _lines(spark, sf_dir).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "company_id", _field().alias("field"), status.alias("status"), F.col("l_shipdate").alias("checked_at"))
+    return _lines(spark, sf_dir, companies).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "company_id", _field().alias("field"), status.alias("status"), F.col("l_shipdate").alias("checked_at"))
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
