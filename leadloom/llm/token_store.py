@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import chunks, discard, mix, partitions, stage
+from leadloom.llm.common import bitmap, chunks, discard, map_bits, mix, partitions, stage
 from leadloom.llm.tokenize import encoder
 
 #: The id that ends each document.
@@ -118,6 +118,11 @@ class Store:
     id_bytes: int
 
 
+def slots(recipe: list[bytes], bits: int) -> np.ndarray:
+    """Places of digests in a map."""
+    return (np.frombuffer(b"".join(recipe), "<u8")[:: DIGEST // 8] % np.uint64(bits)).astype(np.int64)
+
+
 def part_roots(documents: DataFrame) -> DataFrame:
     """rows, n_tokens and root of each part, from the places and the roots of its documents.
 
@@ -146,27 +151,40 @@ def write(docs: DataFrame, vocabulary_path: str, known: DataFrame | None = None)
     Documents are dealt by ranges of doc_id (null first), ties by a hash of the text; a part is one
     range. Rows that repeat a doc_id are documents of their own; very long texts are taken whole; other
     columns are not looked at. `known` are the chunks of a store before: they are not stored again.
-    An empty table makes an empty store. Only the manifest's rows reach the driver.
+    An empty table makes an empty store. Only the manifest's rows and a map of at most 2^27 bits reach the driver.
     """
     spark = docs.sparkSession
     # Written once, as dealing by range reads its input twice.
     coded = stage(encode(docs, vocabulary_path), "encoded")
     id_bytes = encoder(vocabulary_path).dtype.itemsize
 
-    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Only chunks that may occur more than once have to meet; a clash in the map only lets one more through.
+    again = stage(coded.select(F.explode("recipe").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "again")
+    bits = map_bits(again.count())
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[bytes, bytes] = {}
-            for ids, sizes, recipe in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                stream, end = ids.as_py(), 0
-                for n, name in zip(sizes, recipe):
-                    found.setdefault(name, stream[end : end + n * id_bytes])
-                    end += n * id_bytes
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.binary())], names=["digest", "ids"])
-
-    pieces = coded.select("ids", "sizes", "recipe").mapInArrow(apart, "digest binary, ids binary")
-    if known is not None:
-        pieces = pieces.join(known.select("digest"), "digest", "left_anti")
-    chunks_ = stage(pieces.groupBy("digest").agg(F.first("ids").alias("ids")), "chunks")
+            yield pa.RecordBatch.from_arrays([pa.array(slots(batch.column(0).to_pylist(), bits))], names=["slot"])
+
+    shared = bitmap(again.mapInArrow(mark, "slot long"), F.col("slot"), bits)
+
+    def apart(common: bool):
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found: dict[bytes, bytes] = {}
+                for ids, sizes, recipe in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    stream, end = ids.as_py(), 0
+                    for n, name, own in zip(sizes, recipe, (shared[slots(recipe, bits)] == common).tolist()):
+                        if own:
+                            found.setdefault(name, stream[end : end + n * id_bytes])
+                        end += n * id_bytes
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.binary())], names=["digest", "ids"])
+
+        out = coded.select("ids", "sizes", "recipe").mapInArrow(each, "digest binary, ids binary")
+        return out if known is None else out.join(known.select("digest"), "digest", "left_anti")
+
+    chunks_ = stage(apart(True).groupBy("digest").agg(F.first("ids").alias("ids")), "chunks").unionByName(stage(apart(False), "chunks"))
+    discard(again)
     if known is not None:
         chunks_ = known.select("digest", "ids").unionByName(chunks_)
     light = coded.select("doc_id", "text_hash", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n).alias("n_tokens"), "recipe")
@@ -214,15 +232,15 @@ def read(store: Store) -> DataFrame:
     placed = store.documents.join(F.broadcast(store.manifest.select("part", "before")), "part")
     asked = placed.select("part", "place", "doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "root", F.posexplode("recipe").alias("k", "digest"))
     fetched = asked.join(store.chunks.select("digest", F.col("ids").alias("chunk")), "digest", "left")
-    whole = fetched.groupBy("part", "place").agg(*(F.first(c).alias(c) for c in ("doc_id", "start", "n_tokens", "root")), F.array_sort(F.collect_list(F.struct("k", "digest", "chunk"))).alias("chunks"))
+    whole = fetched.groupBy("part", "place").agg(*(F.first(c).alias(c) for c in ("doc_id", "start", "n_tokens", "root")), F.array_sort(F.collect_list(F.struct("k", "chunk"))).alias("chunks"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for n, root, listed in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6)):
                 listed = listed.as_py()
-                recipe = [c["digest"] for c in listed]
-                if any(c["chunk"] is None or digest(c["chunk"]) != c["digest"] for c in listed) or merkle(recipe) != root:
+                # The root is that of the recipe, so chunks of other bytes, or in another order, do not give it.
+                if any(c["chunk"] is None for c in listed) or merkle([digest(c["chunk"]) for c in listed]) != root:
                     raise ValueError("a document's chunks do not match its recipe")
                 stream = np.frombuffer(b"".join(c["chunk"] for c in listed), f"<u{id_bytes}")
                 if len(stream) != n:
