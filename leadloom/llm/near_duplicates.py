@@ -31,7 +31,7 @@ BLOCK = 4096
 #: Members of a star that one cell compares with each other, about.
 TILE = 4096
 #: Rounds in which a star only proposes a forest of links, before all pairs that may link are proposed.
-FORESTS = 2
+FORESTS = 4
 
 _MULTIPLIERS = mix(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
@@ -131,12 +131,12 @@ LEAST_BITS = 6
 
 
 def parities(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """A map for each set: bit h mod B tells whether an odd number of members h fall there; B is a power of two, at least twice the set's size.
+    """A map for each set: bit h mod B tells whether an odd number of members h fall there; B is a power of two, at least eight times the set's size.
 
     The bits in which two maps differ are at most as many as the members that only one of the sets has.
     """
     sizes = np.diff(at)
-    bits = 1 << np.maximum(LEAST_BITS, 1 + np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    bits = 1 << np.maximum(LEAST_BITS, 3 + np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
     base = np.concatenate([[0], np.cumsum(bits)])
     owner = np.repeat(np.arange(len(sizes)), sizes)
     place = base[owner] + (sets & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
