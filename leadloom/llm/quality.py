@@ -108,5 +108,7 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The kept documents, their text without the failing lines, other columns as they were."""
-    judged = judge(docs.select(*(F.col(c).alias(f"_in_{c}") for c in docs.columns)), "_in_text").filter("kept")
-    return judged.select(*(F.col("clean_text" if c == "text" else f"_in_{c}").alias(c) for c in docs.columns))
+    judged = judge(docs.select(*(F.col(c).alias(f"_in_{c}") for c in docs.columns)), "_in_text")
+    # Spark would work the filter's expression out anew, with all that it is made of; a numbered row keeps the filter above.
+    kept = judged.withColumn("_row", F.monotonically_increasing_id()).filter(F.col("kept") & (F.col("_row") >= 0))
+    return kept.select(*(F.col("clean_text" if c == "text" else f"_in_{c}").alias(c) for c in docs.columns))
