@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import chat, decontamination, line_dedup, near_duplicates, packing, pii, quality, suffix_dedup, token_store, toxicity
+from leadloom.llm import chat, decontamination, line_dedup, near_duplicates, packing, pieces, pii, quality, ranked_search, suffix_dedup, token_store, toxicity, vector_codes
 from leadloom.llm.common import stage, table
 from leadloom.llm.tokenize import vocabulary
 
@@ -72,6 +72,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    digest = F.lit(books.digest() if books else None).cast("string")
+    return vector_codes.with_label_error(codes).select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("piece_bpe_32k.model")
+    made = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -83,9 +100,74 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_pieces": op13_pieces,
 }
 
+
+def _vector_rounds(rounds: int) -> str:
+    """SQL of the rounds over parts(vec_id, part, v): a0 assigns to the entries c0, c1 are their means, and so on."""
+
+    def assign(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (
+          SELECT vec_id, part, any_value(v) AS v, min(d * 16 + entry) % 16 AS entry, min(d * 16 + entry) // 16 AS error FROM (
+            SELECT p.vec_id, p.part, p.v, c.entry, list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i])))::BIGINT AS d
+            FROM parts p JOIN c{k} c USING (part)) GROUP BY vec_id, part
+        )"""
+
+    def renew(k: int) -> str:
+        return f"""c{k + 1} AS MATERIALIZED (
+          SELECT c.part, c.entry, coalesce(n.v, c.v) AS v FROM c{k} c LEFT JOIN (
+            SELECT part, entry, list(m ORDER BY i) AS v FROM (
+              SELECT part, entry, i, floor(sum(x) / count(*))::BIGINT AS m FROM (SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{k}) GROUP BY part, entry, i
+            ) GROUP BY part, entry
+          ) n USING (part, entry)
+        )"""
+
+    return ", ".join(x for k in range(rounds) for x in (assign(k), renew(k))) + ", " + assign(rounds)
+
+
 ORACLES: dict[str, str] = {
+    "op11_ranked_search": r"""
+        WITH terms AS (
+          SELECT doc_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+        ), counts AS MATERIALIZED (
+          SELECT doc_id, t, count(*) AS tf FROM terms GROUP BY doc_id, t
+        ), docs AS (
+          SELECT doc_id, sum(tf)::BIGINT AS n FROM counts GROUP BY doc_id
+        ), whole AS (
+          SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM docs
+        ), sized AS (
+          SELECT doc_id, 100 - 25 + (25 * n * n_docs) // n_terms AS m FROM docs, whole
+        ), weights AS (
+          SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counts, whole GROUP BY t, n_docs
+        ), asked AS (
+          SELECT item_id, t, count(*) AS often FROM (
+            SELECT item_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark
+          ) GROUP BY item_id, t
+        ), scores AS (
+          SELECT item_id, doc_id, sum(often * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+          FROM asked JOIN weights USING (t) JOIN counts USING (t) JOIN sized USING (doc_id) GROUP BY item_id, doc_id
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scores WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
+    """,
+    "op12_vector_codes": f"""
+        WITH kept AS (
+          SELECT vec_id, label, embedding AS e, len(embedding) // {vector_codes.PARTS} AS w FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), parts AS MATERIALIZED (
+          SELECT vec_id, part, list_transform(e[part * w + 1 : part * w + w], lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS v FROM kept, range({vector_codes.PARTS}) AS r(part)
+        ), c0 AS MATERIALIZED (
+          SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {vector_codes.ENTRIES})
+        ), {_vector_rounds(vector_codes.ROUNDS)}, books AS (
+          SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{vector_codes.ROUNDS}
+        ), codes AS (
+          SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(error)::BIGINT AS error FROM a{vector_codes.ROUNDS} GROUP BY vec_id
+        )
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM codes JOIN kept USING (vec_id), books
+    """,
     "op1_quality_rules": r"""
         WITH w AS (
           SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
