@@ -67,7 +67,8 @@ def block_pairs(df: DataFrame, id_column: str, keys: dict[str, Column]) -> DataF
 def block_stars(df: DataFrame, id_column: str, keys: dict[str, Column]) -> DataFrame:
     """Pairs (a, b) of each row b with the smallest id a that shares a key with it: as many pairs as rows and keys, however many share one.
 
-    They bring together the same rows as block_pairs, by way of a; a pair that only block_pairs gives has a neighbour of both in a.
+    Each row is brought together with the head of its keys alone: enough to find what hangs together, not to decide on every pair,
+    for which block_classes is.
     """
     listed = F.array(*(F.struct(F.lit(name).alias("kind"), key.cast("string").alias("key")) for name, key in keys.items()))
     one = df.select(F.col(id_column).alias("b"), F.explode(listed).alias("k")).select("b", "k.kind", "k.key").filter("key IS NOT NULL AND key <> ''").distinct()
@@ -75,6 +76,23 @@ def block_stars(df: DataFrame, id_column: str, keys: dict[str, Column]) -> DataF
     return one.join(heads, ["kind", "key"]).filter("a < b").select("a", "b").distinct()
 
 
+def signature_classes(df: DataFrame, id_column: str) -> DataFrame:
+    """Rows that differ in their id alone as one: the smallest id, and how many there are in `members`."""
+    rest = [c for c in df.columns if c != id_column]
+    return df.groupBy(*rest).agg(F.min(id_column).alias(id_column), F.count("*").alias("members")).select(id_column, *rest, "members")
+
+
+def block_classes(classes: DataFrame, id_column: str, keys: Column) -> DataFrame:
+    """Pairs (a, b) of classes that share a key, and (a, a) of each class with several members and any key.
+
+    `keys` is an array of structs of kind and key; null and empty keys are none. No link between different rows is lost, and rows
+    that differ in nothing make one pair, however many they are.
+    """
+    one = classes.select(F.col(id_column).alias("a"), "members", F.explode(keys).alias("k")).filter("k.key IS NOT NULL AND k.key <> ''").select("a", "members", "k.kind", "k.key").distinct()
+    other = one.select(F.col("a").alias("b"), "kind", "key")
+    return one.join(other, ["kind", "key"]).filter("a < b OR (a = b AND members > 1)").select("a", "b").distinct()
+
+
 def streaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], hit: Column) -> DataFrame:
     """`streak`: how many rows in a row, up to this one, had no hit."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -21,6 +21,8 @@ ACTIVITIES = {
     "finance": (("finance", "financial", "banking"), ()),
     "construction": (("construction", "construction company", "general contractor", "builder"), ("hardware store", "lumber yard")),
     "real-estate": (("real estate", "estate agent", "realty", "realtor"), ()),
+    "real-estate-investor": (("real estate investor", "real estate investment", "property investment", "acquisition", "cash home buyer", "fix and flip", "wholesaler", "we buy houses", "house buying"),
+                             ("real estate agent", "realtor", "brokerage", "property management", "real estate photographer", "real estate attorney", "real estate lawyer", "mortgage", "real estate software", "real estate agency", "construction company")),
 }
 #: Words of page furniture and of companies, which are no part of a person's name.
 NOT_NAMES = (
@@ -39,16 +41,22 @@ def _holds(text: Column, phrases: tuple[str, ...]) -> Column:
     return out
 
 
-def category(requested: str, text: Column, name: Column) -> tuple[Column, Column]:
-    """Verdict and reason for a requested category: support and conflict in the text, the company's name taken out."""
+def category(requested: str, text: Column, name: Column, tagged: Column | None = None) -> tuple[Column, Column]:
+    """Verdict and reason for a requested category: support and conflict in the text and the tagged category, the company's name taken out.
+
+    A request of two letters or fewer asks for nothing. Names of two letters or fewer stay in the text.
+    """
     term = requested.replace("_", " ").strip().lower()
+    if len(term) <= 2:
+        return F.lit("MATCH"), F.lit("NO_CATEGORY_REQUESTED")
     groups = [g for g in ACTIVITIES.values() if any(term in p or p in term for p in g[0])]
-    low_name = F.lower(F.coalesce(name, F.lit("")))
-    body = F.lower(F.coalesce(text, F.lit("")))
-    body = F.when(low_name != "", F.replace(body, low_name, F.lit(" "))).otherwise(body)
+    low_name = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    tag = F.trim(F.replace(F.coalesce(tagged, F.lit("")), F.lit("_"), F.lit(" "))) if tagged is not None else F.lit("")
+    body = F.lower(F.trim(F.regexp_replace(F.concat_ws(" ", F.coalesce(text, F.lit("")), tag), r"\s+", " ")))
+    body = F.when(F.length(low_name) >= 3, F.replace(body, low_name, F.lit(" "))).otherwise(body)
     support = _holds(body, tuple(p for g in groups for p in g[0]) or (term,))
     conflict = _holds(body, tuple(p for g in groups for p in g[1]))
-    by_name = (low_name != "") & low_name.contains(term)
+    by_name = F.lower(F.coalesce(name, F.lit(""))).contains(term)
     verdict = F.when(support & conflict, "NEEDS_REVIEW").when(support, "MATCH").when(conflict, "NO_MATCH").when(by_name, "NEEDS_REVIEW").otherwise("NO_MATCH")
     reason = F.when(support & conflict, "CATEGORY_AMBIGUOUS").when(support, "CATEGORY_EVIDENCE").when(conflict, "CATEGORY_CONFLICT").when(by_name, "CATEGORY_NAME_ONLY").otherwise("CATEGORY_MISMATCH")
     return verdict, reason

@@ -10,7 +10,7 @@ from leadloom.functions import text as T
 from leadloom.functions import urls as U
 from leadloom.operators import resolve as R
 from leadloom.operators import verdicts as V
-from leadloom.operators.relational import block_stars
+from leadloom.operators.relational import block_classes, signature_classes
 from leadloom.plans.entities_sql import COMPANIES, with_
 from leadloom.sources import adapters as A
 
@@ -59,25 +59,62 @@ def page_url_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT c_custkey AS id, 'name ' || (c_custkey % 97) AS name, CASE WHEN c_custkey % 3 > 0 THEN 'd' || (c_custkey % 211) ELSE '' END AS domain, CASE WHEN c_custkey % 4 > 0 THEN '555' || (c_custkey % 173) ELSE '' END AS phone, c_custkey % 2 = 0 AS verified, 'c' || (c_custkey % 5) AS city, 's' || (c_custkey % 2) AS state FROM customer),
-    k AS (SELECT id, 'domain' AS kind, domain AS key FROM r UNION ALL SELECT id, 'phone', phone FROM r UNION ALL SELECT id, 'place', name || '|' || city || '|' || state FROM r),
-    h AS (SELECT kind, key, min(id) AS a FROM k WHERE key <> '' GROUP BY 1, 2 HAVING count(*) > 1), p AS (SELECT DISTINCT a, id AS b FROM k JOIN h USING (kind, key) WHERE a < id),
-    m AS (SELECT a.id AS a, b.id AS b, a.domain = b.domain AND a.domain <> '' AS dom, a.phone = b.phone AND a.phone <> '' AS ph, a.verified AND b.verified AS pv, a.name = b.name AS nm, a.city = b.city AND a.state = b.state AS loc, a.domain <> '' AND b.domain <> '' AND a.domain <> b.domain AS diff FROM p JOIN r a ON a.id = p.a JOIN r b ON b.id = p.b),
-    s AS (SELECT *, dom OR (ph AND pv) AS hard, least(100, CASE WHEN dom THEN 55 ELSE 0 END + CASE WHEN ph AND pv THEN 55 WHEN ph THEN 20 ELSE 0 END + CASE WHEN nm THEN 10 ELSE 0 END + CASE WHEN loc THEN 8 ELSE 0 END) AS score FROM m)
-    SELECT a, b, CASE WHEN diff AND nm AND loc THEN 'CONFLICT' WHEN NOT hard AND nm AND loc THEN 'NEEDS_REVIEW' WHEN score >= 55 AND hard THEN 'AUTO_DUPLICATE' WHEN score >= 30 THEN 'NEEDS_REVIEW' ELSE 'PENDING' END AS status,
-      (CASE WHEN diff AND nm AND loc THEN 50 WHEN NOT hard AND nm AND loc THEN least(greatest(score, 30), 40) ELSE score END / 100.0)::DOUBLE AS confidence FROM s"""
+    """WITH r AS (SELECT c_custkey AS id, 'name ' || (c_custkey // 5) AS name, CASE WHEN c_custkey % 3 > 0 THEN 'd' || (c_custkey // 4) ELSE '' END AS domain, CASE WHEN c_custkey % 4 > 0 THEN '555' || (c_custkey // 6) ELSE '' END AS phone,
+      CASE WHEN c_custkey % 11 < 2 THEN 'p' || (c_custkey // 11) ELSE '' END AS place, CASE WHEN c_custkey % 7 < 3 THEN 'x' || (c_custkey // 7) END AS ext, CASE WHEN c_custkey % 5 < 3 THEN 'm' || (c_custkey // 5) ELSE '' END AS mail, (c_custkey // 2) % 2 = 0 AS verified, (c_custkey // 3) % 2 AS city FROM customer),
+    keyed AS (SELECT *, min(id) OVER w AS class FROM r WINDOW w AS (PARTITION BY name, domain, phone, place, ext, mail, verified, city)),
+    m AS (SELECT a.class AS a, b.class AS b, a.domain = b.domain AND a.domain <> '' AS dom, a.phone = b.phone AND a.phone <> '' AS ph, a.verified AND b.verified AS v, a.place = b.place AND a.place <> '' AS pl, coalesce(a.ext = b.ext, false) AS ex, a.mail = b.mail AND a.mail <> '' AS ml, a.name = b.name AS nm, a.city = b.city AS loc,
+        a.domain <> '' AND b.domain <> '' AND a.domain <> b.domain AS diff FROM keyed a JOIN keyed b ON a.id < b.id AND b.id < a.id + 12),
+    s AS (SELECT *, dom OR pl OR ex OR ((ph OR ml) AND v) AS hard, least(100, CASE WHEN ex THEN 55 ELSE 0 END + CASE WHEN pl THEN 55 ELSE 0 END + CASE WHEN dom THEN 55 ELSE 0 END + CASE WHEN ph AND v THEN 55 WHEN ph THEN 20 ELSE 0 END + CASE WHEN ml AND v THEN 55 ELSE 0 END
+        + CASE WHEN nm THEN 10 ELSE 0 END + CASE WHEN loc THEN 8 ELSE 0 END) AS score FROM m WHERE dom OR ph OR pl OR ex OR ml OR nm),
+    d AS (SELECT least(a, b) AS a, greatest(a, b) AS b, CASE WHEN diff AND nm AND loc THEN 'CONFLICT' WHEN NOT hard AND nm AND loc THEN 'NEEDS_REVIEW' WHEN score >= 55 AND hard THEN 'AUTO_DUPLICATE' WHEN score >= 30 THEN 'NEEDS_REVIEW' ELSE 'PENDING' END AS status,
+      (CASE WHEN diff AND nm AND loc THEN 50 WHEN NOT hard AND nm AND loc THEN least(greatest(score, 30), 40) ELSE score END / 100.0)::DOUBLE AS confidence FROM s)
+    SELECT a, b, status, confidence, count(*) AS links FROM d GROUP BY ALL"""
 )
 def company_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Companies that share a key, each with the first that has it, and the decision on every such pair."""
+    """The decision on every pair of companies that share any of six keys, a row for each pair of classes of equal records.
+
+    `links` counts the pairs of companies that a row stands for. Neighbouring customers share keys, so their number grows with the table.
+    """
     k = F.col("c_custkey")
-    text = lambda lead, n: F.concat(F.lit(lead), (k % n).cast("string"))
+    text = lambda lead, n: F.concat(F.lit(lead), F.floor(k / n).cast("string"))
     empty = F.lit("")
+    verified = F.floor(k / 2) % 2 == 0
     records = A.table(spark, sf_dir, "customer").select(
-        k.alias("id"), text("name ", 97).alias("name"), F.when(k % 3 > 0, text("d", 211)).otherwise("").alias("domain"), F.when(k % 4 > 0, text("555", 173)).otherwise("").alias("phone"), empty.alias("place_id"), empty.alias("address"), text("c", 5).alias("city"), text("s", 2).alias("state"),
-        empty.alias("email"), empty.alias("email_domain"), F.array().cast("array<string>").alias("social_urls"), F.array().cast("array<string>").alias("external_ids"), (k % 2 == 0).alias("phone_verified"), F.lit(False).alias("email_verified"),
+        k.alias("id"), text("name ", 5).alias("name"), F.when(k % 3 > 0, text("d", 4)).otherwise("").alias("domain"), F.when(k % 4 > 0, text("555", 6)).otherwise("").alias("phone"), F.when(k % 11 < 2, text("p", 11)).otherwise("").alias("place_id"), empty.alias("address"),
+        (F.floor(k / 3) % 2).cast("string").alias("city"), F.lit("s").alias("state"), F.when(k % 5 < 3, text("m", 5)).otherwise("").alias("email"), empty.alias("email_domain"), F.array().cast("array<string>").alias("social_urls"),
+        F.when(k % 7 < 3, F.array(text("x", 7))).otherwise(F.array().cast("array<string>")).alias("external_ids"), verified.alias("phone_verified"), verified.alias("email_verified"),
     )
-    pairs = block_stars(records, "id", {"domain": F.col("domain"), "phone": F.col("phone"), "place": F.concat_ws("|", "name", "city", "state")})
-    return R.match_companies(records, pairs).select("a", "b", "status", "confidence")
+    classes = signature_classes(records, "id")
+    kinds = ("domain", "phone", "place_id", "email", "name")
+    keys = F.concat(F.array(*(F.struct(F.lit(x).alias("kind"), F.col(x).alias("key")) for x in kinds)), F.transform("external_ids", lambda x: F.struct(F.lit("external").alias("kind"), x.alias("key"))))
+    decided = R.match_companies(classes, block_classes(classes, "id", keys)).select("a", "b", "status", "confidence")
+    sizes = classes.select("id", "members")
+    joined = decided.join(sizes.withColumnsRenamed({"id": "a", "members": "n"}), "a").join(sizes.withColumnsRenamed({"id": "b", "members": "m"}), "b")
+    return joined.select("a", "b", "status", "confidence", F.when(F.col("a") == F.col("b"), F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n") * F.col("m")).cast("long").alias("links"))
+
+
+#: Texts about a company called Oak, and the verdict and reason of a request for real-estate investors.
+CATEGORY_TEXTS = (
+    ("Oak is a real estate agent", "NEEDS_REVIEW", "CATEGORY_AMBIGUOUS"), ("We buy houses in Dallas", "MATCH", "CATEGORY_EVIDENCE"), ("property management for owners", "NO_MATCH", "CATEGORY_CONFLICT"), ("bakery and cakes", "NO_MATCH", "CATEGORY_MISMATCH"),
+    ("Fix  and\nflip of homes", "MATCH", "CATEGORY_EVIDENCE"), ("mortgage advice for every acquisition", "NEEDS_REVIEW", "CATEGORY_AMBIGUOUS"), ("", "NO_MATCH", "CATEGORY_MISMATCH"),
+)
+
+
+@query(
+    "WITH t(i, verdict, reason) AS (VALUES "
+    + ", ".join(f"({i}, '{v}', '{r}')" for i, (_, v, r) in enumerate(CATEGORY_TEXTS))
+    + """) SELECT s_suppkey AS id,
+      CASE WHEN s_suppkey % 5 = 4 AND i IN (3, 6) THEN 'MATCH' WHEN s_suppkey % 5 = 4 AND i = 2 THEN 'NEEDS_REVIEW' WHEN s_suppkey % 9 = 8 AND i IN (3, 6) THEN 'NEEDS_REVIEW' ELSE verdict END AS verdict,
+      CASE WHEN s_suppkey % 5 = 4 AND i IN (3, 6) THEN 'CATEGORY_EVIDENCE' WHEN s_suppkey % 5 = 4 AND i = 2 THEN 'CATEGORY_AMBIGUOUS' WHEN s_suppkey % 9 = 8 AND i IN (3, 6) THEN 'CATEGORY_NAME_ONLY' ELSE reason END AS reason
+      FROM supplier JOIN t ON i = s_suppkey % 7"""
+)
+def category_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real-estate investors asked for, over all suppliers: texts, tagged categories and names of several kinds."""
+    k = F.col("s_suppkey")
+    text = F.get(F.array(*(F.lit(t) for t, *_ in CATEGORY_TEXTS)), (k % len(CATEGORY_TEXTS)).cast("int"))
+    name = F.when(k % 9 == 8, "Elm Real Estate Investor").when(k % 9 == 7, "Re").otherwise("Oak")
+    verdict, reason = V.category("real_estate_investor", text, name, F.when(k % 5 == 4, "house_buying"))
+    return A.table(spark, sf_dir, "supplier").select(k.alias("id"), verdict.alias("verdict"), reason.alias("reason"))
 
 
 @query(
