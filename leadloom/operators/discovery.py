@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.urls import host
 from leadloom.operators.relational import streaks
+from leadloom.operators.settle import settled
 
 #: Hosts that are no company's own site, by class; the first class that has a host counts.
 HOST_CLASSES = {
@@ -85,14 +85,6 @@ def completeness(*fields: Column) -> Column:
     return sum((F.when(f != "", 1).otherwise(0) for f in fields), F.lit(0))
 
 
-def _settled(rows: DataFrame) -> DataFrame:
-    """`rows`, computed once into the checkpoint folder; one is made only where none is configured."""
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="leadloom-"))
-    return rows.checkpoint()
-
-
 def first_wins(candidates: DataFrame, block: str | None = None, order: Sequence[str | Column] = ()) -> DataFrame:
     """Candidates by `order`, then id, that share no key with one accepted before; of one block, if that is given.
 
@@ -101,22 +93,22 @@ def first_wins(candidates: DataFrame, block: str | None = None, order: Sequence[
     with it go, and the rest are judged anew, until none is left. There are as many rounds as the longest
     chain of decisions that wait for one another, few unless keys are chained in the very order of the rows.
     """
-    whole = _settled(candidates.withColumn("_row", F.monotonically_increasing_id()))
+    whole = settled(candidates.withColumn("_row", F.monotonically_increasing_id()))
     # Rows without an id come last; equal ones keep the order in which they were read.
     rank = F.struct(*order, F.col("id").isNull().alias("_last"), "id", "_row").alias("_rank")
     scope = (F.col(block) if block else F.lit(0)).alias("_scope")
     left = whole.select("_row", rank, scope, F.explode(F.array_distinct("keys")).alias("_k")).select("_row", "_rank", F.struct("_scope", "_k").alias("_key"))
-    left = _settled(left)
+    left = settled(left)
     dropped = []
     while not left.isEmpty():
         firsts = left.groupBy("_key").agg(F.min("_rank").alias("_first"))
         judged = left.join(firsts, "_key").withColumn("_leads", F.col("_first").eqNullSafe(F.col("_rank")))
-        accepted = _settled(judged.groupBy("_row").agg(F.bool_and("_leads").alias("_leads")).filter("_leads").select("_row"))
+        accepted = settled(judged.groupBy("_row").agg(F.bool_and("_leads").alias("_leads")).filter("_leads").select("_row"))
         taken = left.join(accepted, "_row", "left_semi").select("_key")
         open_ = left.join(accepted, "_row", "left_anti")
-        out = _settled(open_.join(taken, "_key", "left_semi").select("_row").distinct())
+        out = settled(open_.join(taken, "_key", "left_semi").select("_row").distinct())
         dropped.append(out)
-        left = _settled(open_.join(out, "_row", "left_anti"))
+        left = settled(open_.join(out, "_row", "left_anti"))
     gone = reduce(DataFrame.unionByName, dropped) if dropped else whole.select("_row").limit(0)
     return whole.join(gone, "_row", "left_anti").select(*candidates.columns)
 
