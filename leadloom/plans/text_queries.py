@@ -11,6 +11,7 @@ from leadloom.functions import html as H
 from leadloom.functions import size as S
 from leadloom.functions import text as T
 from leadloom.functions import urls as U
+from leadloom.operators import research
 from leadloom.sources import adapters as A
 
 QUERIES: dict = {}
@@ -129,19 +130,72 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.filter(F.col("target").startswith("/") | F.col("target").rlike("^[A-Za-z]+://")).select("page_id", "target", H.resolve(F.col("target"), F.col("url")).alias("link"))
 
 
+_SCORED = """CASE WHEN path = '/' THEN 5 ELSE 0 END + CASE WHEN regexp_matches(path, '(/about|/about-us|/team|/leadership|/management|/company|/contact|/our-team|/who-we-are|/services|/properties|/portfolio|/investments)$') THEN 8 ELSE 0 END
+      + 2 * len(list_filter(['leadership', 'founder', 'ceo', 'president', 'owner', 'management', 'team', 'company', 'acquisition', 'investment', 'properties', 'portfolio', 'contact', 'email', 'phone', 'linkedin', 'facebook', 'instagram', 'youtube'], lambda t: contains(path || ' ' || lower(anchor), t)))"""
+_LOW_PATH = "lower(coalesce(nullif(regexp_extract(url, '^[A-Za-z]+://[^/?#]+(/[^?#]*)?', 1), ''), '/'))"
+#: Paths that pages of a site are given in turn, since those of the table say nothing of what they are.
+_GIVEN = ("", "/about-us", "/de/team/", "/people", "/Contact", "/our-services/list", "/who-we-are", "/products/x", "/ceo-letter")
+
+
 @query(
-    """SELECT host, url, score, rank FROM (SELECT host, url, score, row_number() OVER (PARTITION BY host ORDER BY score DESC, url) AS rank FROM (SELECT DISTINCT host, url,
-      CASE WHEN path IN ('', '/') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(path, '/(about|team|contact|leadership|company|people|staff|who-we-are)([/.-]|$)') THEN 8 ELSE 0 END AS score
-      FROM (SELECT url, %s AS host, lower(regexp_extract(url, '^[A-Za-z]+://[^/]+(/[^?#]*)?', 1)) AS path FROM pages))) WHERE rank <= 3"""
-    % _HOST
+    """SELECT host, url, score, rank FROM (SELECT host, url, score, row_number() OVER (PARTITION BY host ORDER BY score DESC, url) AS rank FROM (SELECT DISTINCT host, url, %s AS score FROM (SELECT url, '' AS anchor, %s AS host, %s AS path FROM pages))) WHERE rank <= 3"""
+    % (_SCORED, _HOST, _LOW_PATH)
 )
 def page_relevance_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three pages of each site that are read first."""
+    """H5: the three pages of each site that promise most."""
     pages = A.table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("host"), "url", H.relevance(F.col("url")).alias("score")).distinct()
     w = Window.partitionBy("host").orderBy(F.desc("score"), "url")
     return pages.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 3").select("host", "url", "score", "rank")
 
 
+@query(
+    """WITH given(i, path, rank) AS (VALUES (0, '', 0), (1, '/about-us', 4), (2, '/de/team/', 3), (3, '/people', 0), (4, '/Contact', 3), (5, '/our-services/list', 0), (6, '/who-we-are', 4), (7, '/products/x', 2), (8, '/ceo-letter', 0))
+    SELECT page_id, %s AS host, rank, (row_number() OVER (PARTITION BY %s ORDER BY rank DESC, page_id))::INT AS position FROM pages JOIN given ON i = page_id %% 9"""
+    % (_HOST, _HOST)
+)
+def page_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each site's pages in the order in which they are fetched: by rank, equal ones as they come."""
+    pages = A.table(spark, sf_dir, "pages")
+    path = F.get(F.array(*map(F.lit, _GIVEN)), (F.col("page_id") % len(_GIVEN)).cast("int"))
+    ranked = pages.select("page_id", U.host(F.col("url")).alias("host"), H.page_rank(F.concat(F.regexp_extract("url", "^([A-Za-z]+://[^/?#]+)", 1), path)).alias("rank"))
+    return ranked.withColumn("position", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("rank"), "page_id")))
+
+
+_LINKS = r"""SELECT page_id, url, %s AS host, unnest(regexp_extract_all(html, '(?is)<a[^>]+href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 1)) AS target, unnest(regexp_extract_all(html, '(?is)<a[^>]+href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 2)) AS inside FROM pages""" % _HOST
+
+
+@query(
+    rf"""SELECT page_id, CASE WHEN target LIKE '/%' THEN regexp_extract(url, '^([A-Za-z]+://[^/]+)', 1) || target ELSE target END AS link, trim(regexp_replace(regexp_replace(inside, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS anchor FROM ({_LINKS})
+    WHERE target LIKE '/%' OR (regexp_matches(target, '(?i)^https?://') AND regexp_replace(lower(regexp_extract(target, '^[A-Za-z]+://([^/?#]+)', 1)), '^www\.', '') = host)"""
+)
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H4: links of pages to pages of their own site, with their text."""
+    one = A.table(spark, sf_dir, "pages").select("page_id", F.explode(H.links(F.col("html"), F.col("url"))).alias("l"))
+    return one.select("page_id", "l.link", "l.anchor")
+
+
+@query(
+    rf"""WITH RECURSIVE p AS (SELECT DISTINCT {_HOST} AS site, url FROM pages), home AS (SELECT site, min(url) AS url FROM p GROUP BY site),
+    nav AS (SELECT site, url, lead(url) OVER (PARTITION BY site ORDER BY url) AS link, 'next of the team' AS anchor FROM p),
+    own AS (SELECT host AS site, url, regexp_extract(url, '^([A-Za-z]+://[^/]+)', 1) || target AS link, trim(regexp_replace(regexp_replace(inside, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS anchor FROM ({_LINKS}) WHERE target LIKE '/%'),
+    edges AS (SELECT * FROM nav WHERE link IS NOT NULL UNION ALL SELECT * FROM own),
+    walk AS (SELECT site, url, 0 AS depth FROM home UNION SELECT e.site, e.link, w.depth + 1 FROM walk w JOIN edges e ON e.site = w.site AND e.url = w.url WHERE w.depth < 3),
+    lev AS (SELECT site, url, min(depth) AS depth FROM walk GROUP BY site, url),
+    said AS (SELECT a.site, a.url, a.depth, coalesce(e.anchor, 'home') AS anchor, {_LOW_PATH.replace("url", "a.url")} AS path FROM lev a LEFT JOIN (SELECT e.site, e.link, e.anchor, b.depth FROM edges e JOIN lev b ON b.site = e.site AND b.url = e.url) e ON e.site = a.site AND e.link = a.url AND e.depth = a.depth - 1),
+    scored AS (SELECT site, url, depth, max({_SCORED}) AS score FROM said GROUP BY site, url, depth),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY depth > 0, score DESC, url)::INT AS rank FROM scored WHERE depth = 0 OR score > 0)
+    SELECT site, url, depth, score, rank FROM ranked WHERE rank <= 4"""
+)
+def research_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four pages of each site, from its home page over at most three links; pages link to what they say and to the next of their site."""
+    pages = A.table(spark, sf_dir, "pages").withColumn("site", U.host(F.col("url")))
+    known = pages.select("site", "url").distinct()
+    own = pages.select("site", "url", F.explode(H.links(F.col("html"), F.col("url"))).alias("l")).select("site", "url", "l.link", "l.anchor")
+    following = known.withColumn("link", F.lead("url").over(Window.partitionBy("site").orderBy("url"))).filter("link IS NOT NULL").withColumn("anchor", F.lit("next of the team"))
+    homes = known.groupBy("site").agg(F.min("url").alias("url"))
+    return research.plan(research.levels(homes, own.unionByName(following), 3), 4)
+
+
 _TEXTS = [
     "Oak Stream Investors has 23 employees", "employees = 1", "Company size: 11-50 employees", "has 10+ employees", "approximately 25 employees", "We are a small company", "3.3 Employee stealing from clients",
     "Accounts 266 Employees 5 Advisory reps 3", "51 to 200 employees worldwide", "company size 90-20", "nothing",
