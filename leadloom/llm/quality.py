@@ -15,7 +15,7 @@ from leadloom.llm.common import set_aside
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Percent of the text's characters that the failing lines may hold at most.
 MOST_LOST = 40
-#: Characters of a boilerplate line at most.
+#: Characters of a line for each boilerplate phrase in it at most.
 BOILERPLATE_CHARS = 120
 #: Bits of a packed window that are its place; the others are of its hash.
 PLACE_BITS = 28
@@ -36,13 +36,13 @@ BOILERPLATE = (
 def failing(line: Column, symbols: Column) -> Column:
     """Whether a line (blanks at its ends removed) breaks a punctuation, navigation or boilerplate rule; blank lines do not.
 
-    `symbols` says whether the document has any symbol at all. Boilerplate is sought in lines of
-    BOILERPLATE_CHARS characters at most.
+    `symbols` says whether the document has any symbol at all. A line is boilerplate if it has a phrase of it for every
+    BOILERPLATE_CHARS of its characters.
     """
     dense = symbols & ((F.length(line) - F.length(F.regexp_replace(line, SYMBOLS, ""))) * 20 > F.length(line))
-    punctuation = ~(F.substring(line, -8, 8).rlike(ENDING) | line.rlike(INSIDE)) | line.rlike(r"[!?]{2,}\s+\S+[!?]{2,}") | dense
+    punctuation = ~(line.rlike(ENDING) | line.rlike(INSIDE)) | line.rlike(r"[!?]{2,}\s+\S+[!?]{2,}") | dense
     navigation = line.rlike(r"(\s[|»>·•/]\s.*){2,}")
-    boilerplate = (F.length(line) <= BOILERPLATE_CHARS) & F.lower(line).rlike(BOILERPLATE)
+    boilerplate = F.regexp_count(F.lower(line), F.lit(BOILERPLATE)) * BOILERPLATE_CHARS >= F.length(line)
     return (line != "") & (punctuation | navigation | boilerplate)
 
 

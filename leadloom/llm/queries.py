@@ -188,11 +188,11 @@ ORACLES: dict[str, str] = {
           FROM (SELECT doc_id, n_symbols, unnest(string_split(t, chr(10))) AS raw FROM counts)
         ), judged AS (
           SELECT doc_id, chars, l <> '' AND (
-              NOT (regexp_matches(right(l, 8), '[.!?…:;。！？]["''”’»)\]]*$') OR regexp_matches(l, '[.!?…:;]["''”’»)\]]*\s'))
+              NOT (regexp_matches(l, '[.!?…:;。！？]["''”’»)\]]*$') OR regexp_matches(l, '[.!?…:;]["''”’»)\]]*\s'))
               OR regexp_matches(l, '[!?]{2,}\s+\S+[!?]{2,}')
               OR (dense AND (length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g'))) * 20 > length(l))
               OR regexp_matches(l, '(\s[|»>·•/]\s.*){2,}')
-              OR (length(l) <= 120 AND regexp_matches(lower(l), 'all rights reserved|\blicen[sc]ed? under\b|released under the|terms of (use|service)|privacy policy|cookie|javascript|copyright|subscribe|newsletter|sign (in|up)|log ?in|click here|lorem ipsum|powered by|share this'))
+              OR len(regexp_extract_all(lower(l), 'all rights reserved|\blicen[sc]ed? under\b|released under the|terms of (use|service)|privacy policy|cookie|javascript|copyright|subscribe|newsletter|sign (in|up)|log ?in|click here|lorem ipsum|powered by|share this')) * 120 >= length(l)
             ) AS gone FROM lines
         ), lost AS (
           SELECT doc_id, sum(chars) AS chars, coalesce(sum(chars) FILTER (WHERE gone), 0) AS lost FROM judged GROUP BY doc_id
