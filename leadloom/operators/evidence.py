@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions.urls import registrable_domain
@@ -40,17 +40,20 @@ def reconcile(evidence: DataFrame, stored: DataFrame, excerpts: DataFrame | None
 
     Several distinct values need review and name a conflict, the first claims of the first two
     values. Else claims equal to the stored value verify it, from two independent sources on, or
-    support it. Claims come by id; aggregation is by (entity, field, value) first, so a field with
-    very many claims is combined before it is gathered.
+    support it. Claims come by id; aggregation is by (entity, field, value) first, and of a field's
+    values only the first two of each task go on.
     """
     claims = evidence.filter(F.col("value").isNotNull() & (F.col("value") != "")).withColumn("norm", normal_value(F.col("field"), F.col("value"))).withColumn("source", source_key(F.col("source_url"), F.col("provider")))
     # A source that says the same again says nothing new.
     distinct = claims.groupBy("company_id", "field", "norm", "source").agg(F.min(F.struct("id", "value")).alias("first"))
     by_value = distinct.groupBy("company_id", "field", "norm").agg(F.count("*").alias("sources"), F.min("first").alias("first"))
-    by_field = by_value.groupBy("company_id", "field").agg(F.count("*").alias("n_values"), F.array_sort(F.collect_list(F.struct("first", "norm", "sources"))).alias("groups"))
-    joined = stored.join(by_field, ["company_id", "field"], "left")
-    match = F.filter("groups", lambda g: g["norm"] == normal_value(F.col("field"), F.col("value")))
-    sources = F.coalesce(F.get(match, 0)["sources"], F.lit(0))
+    # Two values name a conflict and one may be the stored one: nothing is gathered, however many values a field has.
+    order = Window.partitionBy("company_id", "field").orderBy("first")
+    two = by_value.withColumn("place", F.row_number().over(order)).filter("place <= 2")
+    by_field = two.groupBy("company_id", "field").agg(F.count("*").alias("n_values"), *(F.max(F.when(F.col("place") == i, F.col("first.value"))).alias(n) for i, n in ((1, "value_a"), (2, "value_b"))))
+    wanted = stored.withColumn("norm", normal_value(F.col("field"), F.col("value")))
+    joined = wanted.join(by_field, ["company_id", "field"], "left").join(by_value.select("company_id", "field", "norm", "sources"), ["company_id", "field", "norm"], "left")
+    sources = F.coalesce("sources", F.lit(0))
     if excerpts is not None:
         joined = joined.join(borne_out(stored, excerpts), ["company_id", "field"], "left")
         sources = F.when(sources > 0, sources).otherwise(F.coalesce("text_sources", F.lit(0)))
@@ -66,7 +69,7 @@ def reconcile(evidence: DataFrame, stored: DataFrame, excerpts: DataFrame | None
         "company_id", "field", status.alias("status"),
         F.when(status == "VERIFIED", 0.9).when(status == "SUPPORTED", 0.75).alias("confidence"),
         F.when(review, F.lit(0).cast("long")).otherwise(sources).alias("source_count"),
-        F.when(review, F.get("groups", 0)["first"]["value"]).alias("conflict_a"), F.when(review, F.get("groups", 1)["first"]["value"]).alias("conflict_b"),
+        F.when(review, F.col("value_a")).alias("conflict_a"), F.when(review, F.col("value_b")).alias("conflict_b"),
     )
 
 
