@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadloom.operators import duplicate_groups
 from leadloom.operators.model_output import backed, classifications, company_lists
 from leadloom.sources import adapters as A
+from leadloom.streaming import rates
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +86,26 @@ def duplicate_group_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = decided.filter("rank % 10 = 0 AND status <> 'PENDING'").select(F.least("record_a", "record_b").alias("a"), F.greatest("record_a", "record_b").alias("b")).distinct()
     groups = spark.createDataFrame([], "canonical long, created long")
     return duplicate_groups.assign(decided, known, groups)[0]
+
+
+#: Requests that a minute, an hour and a day let pass.
+LIMITS = {"minute": 1, "hour": 2, "day": 4}
+
+
+@query(
+    """WITH RECURSIVE s AS (SELECT (user_id % 5)::INT AS org_id, (user_id % 10)::VARCHAR AS user_id, event_type AS operation, floor(epoch(ts))::BIGINT AS second, count(*) AS hits FROM events WHERE ts IS NOT NULL GROUP BY ALL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY org_id, user_id, operation ORDER BY second) AS k FROM s),
+    r AS (
+      SELECT org_id, user_id, operation, 0::BIGINT AS k, 0::BIGINT AS second, 0::BIGINT AS hits, 0::BIGINT AS ms, 0::BIGINT AS mc, 0::BIGINT AS hs, 0::BIGINT AS hc, 0::BIGINT AS ds, 0::BIGINT AS dc, 0::BIGINT AS p1, 0::BIGINT AS p2, 0::BIGINT AS p3 FROM (SELECT DISTINCT org_id, user_id, operation FROM n)
+      UNION ALL
+      SELECT org_id, user_id, operation, k, second, hits, ms, mc0 + hits, hs, hc0 + p1, ds, dc0 + p2, p1, p2, greatest(0, least(p2, 4 - dc0)) FROM (
+        SELECT *, greatest(0, least(p1, 2 - hc0)) AS p2, CASE WHEN least(p1, 2 - hc0) > 0 AND (odc = 0 OR second >= ods + 86400) THEN second ELSE ods END AS ds, CASE WHEN least(p1, 2 - hc0) > 0 AND (odc = 0 OR second >= ods + 86400) THEN 0 ELSE odc END AS dc0 FROM (
+          SELECT *, greatest(0, least(hits, 1 - mc0)) AS p1, CASE WHEN least(hits, 1 - mc0) > 0 AND (ohc = 0 OR second >= ohs + 3600) THEN second ELSE ohs END AS hs, CASE WHEN least(hits, 1 - mc0) > 0 AND (ohc = 0 OR second >= ohs + 3600) THEN 0 ELSE ohc END AS hc0 FROM (
+            SELECT n.org_id, n.user_id, n.operation, n.k, n.second, n.hits, r.hs AS ohs, r.hc AS ohc, r.ds AS ods, r.dc AS odc, CASE WHEN r.mc = 0 OR n.second >= r.ms + 60 THEN n.second ELSE r.ms END AS ms, CASE WHEN r.mc = 0 OR n.second >= r.ms + 60 THEN 0 ELSE r.mc END AS mc0
+            FROM r JOIN n ON n.org_id = r.org_id AND n.user_id = r.user_id AND n.operation = r.operation AND n.k = r.k + 1)))
+    ) SELECT org_id, user_id, operation, second, hits, p3 AS allowed, hits - p1 AS refused_minute, p1 - p2 AS refused_hour, p2 - p3 AS refused_day FROM r WHERE k > 0"""
+)
+def rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What windows of a minute, an hour and a day that open with their first hit let pass and refuse, by organisation, user and operation."""
+    e = A.table(spark, sf_dir, "events")
+    return rates.limited(e.select((F.col("user_id") % 5).cast("int").alias("org_id"), (F.col("user_id") % 10).alias("user_id"), F.col("event_type").alias("operation"), F.col("ts").alias("created_at")), LIMITS)
