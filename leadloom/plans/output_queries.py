@@ -1,12 +1,14 @@
-"""Model output, and pairs and groups of duplicates, as registered queries."""
+"""Model output, groups of duplicates, rate limits and searches of leads as registered queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.operators import duplicate_groups
+from leadloom.operators import duplicate_groups, lead_search
+from leadloom.operators.lead_search import LeadSearch
 from leadloom.operators.model_output import backed, classifications, company_lists
+from leadloom.plans.entities_sql import COMPANIES, LATEST_SCORES, SCORES, VERIFICATIONS, with_
 from leadloom.sources import adapters as A
 from leadloom.streaming import rates
 
@@ -109,3 +111,54 @@ def rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What windows of a minute, an hour and a day that open with their first hit let pass and refuse, by organisation, user and operation."""
     e = A.table(spark, sf_dir, "events")
     return rates.limited(e.select((F.col("user_id") % 5).cast("int").alias("org_id"), (F.col("user_id") % 10).alias("user_id"), F.col("event_type").alias("operation"), F.col("ts").alias("created_at")), LIMITS)
+
+
+def _lead_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Companies with their children: customers, and their orders and lines as contacts, places, classifications and so on."""
+    companies = A.companies(spark, sf_dir)
+    k, o = F.col("id"), F.col("o_orderkey")
+    none = F.lit(None).cast("string")
+    whole = companies.withColumns({
+        "description": F.when(k % 6 == 0, F.concat(F.lit("Buys homes near lake "), (k % 9).cast("string"))), "investor_type": F.when(k % 4 == 0, "FIX_AND_FLIP"), "investment_strategy": F.when(k % 2 == 0, "Buy and hold"), "property_types": F.array(F.lit("Land"), F.concat(F.lit("T"), (k % 3).cast("string"))),
+        "markets_served": F.array(F.concat(F.lit("M"), (k % 5).cast("string"))), "updated_at": F.timestamp_seconds(F.lit(978307200) + k % 77 * 86400), "last_verified_at": F.when(k % 3 > 0, F.timestamp_seconds(F.lit(988307200) + k % 55 * 86400)),
+    })
+    orders = A.table(spark, sf_dir, "orders").join(companies.select(F.col("id").alias("o_custkey"), "org_id"), "o_custkey").withColumnRenamed("o_custkey", "company_id")
+    pick = lambda values, key: F.get(F.array(*map(F.lit, values)), (key % len(values)).cast("int"))
+    return {
+        "companies": whole, "scores": A.scores(spark, sf_dir), "verifications": A.verifications(spark, sf_dir).join(companies.select(F.col("id").alias("company_id"), "org_id"), "company_id"),
+        "sources": orders.select("org_id", "company_id", F.date_format("o_orderdate", "yyyy-MM").alias("execution_id")),
+        "classifications": orders.select("org_id", "company_id", pick(("QUALIFIED", "NOT_QUALIFIED", "INSUFFICIENT_EVIDENCE"), o).alias("decision"), (o % 100 / 100).alias("confidence")),
+        "contacts": orders.select("company_id", pick(("CEO and Founder", "Office Manager", None), o).alias("title"), F.when(o % 5 > 0, "Ann B").alias("full_name"), F.when(o % 2 == 0, "https://l.example").alias("linkedin_url"), none.alias("facebook_url"), none.alias("instagram_url"), pick(("VERIFIED", "FOUND", None), F.floor(o / 2)).alias("verification_status"), none.alias("email_status")),
+        "locations": companies.select(F.col("id").alias("company_id"), "state", pick(("Austin", "Dallas", None), k).alias("city"), pick(("US", "Germany"), k).alias("country"), (k % 90).cast("string").alias("postal_code")),
+        "duplicates": orders.select("org_id", F.lit("COMPANY").alias("entity_type"), F.col("company_id").alias("entity_a_id"), pick(("NEEDS_REVIEW", "AUTO_DUPLICATE"), o).alias("status")),
+        "qualifications": orders.select("org_id", "company_id", F.date_format("o_orderdate", "yyyy-MM").alias("execution_id"), pick(("QUALIFIED", "NEEDS_REVIEW"), F.floor(o / 3)).alias("status")),
+    }
+
+
+@query(
+    with_(COMPANIES, SCORES, LATEST_SCORES, VERIFICATIONS)
+    + """, o AS (SELECT *, o_custkey AS company_id FROM orders), found AS (
+      SELECT id, name FROM companies WHERE org_id = 1 AND website ILIKE '%co%' AND website ILIKE '%.example%' AND id % 2 = 0 AND (name ILIKE '%lake%' OR website ILIKE '%lake%' OR (id % 6 = 0 AND 'Buys homes near lake ' || (id % 9) ILIKE '%lake%'))
+        AND id IN (SELECT company_id FROM o WHERE o_orderkey % 3 = 0 AND o_orderkey % 100 / 100 >= 0.1) AND id IN (SELECT company_id FROM latest_scores WHERE score <= 95) AND id IN (SELECT company_id FROM verifications WHERE status = 'VERIFIED' AND checked_at >= TIMESTAMP '1990-01-01')
+        AND id IN (SELECT company_id FROM o WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 > 0 AND (o_orderkey // 2) % 3 = 0) AND id % 3 = 0 AND id % 2 = 0 AND id IN (SELECT company_id FROM o WHERE o_orderkey % 2 = 1) AND id IN (SELECT company_id FROM o WHERE (o_orderkey // 3) % 2 = 0))
+    SELECT id, name, coalesce(score, -1) AS score, (SELECT count(*) FROM found) AS total, ceil((SELECT count(*) FROM found) / 10.0)::BIGINT AS total_pages FROM found LEFT JOIN latest_scores ON company_id = id ORDER BY name, id LIMIT 10"""
+)
+def lead_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads by texts, places, and six facets of their children in one exchange, by name."""
+    asked = LeadSearch(
+        1, limit=10, sort_by="company_name", sort_order="asc", search="lake", website=".example", domain="co", investment_strategy="hold", property_type="land", classification="QUALIFIED", classification_confidence=0.1, max_score=95, verification_status="VERIFIED",
+        last_verified_from="1990-01-01", contact_title="founder", has_decision_maker=True, has_verified_contact=True, city="austin", country="us", duplicate_status="AUTO_DUPLICATE", qualification_status="QUALIFIED",
+    )
+    return lead_search.search(_lead_tables(spark, sf_dir), asked).select("id", "name", "score", "total", "total_pages")
+
+
+@query(
+    with_(COMPANIES, SCORES, LATEST_SCORES)
+    + """ SELECT s.id, s.org_id, coalesce(l.score, -1) AS score, s.updated_at FROM (
+      SELECT id, org_id, make_timestamp((978307200 + id % 77 * 86400) * 1000000) AS updated_at FROM companies WHERE org_id = 2 AND id % 4 = 0 AND (email IS NULL OR length(trim(email)) = 0)
+        AND id IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 5 = 0)) s LEFT JOIN latest_scores l ON l.company_id = s.id ORDER BY updated_at DESC, s.id LIMIT 7"""
+)
+def leads_recently_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads of one investor type without an e-mail and with an unnamed, unlinked contact, newest first."""
+    asked = LeadSearch(2, limit=7, sort_by="updated_at", investor_type="FIX_AND_FLIP", has_email=False, has_linkedin=False, has_decision_maker=False)
+    return lead_search.search(_lead_tables(spark, sf_dir), asked).select("id", "org_id", "score", "updated_at")
