@@ -456,14 +456,14 @@ _SNIPPETS = [
 
 
 @query(
-    rf"""WITH d AS (SELECT doc_id, coalesce(text, '') || {_sql_pick(_SNIPPETS, 'doc_id')} AS t FROM documents WHERE lang = 'de'),
+    rf"""WITH d AS (SELECT doc_id, coalesce(text, '') || {_sql_pick(_SNIPPETS, 'doc_id')} AS t FROM documents),
     m AS (SELECT doc_id, t, list_filter(list_transform(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{{2,}}'), lambda a: lower(a)), lambda a: regexp_matches(a, '^(info|contact|hello|support|sales|team|press|careers)[.+@]')) AS mails,
       regexp_extract(t, '(?:\+?1[-.\s]?)?(?:\(?[0-9]{{3}}\)?[-.\s]?[0-9]{{3}}[-.\s]?[0-9]{{4}})') AS p, regexp_extract(t, '(?i)we buy houses? for cash') AS s1, regexp_extract(t, '(?i)fix and flip') AS s2 FROM d)
     SELECT doc_id, mails[1] AS email, nullif(trim(regexp_replace(p, '\s+', ' ', 'g')), '') AS phone, concat_ws('|', nullif(s1, ''), nullif(s2, '')) AS signals FROM m"""
 )
 def text_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The public mailbox, the phone number and the investors' phrases in texts of one language."""
-    docs = A.table(spark, sf_dir, "documents").filter("lang = 'de'").select("doc_id", F.concat(F.coalesce("text", F.lit("")), _pick(_SNIPPETS, F.col("doc_id"))).alias("t"))
+    """The public mailbox, the phone number and the investors' phrases in all texts."""
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), _pick(_SNIPPETS, F.col("doc_id"))).alias("t"))
     t = F.col("t")
     return docs.select("doc_id", G.public_email(t).alias("email"), G.first_phone(t).alias("phone"), F.array_join(G.investment_phrases(t), "|").alias("signals"))
 
@@ -508,6 +508,6 @@ def web_hit_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = A.table(spark, sf_dir, "pages")
     place = _pick([" investors in Texas", " investments", " in Ohio", " we buy houses, TX"], F.col("page_id"))
-    hits = pages.select(F.col("page_id").alias("id"), H.title(F.col("html")).alias("title"), "url", F.concat(F.substring(H.visible_text(F.col("html")), 1, 200), place).alias("snippet"))
+    hits = pages.select(F.col("page_id").alias("id"), H.title(F.col("html")).alias("title"), "url", F.concat(H.visible_text(F.col("html")), place).alias("snippet"))
     kept, dropped = X.collect(X.assess(hits, ["real_estate_investor"], state="Texas", country="US"), 1000)
     return dropped.unionByName(kept.groupBy().agg(F.count("*").alias("n")).select(F.lit("ACCEPTED").alias("reason"), "n"))
