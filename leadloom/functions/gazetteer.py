@@ -47,11 +47,18 @@ def state_names() -> dict[str, str]:
 
 
 def entries() -> list[tuple[str, str, str | None, str | None]]:
-    """Every place that is known by a name: (name, country, state, city); two-letter codes are left out, since they are words too."""
-    found = [(name, country, None, None) for name, country in country_names().items() if len(name) > 2]
-    found += [(name, "US", state, None) for name, state in state_names().items() if len(name) > 2]
+    """Every place that is known by a name: (name, country, state, city), each name once, as a country, a state or a city in this order.
+
+    Names of two letters are left out, since they are words too.
+    """
+    found = [(name, country, None, None) for name, country in country_names().items()] + [(name, "US", state, None) for name, state in state_names().items()]
     found += [(city.lower(), country, state, city) for city, (country, state) in CITIES.items()]
-    return found + [(city.lower(), country, state, city) for (country, state), cities in CITIES_OF.items() for city in cities if city not in CITIES]
+    found += [(city.lower(), country, state, city) for (country, state), cities in CITIES_OF.items() for city in cities]
+    first: dict[str, tuple] = {}
+    for entry in found:
+        if len(entry[0]) > 2:
+            first.setdefault(entry[0], entry)
+    return list(first.values())
 
 
 def literal_map(pairs: dict[str, str]) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.operators import drafts, prompts
+from leadloom.functions import gazetteer
+from leadloom.operators import drafts, place_scan, prompts
 from leadloom.sources import adapters as A
 
 QUERIES: dict = {}
@@ -118,3 +119,25 @@ def draft_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Nothing of what the explosion yields is pushed below it, where it would be worked out anew for every use.
     judged = drafts.judge(_drafted(spark, sf_dir)).select("id", F.explode_outer(F.when(F.col("method") == "ai", F.col("leaves"))).alias("leaf"))
     return judged.filter(leaf["field"].isin("industry", "locations", "decisionMakerRoles", "socialPlatforms")).select("id", leaf["field"].alias("field"), leaf["value"].alias("value"), leaf["from"].alias("begins"), leaf["to"].alias("ends"))
+
+
+def _gazetteer(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(gazetteer.entries(), "name string, country string, state string, city string")
+
+
+@query()
+def place_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place that documents and conversations name, with what is known of it; free text, so rows only."""
+    talk = A.table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.lit("conversation"), "conv_id", "turn").alias("doc_id"), "text")
+    texts = A.table(spark, sf_dir, "documents").select(F.concat_ws(":", F.lit("document"), "doc_id").alias("doc_id"), "text").unionByName(talk)
+    names = _gazetteer(spark)
+    return place_scan.mentions(texts, names).join(F.broadcast(names), "name").select("doc_id", "name", "begins", "ends", "country", "state", "city")
+
+
+@query(
+    f"""WITH {ASKED}, n(i, name) AS (VALUES (0, 'germany'), (2, 'dubai'), (4, 'united states'), (5, 'toronto'), (6, 'new york'), (7, 'france'))
+    SELECT id, name, instr(lower(prompt), name)::INT - 1 AS begins, instr(lower(prompt), name)::INT - 1 + length(name)::INT AS ends FROM prompts JOIN n ON n.i = prompts.i"""
+)
+def prompt_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places that customers' prompts name, by one scan for all names; codes of two letters are words too and not looked for."""
+    return place_scan.mentions(_asked(spark, sf_dir), _gazetteer(spark), "id", "prompt")
