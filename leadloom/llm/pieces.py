@@ -32,6 +32,9 @@ CACHE_WORDS, CACHE_IDS = 1_500_000, 1 << 24
 #: Characters of a text that is checked as a whole at most: what is longer is checked by its words.
 CHECKED_CHARS = 1 << 16
 
+#: Ids that are decoded in one call at most.
+DECODED = 1 << 18
+
 _MODELS: dict = {}
 
 
@@ -204,8 +207,14 @@ def decode(rows: DataFrame, path: str, name: str = "decoded") -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("ids")).to_pylist()
-            texts = pieces.library.decode([x or [] for x in lists], num_threads=1) if lists else []
-            yield _put(batch, name, pa.array(texts, pa.string()))
+            held = batch.column(batch.schema.get_field_index("ids"))
+            ends = np.cumsum(held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                # Some rows at a time, so that few ids are Python objects at once; one longer row goes by itself.
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + DECODED, "right")))
+                texts = pieces.library.decode([x or [] for x in held.slice(at, to - at).to_pylist()], num_threads=1)
+                yield _put(batch.slice(at, to - at), name, pa.array(texts, pa.string()))
+                at = to
 
     return rows.mapInArrow(each, _with(rows.schema, name, T.StringType()))
