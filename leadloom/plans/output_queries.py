@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.operators import duplicate_groups, lead_search
+from leadloom.operators import duplicate_groups, lead_search, scoring
 from leadloom.operators.lead_search import LeadSearch
 from leadloom.operators.model_output import backed, classifications, company_lists
-from leadloom.plans.entities_sql import COMPANIES, LATEST_SCORES, SCORES, VERIFICATIONS, with_
+from leadloom.plans.entities_sql import COMPANIES, EVIDENCE, LATEST_SCORES, SCORES, VERIFICATIONS, with_
 from leadloom.sources import adapters as A
 from leadloom.streaming import rates
 
@@ -162,3 +162,37 @@ def leads_recently_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leads of one investor type without an e-mail and with an unnamed, unlinked contact, newest first."""
     asked = LeadSearch(2, limit=7, sort_by="updated_at", investor_type="FIX_AND_FLIP", has_email=False, has_linkedin=False, has_decision_maker=False)
     return lead_search.search(_lead_tables(spark, sf_dir), asked).select("id", "org_id", "score", "updated_at")
+
+
+_POINTS = "CASE {0} WHEN 'VERIFIED' THEN {1} WHEN 'SUPPORTED' THEN {2} WHEN 'CONFLICT' THEN -{2} WHEN 'NEEDS_REVIEW' THEN -{2} ELSE 0 END"
+_FIRST = "first(status ORDER BY id, checked_at, status) FILTER (WHERE field = '{0}') AS {0}"
+
+
+@query(
+    with_(COMPANIES, VERIFICATIONS, EVIDENCE)
+    + f""", leads AS (SELECT *, CASE id % 4 WHEN 0 THEN 'QUALIFIED' WHEN 1 THEN 'NOT_QUALIFIED' WHEN 2 THEN 'INSUFFICIENT_EVIDENCE' END AS decision, id % 2 = 0 AS investor, id % 3 > 0 AS has_contact FROM companies),
+    f AS (SELECT company_id, {", ".join(_FIRST.format(x) for x in ("companyName", "website", "state", "title", "email", "phone", "companySize"))}, count(*) FILTER (WHERE status IN ('CONFLICT', 'NEEDS_REVIEW')) AS bad,
+      coalesce(array_to_string(list_sort(list_distinct(list(field || ':' || status) FILTER (WHERE status IN ('CONFLICT', 'NEEDS_REVIEW')))), ','), '') AS conflicts FROM verifications GROUP BY 1),
+    e AS (SELECT company_id, max(retrieved_at) AS newest, count(DISTINCT evidence_type) AS kinds, bool_or(id % 50 = 0) AS acquires FROM evidence GROUP BY 1),
+    t AS (SELECT l.*, coalesce(conflicts, '') AS conflicts, greatest(0, least(100, CASE decision WHEN 'QUALIFIED' THEN 25 WHEN 'NOT_QUALIFIED' THEN -25 WHEN 'INSUFFICIENT_EVIDENCE' THEN 5 ELSE 0 END + CASE WHEN investor AND acquires THEN 15 ELSE 0 END
+      + {_POINTS.format("companyName", 10, 5)} + {_POINTS.format("f.website", 8, 4)} + {_POINTS.format("f.state", 7, 4)} + {_POINTS.format("companySize", 2, 1)} + CASE WHEN has_contact THEN {_POINTS.format("title", 5, 3)} + {_POINTS.format("f.email", 4, 2)} + {_POINTS.format("f.phone", 2, 1)} ELSE 0 END
+      + CASE WHEN newest IS NULL THEN 0 WHEN epoch_us(TIMESTAMP '2000-01-01') - epoch_us(newest) <= 30 * 86400000000 THEN 3 WHEN epoch_us(TIMESTAMP '2000-01-01') - epoch_us(newest) <= 180 * 86400000000 THEN 2 ELSE 1 END + least(3, coalesce(kinds, 0)) - CASE WHEN bad > 0 THEN 10 ELSE 0 END))::INT AS score,
+      3 + (coalesce(employee_count::VARCHAR, employee_range, '') <> '')::INT + has_contact::INT + CASE WHEN investor THEN (id % 4 = 0)::INT + has_contact::INT ELSE 0 END AS available
+      FROM leads l LEFT JOIN f ON f.company_id = l.id LEFT JOIN e ON e.company_id = l.id)
+    SELECT id AS company_id, score, CASE WHEN score < 40 THEN 'LOW' WHEN score < 70 THEN 'MEDIUM' WHEN score < 85 THEN 'HIGH' ELSE 'VERY_HIGH' END AS band, available AS available_fields, CASE WHEN investor THEN 11 ELSE 8 END AS expected_fields,
+      floor(available * 100 / CASE WHEN investor THEN 11.0 ELSE 8.0 END + 0.5)::INT AS completeness, conflicts, (CASE WHEN investor THEN 13 ELSE 9 END + CASE WHEN has_contact THEN 4 ELSE 0 END)::INT AS n_signals FROM t"""
+)
+def lead_score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores with all their signals and completeness, each lead by the mode of its own plan, the first verification of a field counting."""
+    k = F.col("id")
+    contact = k % 3 > 0
+    none = F.lit(None).cast("string")
+    leads = A.companies(spark, sf_dir).select(
+        k.alias("company_id"), F.get(F.array(F.lit("QUALIFIED"), F.lit("NOT_QUALIFIED"), F.lit("INSUFFICIENT_EVIDENCE"), none), (k % 4).cast("int")).alias("decision"), F.when(k % 2 == 0, "investor").otherwise("company").alias("mode"), contact.alias("has_contact"),
+        "name", "website", none.alias("description"), "phone", F.coalesce(F.col("employee_count").cast("string"), "employee_range").alias("size"), F.when(contact, "Ann B").alias("full_name"), F.when(contact, "CEO").alias("title"), none.alias("linkedin_url"), none.alias("contact_email"),
+        none.alias("contact_phone"), F.when(k % 4 == 0, "Buy and hold").alias("investment_strategy"), F.lit(False).alias("has_markets"), F.lit(True).alias("has_property_types"),
+    )
+    fields = A.verifications(spark, sf_dir).select("company_id", "field", "status", F.lit(None).cast("string").alias("evidence_id"), F.struct("id", "checked_at", "status").alias("rank"))
+    rows = A.evidence(spark, sf_dir).withColumn("evidence_text", F.concat("value", F.when(F.col("id") % 50 == 0, " rental").otherwise("")))
+    found = scoring.breakdowns(leads, fields, rows, F.lit("2000-01-01").cast("timestamp"))
+    return found.select("company_id", "score", "band", "available_fields", "expected_fields", "completeness", F.array_join("conflicts", ",").alias("conflicts"), F.size("signals").alias("n_signals"))
