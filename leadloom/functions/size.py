@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 HEDGES = ("approximately", r"approx\.?", "about", "around", "roughly", "nearly", "over", "under", "at least", "more than", "fewer than", "up to")
 #: What stands before a range, before a count and behind either; sizes that are told in words.
 RANGE_LABEL, COUNT_LABELS, UNIT = r"company size ?:?", ("employee count", "number of employees", "(?<!number of )employees"), r"employees?\b"
+#: Fixed value: characters on either side of a statement that are quoted with it.
+EXCERPT = 80
 SIZE_WORDS = r"\bsmall (?:company|business)\b"
 
 
@@ -89,3 +91,12 @@ def fit(count: Column, span: Column, low: int | None, high: int | None) -> Colum
         F.when(count.isNotNull(), F.when(count.between(low_, high_), "MATCHED").otherwise("OUTSIDE_RANGE"))
         .when((a >= low_) & (b <= high_), "MATCHED").when((b < low_) | (a > high_), "OUTSIDE_RANGE").otherwise("UNKNOWN")
     )
+
+
+def excerpt(text: Column, around: int = EXCERPT) -> Column:
+    """The words in which a text states a size, by the same patterns as extract(), with `around` characters on either side; null if it states none."""
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    wanted = _patterns()
+    said = F.coalesce(*(F.nullif(F.regexp_substr(flat, F.lit(wanted[name])), F.lit("")) for name in ("labelled_range", "range", "labelled_count", "count", "unusable")))
+    begin = F.greatest(F.lit(1), F.position(said, flat) - around)
+    return F.trim(F.substr(flat, begin, F.position(said, flat) + F.length(said) + around - begin))

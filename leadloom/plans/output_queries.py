@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.operators import duplicate_groups, lead_search, scoring
+from leadloom.operators import duplicate_groups, lead_search, scoring, size_pages
 from leadloom.operators.lead_search import LeadSearch
 from leadloom.operators.model_output import backed, classifications, company_lists
 from leadloom.plans.entities_sql import COMPANIES, EVIDENCE, LATEST_SCORES, SCORES, VERIFICATIONS, with_
@@ -196,3 +196,38 @@ def lead_score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.evidence(spark, sf_dir).withColumn("evidence_text", F.concat("value", F.when(F.col("id") % 50 == 0, " rental").otherwise("")))
     found = scoring.breakdowns(leads, fields, rows, F.lit("2000-01-01").cast("timestamp"))
     return found.select("company_id", "score", "band", "available_fields", "expected_fields", "completeness", F.array_join("conflicts", ",").alias("conflicts"), F.size("signals").alias("n_signals"))
+
+
+def _size_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as companies with four pages each: their own, a directory's, one on another organisation, one that does not name them."""
+    k = F.col("s_suppkey")
+    n = k.cast("string")
+    suppliers = A.table(spark, sf_dir, "supplier")
+    companies = suppliers.select(k.alias("company_id"), F.concat(F.lit("Oak"), n, F.lit(" Stream, LLC")).alias("name"), F.concat(F.lit("https://www.oak"), n, F.lit(".example")).alias("website"), F.when(k % 3 > 0, "Austin").alias("city"), F.when(k % 3 == 0, "TX").alias("state"))
+    low = k % 20 + 11
+    page = lambda rank, url, title, text: F.struct(F.lit(rank).alias("rank"), url.alias("url"), title.alias("title"), text.alias("text"))
+    own = F.concat(F.lit("Oak"), n)
+    listed = F.array(
+        page(1, F.concat(F.lit("https://oak"), n, F.lit(".example/about")), F.lit("About us"), F.concat(own, F.lit(" Stream builds homes along the quiet river. Company size: "), low.cast("string"), F.lit("-60 employees"))),
+        page(2, F.lit("https://dir.example/oak"), F.concat(own, F.lit(" Stream")), F.concat(F.lit("In Austin, Texas. "), own, F.lit(" Stream has "), F.when(k % 4 == 0, k % 100 + 100).otherwise(low + 1).cast("string"), F.lit(" employees"))),
+        page(3, F.lit("https://news.example/x"), F.lit("Austin news"), F.concat(own, F.lit(" Stream Capital Partners LLC of Texas has 9000 employees"))),
+        page(4, F.lit("https://other.example"), F.lit("Austin"), F.lit("Elm Realty of Texas has 7 employees")),
+    )
+    return companies, suppliers.select(k.alias("company_id"), F.explode(listed).alias("p")).select("company_id", "p.*")
+
+
+@query(
+    """SELECT s_suppkey AS company_id, rank, CASE rank WHEN 3 THEN 'ANOTHER_ORGANISATION' WHEN 4 THEN 'NOT_NAMED' END AS refused, CASE WHEN rank = 1 THEN 'range' ELSE 'exact' END AS kind FROM supplier, (VALUES (1), (2), (3), (4)) v(rank)"""
+)
+def size_page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that state a size, and why some are not about the company."""
+    return size_pages.findings(*_size_pages(spark, sf_dir)).select("company_id", "rank", "refused", "kind")
+
+
+@query(
+    """SELECT s_suppkey AS company_id, CASE WHEN s_suppkey % 4 = 0 THEN 'conflict' ELSE 'value' END AS outcome, (CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey % 20 + 11 ELSE s_suppkey % 20 + 12 END)::INT AS low, (CASE WHEN s_suppkey % 4 = 0 THEN 60 ELSE s_suppkey % 20 + 12 END)::INT AS high,
+      (CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey % 100 + 100 END)::INT AS other_low FROM supplier"""
+)
+def size_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One size for each company out of its pages, or the two that conflict."""
+    return size_pages.assess(size_pages.findings(*_size_pages(spark, sf_dir))).select("company_id", "outcome", "low", "high", "other_low")
