@@ -459,6 +459,14 @@ def _stars(joined: DataFrame) -> DataFrame:
     return joined.filter("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
 
 
+def unsettled(starred: DataFrame, joined: DataFrame) -> DataFrame:
+    """(star, doc_id, component), staged: the stars that have members in different components; the others have nothing more to propose."""
+    labels = joined.select(F.col("id").alias("doc_id"), "component")
+    labelled = starred.select("star", "doc_id").distinct().join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    open_ = labelled.groupBy("star").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("star")
+    return stage(labelled.join(open_, "star", "left_semi"), "stars")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
@@ -507,8 +515,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if joined is None:
             cells = first_cells(starred)
         else:
-            labels = joined.select(F.col("id").alias("doc_id"), "component")
-            cells = spread(starred.select("star", "doc_id").distinct().join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+            left = unsettled(starred, joined)
+            discard(starred)
+            starred = left
+            if turn == 1:
+                # Maps of documents that no open star has are not looked at again.
+                maps = stage(maps.join(starred.select("doc_id").distinct(), "doc_id", "left_semi"), "maps")
+            cells = spread(starred)
         pairs = proposed(cells, maps, turn == FORESTS)
         for seen in tried:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
@@ -524,7 +537,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             discard(before)
         discard(links)
         turn += 1
-    discard(starred, packed, *tried)
+    discard(starred, packed, *tried, *([maps] if turn > 1 and hasattr(maps, "staged_at") else []))
     # A doc_id whose rows have several sets joins their groups.
     own = rows.join(sets, prints).select("doc_id", *prints, "stands")
     several = own.groupBy("doc_id").agg(F.min("stands").alias("a"), F.max("stands").alias("b"), F.collect_set("stands").alias("all")).filter("a < b")
