@@ -3,7 +3,7 @@
 A draft is JSON text. Its shape is judged by the schema of its variant value; then every leaf is aligned with the prompt: it must stand
 there, or a quote that the draft gives for it must stand there and name it. A draft with a leaf that the prompt does not
 say, or without something that the prompt plainly says, is rejected as a whole, with the first reason, and the plan of
-operators.prompts counts. All is one projection of the rows: no shuffle.
+operators.prompts counts. All is one projection of the distinct pairs of prompt and draft.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.gazetteer import interpret, literal_map
-from leadloom.operators.prompts import NEGATED, RESULT_CAP, SOCIALS, parse, says
+from leadloom.operators.prompts import NEGATED, RESULT_CAP, SOCIALS, read_each, says
+from leadloom.operators.relational import once_each
 
 #: Fields that a draft may name, by the pattern of what names them in a quote.
 FIELD_WORDS = {
@@ -315,7 +316,16 @@ def judge(rows: DataFrame, prompt: str = "prompt", draft: str = "draft") -> Data
     to case and blanks. Columns of these names are replaced. Write the result, or a projection of it, before rows are
     picked by it: a filter would be pushed into the rules and have them worked out over again.
     """
-    df = parse(rows, prompt, "plan").withColumns({"_draft": F.from_json(F.col(draft), SCHEMA), "_variant": F.try_parse_json(F.col(draft))})
+    return once_each(rows, [prompt, draft], lambda pairs: _judge_each(pairs, "_once0", "_once1"))
+
+
+def decide(rows: DataFrame, prompt: str = "prompt", draft: str = "draft") -> DataFrame:
+    """The rows judged and with `final`, as merged(judge()) gives them, each distinct pair of prompt and draft once."""
+    return once_each(rows, [prompt, draft], lambda pairs: merged(_judge_each(pairs, "_once0", "_once1"), "_once1"))
+
+
+def _judge_each(rows: DataFrame, prompt: str, draft: str) -> DataFrame:
+    df = read_each(rows, prompt, "plan").withColumns({"_draft": F.from_json(F.col(draft), SCHEMA), "_variant": F.try_parse_json(F.col(draft))})
     kinds = F.create_map(*(x for name in SHAPES for x in (F.lit(name), F.schema_of_variant(F.try_variant_get("_variant", f"$.{name}", "variant")))))
     df = df.withColumn("_kinds", kinds).withColumn("_shape", F.when(F.col("_variant").isNull(), "not an object").otherwise(_shape_error(F.col(draft), F.col("_kinds"), F.col("_draft"))))
     text, d, plan = F.col("plan")["original_prompt"], F.col("_draft"), F.col("plan")

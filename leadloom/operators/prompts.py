@@ -1,8 +1,8 @@
 """What prompts ask for: a cascade of rules as columns.
 
 Every rule takes the words it understood out of the text before the next one looks: sizes first, then what is not
-wanted, the count, the places; what then is left names the kind of company. All of it is column expressions over
-one scan, without a shuffle.
+wanted, the count, the places; what then is left names the kind of company. All of it is column expressions; they
+cost about a millisecond a text, so every distinct text is read once.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.gazetteer import interpret
+from leadloom.operators.relational import once_each
 
 #: Fixed value: results at most.
 RESULT_CAP = 1000
@@ -186,8 +187,13 @@ def parse(prompts: DataFrame, column: str = "prompt", plan: str = "plan") -> Dat
     """The prompts with a struct column `plan` of what each asks for; a null prompt asks for nothing, as an empty one.
 
     Arrays of fields come in a fixed order, whatever the prompt's. A column that is called as the plan is replaced. Repeated
-    rows and other columns stay as they are.
+    rows and other columns stay as they are; prompts of the same text are read once.
     """
+    return once_each(prompts, [column], lambda texts: read_each(texts, "_once0", plan))
+
+
+def read_each(prompts: DataFrame, column: str = "prompt", plan: str = "plan") -> DataFrame:
+    """As parse(), by itself for each row and without a shuffle."""
     own = "_plan_"
     df = prompts.withColumn(f"{own}whole", F.trim(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"\s+", " ")))
     col = lambda name: F.col(own + name)

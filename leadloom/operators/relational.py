@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,3 +100,19 @@ def streaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], hit: Colum
     marked = df.withColumn("_island", F.sum(F.when(hit, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     own = Window.partitionBy(*keys, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return marked.withColumn("streak", F.sum(F.when(hit, 0).otherwise(1)).over(own)).drop("_island")
+
+
+def once_each(df: DataFrame, columns: Sequence[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows with what `work` adds to `columns`: done once for each distinct combination of their values, and joined back to all rows.
+
+    `work` gets the combinations under the names _once0, _once1 and so on and adds columns, which replace those of `df`. The combinations
+    are dealt out evenly first, since costly work on few or small rows would otherwise stand in one task. `df` is read twice.
+    """
+    once = [f"_once{i}" for i in range(len(columns))]
+    # Few tasks a core: each has to read a large plan first.
+    parts = 3 * df.sparkSession.sparkContext.defaultParallelism
+    done = work(df.select(*(F.col(c).alias(k) for c, k in zip(columns, once))).distinct().repartition(parts))
+    own = {f"_own{i}": F.col(c) for i, c in enumerate(columns)}
+    rows = df.withColumns(own).drop(*(c for c in done.columns if c not in once))
+    match = reduce(lambda a, b: a & b, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(own, once)))
+    return rows.join(done, match).drop(*own, *once)

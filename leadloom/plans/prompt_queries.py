@@ -100,7 +100,7 @@ _FAULT = """CASE WHEN id % 10 = 6 THEN 'not an object' WHEN id % 10 = 3 THEN 'un
 def draft_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drafts held against their prompts, and the plan that counts in the end."""
     final = F.col("final")
-    return drafts.merged(drafts.judge(_drafted(spark, sf_dir))).select(
+    return drafts.decide(_drafted(spark, sf_dir)).select(
         "id", "error", "method", F.array_join(final["industry"], ",").alias("industry"), F.array_join(final["roles"], ",").alias("roles"), final["requested_count"].alias("requested_count"), final["company_size"]["min"].alias("size_min"),
         F.array_join(final["required_fields"], ",").alias("required_fields"),
     )
