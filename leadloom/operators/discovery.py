@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -164,6 +164,35 @@ def places_agree(city: Column, lat: Column, lon: Column, other_city: Column, oth
     return cities & (unknown | ((F.abs(lat - other_lat) <= NEAR) & (F.abs(lon - other_lon) <= NEAR)))
 
 
+def agreeing(found: DataFrame, stored: DataFrame, keys: Sequence[str], sums: dict[str, Column], merge: dict[str, Callable[[str], Column]]) -> DataFrame:
+    """Each row of `found` with `sums` over all rows of `stored` that have its `keys` and whose place may be the same, as places_agree() says; rows without any are left out.
+
+    Both have city, lat and lon beside the keys; found has id. `sums` are aggregates of stored rows and `merge` puts partial ones together, by name. What agrees
+    is told by equal keys: of cities, with one for none and one for any, and of grid cells. Stored rows are summed by them
+    first, so that a very common key costs one row for each that looks for it, whatever stands behind it; only rows with
+    coordinates in the same or the next cell are compared by themselves.
+    """
+    tidy = F.lower(F.trim(F.coalesce(F.col("city"), F.lit(""))))
+    known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    # A little wider than the bound, so that rounding never puts near places two cells apart. What is no degree, or no number, shares the cells at the ends.
+    cell = lambda c, step=0: F.floor(F.greatest(F.lit(-1e6), F.least(F.lit(1e6), F.col(c))) / (NEAR * 1.001)) + step
+    name = lambda x, y: F.concat_ws(":", x.cast("string"), y.cast("string"))
+    around = F.array(*(name(cell("lat", x), cell("lon", y)) for x in (-1, 0, 1) for y in (-1, 0, 1)))
+    any_, none = F.lit("*"), F.lit("none")
+    # A stored row answers to its city (or to none) and to any; to any cell, and to those around it or to none.
+    offered = stored.withColumns({"_city": F.explode(F.array(F.concat(F.lit("="), tidy), any_))}).withColumn("_cell", F.explode(F.when(known, F.concat(F.array(any_), around)).otherwise(F.array(any_, none))))
+    exact = F.col("_cell").contains(":")
+    offered = offered.groupBy(*(F.col(k).alias(f"_{k}") for k in keys), "_city", "_cell", F.when(exact, F.col("lat")).alias("_lat"), F.when(exact, F.col("lon")).alias("_lon")).agg(*(c.alias(k) for k, c in sums.items()))
+    cities = F.when(tidy == "", F.array(any_)).otherwise(F.array(F.concat(F.lit("="), tidy), F.lit("=")))
+    cells = F.when(known, F.array(none, name(cell("lat"), cell("lon")))).otherwise(F.array(any_))
+    wanted = found.select("id", "lat", "lon", *keys, F.explode(cities).alias("_c"), cells.alias("_x")).withColumn("_x", F.explode("_x"))
+    match = (F.col("_c") == F.col("_city")) & (F.col("_x") == F.col("_cell"))
+    for k in keys:
+        match &= F.col(k) == F.col(f"_{k}")
+    near = F.col("_lat").isNull() | ((F.abs(F.col("lat") - F.col("_lat")) <= NEAR) & (F.abs(F.col("lon") - F.col("_lon")) <= NEAR))
+    return wanted.join(offered, match).filter(near).groupBy("id").agg(*(merge[k](k).alias(k) for k in sums))
+
+
 def provider_outcomes(attempts: DataFrame, keys: list[str]) -> DataFrame:
     """Attempts of each key by outcome, and one status for all."""
     out = attempts.groupBy(*keys).agg(F.count("*").alias("attempted"), *(F.count_if(F.col("outcome") == o).alias(o.lower()) for o in ("SUCCEEDED", "EMPTY", "FAILED", "SKIPPED")))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.operators.discovery import places_agree
+from leadloom.operators.discovery import agreeing
 
 #: Language that denies a purchase.
 DENIED_PURCHASE = r"(?i)\b(?:do\s+not|don't|does\s+not|doesn't|never|no longer)\s+[^.?]{0,20}\b(?:buy|purchase|acqui)"
@@ -21,14 +21,12 @@ def lookup(found: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFram
     """(id, company_id, key) for each found entity that a stored one shares a key with, and whose places may be one.
 
     Both have id, city, lat and lon and the columns `keys`, the strongest first; blank keys do not count. The first key by which
-    a stored entity is found decides, of several stored ones the smallest id: an equi-join on all keys at once, then one minimum.
+    a stored entity is found decides, of several stored ones the smallest id. Stored entities are summed up by key and place before they
+    are joined, so a key that very many share costs no more than another.
     """
     listed = F.array(*(F.struct(F.lit(k).alias("rank"), F.lower(F.trim(F.col(c).cast("string"))).alias("key")) for k, c in enumerate(keys)))
     apart = lambda df: df.select("id", "city", "lat", "lon", F.explode(F.filter(listed, lambda x: F.coalesce(x["key"], F.lit("")) != "")).alias("k")).select("id", "city", "lat", "lon", "k.rank", "k.key")
-    own = apart(found)
-    other = apart(stored).toDF("company_id", "other_city", "other_lat", "other_lon", "rank", "key")
-    agree = places_agree(*(F.col(c) for c in ("city", "lat", "lon", "other_city", "other_lat", "other_lon")))
-    hits = own.join(other, ["rank", "key"]).filter(agree).groupBy("id").agg(F.min(F.struct("rank", "company_id")).alias("h"))
+    hits = agreeing(apart(found), apart(stored), ["rank", "key"], {"h": F.min(F.struct("rank", F.col("id").alias("company_id")))}, {"h": F.min})
     return hits.select("id", "h.company_id", F.get(F.array(*map(F.lit, keys)), F.col("h.rank")).alias("key"))
 
 

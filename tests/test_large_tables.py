@@ -1,8 +1,10 @@
 """Work that must not grow faster than its tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from leadloom.operators import drafts, prompts
+from leadloom.operators import discovery, drafts, identity, prompts
 from leadloom.operators.relational import once_each
 
 
@@ -30,3 +32,28 @@ def test_equal_prompts_and_drafts_are_read_once(spark):
     assert sorted((r[0], r[1]) for r in parsed) == [(i, 20 if i % 2 else None) for i in range(12)]
     decided = drafts.decide(rows).select("id", "error", "final.requested_count").collect()
     assert sorted(tuple(r) for r in decided) == [(i, "not an object", 20 if i % 2 else None) for i in range(12)]
+
+
+def _places(seed, count):
+    r = random.Random(seed)
+    spots = [None, 0.0, 0.02, 0.04, 0.039999999999999994, -0.02, -0.0201, 1.0, float("nan"), float("inf"), -1e300]
+    return [(i, r.choice(["a", "b", None]), r.choice([None, "", " Austin", "austin", "Dallas"]), r.choice(spots), r.choice(spots)) for i in range(count)]
+
+
+def test_agreeing_places_are_those_of_all_pairs(spark):
+    columns = "id int, key string, city string, lat double, lon double"
+    found, stored = spark.createDataFrame(_places(1, 300), columns), spark.createDataFrame(_places(2, 300), columns)
+    got = discovery.agreeing(found, stored, ["key"], {"n": F.count("*"), "first": F.min("id")}, {"n": F.sum, "first": F.min})
+    other = stored.toDF("b", "key", "other_city", "other_lat", "other_lon")
+    agree = discovery.places_agree(*(F.col(c) for c in ("city", "lat", "lon", "other_city", "other_lat", "other_lon")))
+    want = found.join(other, "key").filter(agree).groupBy("id").agg(F.count("*").alias("n"), F.min("b").alias("first"))
+    assert sorted(map(tuple, got.select("id", "n", "first").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stored_rows_are_summed_before_they_are_looked_up(spark):
+    columns = "id int, name string, city string, lat double, lon double"
+    found, stored = (spark.createDataFrame([(i, "Oak", None, None, None) for i in range(n)], columns) for n in (50, 80))
+    looked = identity.lookup(found, stored, ["name"])
+    plan = looked._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [" in plan.split("Join Inner", 1)[1]
+    assert sorted(map(tuple, looked.collect())) == [(i, 0, "name") for i in range(50)]
