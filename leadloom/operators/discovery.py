@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.urls import host
-from leadloom.operators.relational import streaks
+from leadloom.operators.relational import pairs_once, streaks
 from leadloom.operators.settle import settled
 
 #: Hosts that are no company's own site, by class; the first class that has a host counts.
@@ -74,10 +74,8 @@ def identity_keys(external_id: Column, website: Column, name: Column, city: Colu
 
 
 def duplicate_pairs(candidates: DataFrame) -> DataFrame:
-    """Ordered pairs of candidates (id, keys) that share a key."""
-    one = candidates.select("id", F.explode("keys").alias("key")).distinct()
-    other = one.select(F.col("id").alias("b"), "key")
-    return one.withColumnRenamed("id", "a").join(other, "key").filter("a < b").select("a", "b").distinct()
+    """Ordered pairs of candidates (id, keys) that share a key, each once."""
+    return pairs_once(candidates, "id", F.col("keys"))
 
 
 def completeness(*fields: Column) -> Column:

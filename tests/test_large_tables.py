@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from leadloom.operators import discovery, drafts, identity, prompts
+from leadloom.operators import discovery, drafts, identity, prompts, relational
 from leadloom.operators.relational import once_each
 
 
@@ -57,3 +57,24 @@ def test_stored_rows_are_summed_before_they_are_looked_up(spark):
     plan = looked._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [" in plan.split("Join Inner", 1)[1]
     assert sorted(map(tuple, looked.collect())) == [(i, 0, "name") for i in range(50)]
+
+
+def test_pairs_of_shared_keys_come_once_and_unshuffled(spark, monkeypatch):
+    monkeypatch.setattr(relational, "CUT", 7)
+    r = random.Random(5)
+    rows = [(i % 90, [r.choice(["a", "b", "c", "d", None, "", "e"]) for _ in range(r.randrange(5))] or None) for i in range(100)]
+    frame = spark.createDataFrame(rows, "id int, keys array<string>")
+    made = discovery.duplicate_pairs(frame)
+    held = {}
+    for i, keys in rows:
+        held.setdefault(i, set()).update(k for k in keys or [] if k is not None)
+    want = [(a, b) for a in held for b in held if a < b and held[a] & held[b]]
+    assert sorted(map(tuple, made.collect())) == sorted(want)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join Inner", 1)[0]
+
+
+def test_blocks_know_kinds_of_keys(spark):
+    rows = spark.createDataFrame([(1, "x", None), (2, "x", ""), (3, "y", "x"), (4, "x", "x"), (5, "", "")], "id int, p string, q string")
+    got = relational.block_pairs(rows, "id", {"p": F.col("p"), "q": F.col("q")}).collect()
+    assert sorted(map(tuple, got)) == [(1, 2), (1, 4), (2, 4), (3, 4)]
