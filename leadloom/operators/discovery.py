@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions.urls import host
@@ -123,6 +123,22 @@ def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return around.join(own, ["x", "y"]).filter((F.abs(F.col("lat_a") - F.col("lat_b")) <= NEAR) & (F.abs(F.col("lon_a") - F.col("lon_b")) <= NEAR)).select("a", "b")
 
 
+def earlier_neighbours(points: DataFrame, within: float) -> DataFrame:
+    """For each point (id, lat, lon) that has any: how many points of smaller ids lie within that many degrees (at most NEAR), and the sum of their ids.
+
+    Points of one place are neighbours of the same places, so places are paired, not points: every point goes to the places around it,
+    where a running count in the order of ids has those before it. Rows grow with points and places, not with pairs of points.
+    """
+    spot = F.struct("lat", "lon")
+    places = points.filter("lat IS NOT NULL AND lon IS NOT NULL").select(spot.alias("id"), "lat", "lon").distinct()
+    close = lambda x: F.abs(F.col(f"a.{x}") - F.col(f"b.{x}")) <= within
+    around = near_pairs(places, places).filter(close("lat") & close("lon"))
+    moved = points.withColumn("_at", spot).join(around, F.col("_at") == F.col("a")).select(F.col("b").alias("_place"), "id", (F.col("_at") == F.col("b")).alias("_own"))
+    before = Window.partitionBy("_place").orderBy("id").rangeBetween(Window.unboundedPreceding, -1)
+    run = moved.withColumns({"n": F.count("*").over(before), "total": F.sum("id").over(before)})
+    return run.filter("_own AND n > 0").select("id", "n", "total")
+
+
 def boxes_of_points(points: DataFrame, boxes: DataFrame, cell: float = 1.0) -> DataFrame:
     """(point, box) for each point in a box (south, west, north, east, ends included): boxes are cut into grid cells."""
     tiles = boxes.select(F.col("id").alias("box"), "south", "west", "north", "east", F.explode(F.sequence(F.floor(F.col("south") / cell), F.floor(F.col("north") / cell))).alias("x"))

@@ -78,3 +78,13 @@ def test_blocks_know_kinds_of_keys(spark):
     rows = spark.createDataFrame([(1, "x", None), (2, "x", ""), (3, "y", "x"), (4, "x", "x"), (5, "", "")], "id int, p string, q string")
     got = relational.block_pairs(rows, "id", {"p": F.col("p"), "q": F.col("q")}).collect()
     assert sorted(map(tuple, got)) == [(1, 2), (1, 4), (2, 4), (3, 4)]
+
+
+def test_neighbours_before_are_those_of_all_pairs(spark):
+    r = random.Random(3)
+    rows = [(i, r.choice([0.0, 0.01, 0.02, -0.01, 5.0, None]), r.choice([0.0, 0.01, 0.03, None])) for i in range(120)]
+    frame = spark.createDataFrame(rows, "id long, lat double, lon double")
+    made = discovery.earlier_neighbours(frame, 0.015)
+    near = lambda a, b: None not in (*a[1:], *b[1:]) and abs(a[1] - b[1]) <= 0.015 and abs(a[2] - b[2]) <= 0.015
+    before = {b[0]: [a[0] for a in rows if a[0] < b[0] and near(a, b)] for b in rows}
+    assert sorted(map(tuple, made.collect())) == [(i, len(x), sum(x)) for i, x in sorted(before.items()) if x]
