@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,21 +38,32 @@ def extract(text: Column) -> Column:
     it is unusable. Else the first count that stands behind a label without a hedge, then the first before
     the word employees. Else hedged or open counts and sizes in words are unusable.
     """
-    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
     wanted = _patterns()
     none = F.lit(None).cast("int")
     made = lambda kind, low, high: F.struct(F.lit(kind).alias("kind"), low.alias("low"), high.alias("high"))
-    found = {
-        name: F.struct(*(F.regexp_extract(flat, wanted[name], i).alias(x) for i, x in ((1, "hedge"), (2, "low"), (3, "high"))))
-        for name in ("labelled_range", "range")
-    }
-    first_range = F.when(flat.rlike(wanted["labelled_range"]), found["labelled_range"]).when(flat.rlike(wanted["range"]), found["range"])
-    low, high = first_range["low"].try_cast("int"), first_range["high"].try_cast("int")
-    count = F.coalesce(*(F.get(F.regexp_extract_all(flat, F.lit(wanted[name]), 1), F.lit(0)) for name in ("labelled_count", "count"))).try_cast("int")
-    of_range = F.when(low > high, made(None, none, none)).when(first_range["hedge"] != "", made("unusable", none, none)).otherwise(made("range", low, high))
-    other = F.when(count.isNotNull(), made("exact", count, count)).when(flat.rlike(wanted["unusable"]), made("unusable", none, none))
-    out = F.when(first_range.isNotNull(), of_range).otherwise(other)
-    return F.when(out["kind"].isNotNull(), out)
+    whole = lambda flat, name: F.regexp_substr(flat, F.lit(wanted[name])).alias(name)
+
+    def ends(said: Column, name: str) -> Column:
+        hedge, low, high = (F.regexp_extract(said[name], wanted[name], i) for i in (1, 2, 3))
+        return F.when(said[name].isNotNull(), F.struct(hedge.alias("hedge"), low.try_cast("int").alias("low"), high.try_cast("int").alias("high")))
+
+    def of_range(r: Column) -> Column:
+        return F.when(r["low"] > r["high"], made(None, none, none)).when(r["hedge"] != "", made("unusable", none, none)).otherwise(made("range", r["low"], r["high"]))
+
+    def of_text(flat: Column) -> Column:
+        count = F.coalesce(*(F.get(F.regexp_extract_all(flat, F.lit(wanted[name]), 1), F.lit(0)) for name in ("labelled_count", "count"))).try_cast("int")
+        other = _with(count, lambda n: F.when(n.isNotNull(), made("exact", n, n)).when(flat.rlike(wanted["unusable"]), made("unusable", none, none)))
+        # The groups of a range are taken from what its pattern matched, not from the whole text again.
+        first = _with(F.struct(whole(flat, "labelled_range"), whole(flat, "range")), lambda said: F.coalesce(ends(said, "labelled_range"), ends(said, "range")))
+        return _with(first, lambda r: F.when(r.isNotNull(), of_range(r)).otherwise(other))
+
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return _with(_with(flat, of_text), lambda out: F.when(out["kind"].isNotNull(), out))
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def relation(low: Column, high: Column, other_low: Column, other_high: Column) -> Column:
@@ -95,8 +108,16 @@ def fit(count: Column, span: Column, low: int | None, high: int | None) -> Colum
 
 def excerpt(text: Column, around: int = EXCERPT) -> Column:
     """The words in which a text states a size, by the same patterns as extract(), with `around` characters on either side; null if it states none."""
-    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
     wanted = _patterns()
-    said = F.coalesce(*(F.nullif(F.regexp_substr(flat, F.lit(wanted[name])), F.lit("")) for name in ("labelled_range", "range", "labelled_count", "count", "unusable")))
-    begin = F.greatest(F.lit(1), F.position(said, flat) - around)
-    return F.trim(F.substr(flat, begin, F.position(said, flat) + F.length(said) + around - begin))
+    names = ("labelled_range", "range", "labelled_count", "count", "unusable")
+
+    def of_text(flat: Column) -> Column:
+        said = F.coalesce(*(F.nullif(F.regexp_substr(flat, F.lit(wanted[name])), F.lit("")) for name in names))
+        return _with(F.struct(flat.alias("flat"), said.alias("said")), of_words)
+
+    def of_words(x: Column) -> Column:
+        at = F.position(x["said"], x["flat"])
+        begin = F.greatest(F.lit(1), at - around)
+        return F.trim(F.substr(x["flat"], begin, at + F.length(x["said"]) + around - begin))
+
+    return _with(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), of_text)

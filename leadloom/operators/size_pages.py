@@ -41,7 +41,10 @@ def findings(companies: DataFrame, pages: DataFrame) -> DataFrame:
     name the company, or on its own site all words that tell it apart; the name must not go on, by one to four words up to a
     legal form, as another organisation's; and a page of another site must name the company's city, without one its state.
     """
-    stated = pages.withColumn("found", size.extract(F.col("text"))).filter("found IS NOT NULL").withColumn("excerpt", size.excerpt(F.col("text")))
+    # Patterns cost much for each text: pages are dealt out over all cores first, and what the patterns find goes through a generator, below which no filter is pushed.
+    dealt = pages.repartition(3 * pages.sparkSession.sparkContext.defaultParallelism)
+    read = dealt.withColumn("_found", size.extract(F.col("text"))).withColumn("found", F.explode_outer(F.array("_found"))).drop("_found")
+    stated = read.filter("found IS NOT NULL").withColumn("excerpt", F.explode_outer(F.array(size.excerpt(F.col("text")))))
     c = {x: F.col(f"_{x}") for x in ("own", "all", "near", "claim", "at", "words", "place")}
     df = stated.join(companies, "company_id").withColumns({
         "_own": comparable(F.col("name")), "_all": plain(F.concat_ws(" ", "title", "text")), "_near": plain(F.concat_ws(" ", F.col("title"), vicinity(F.col("text"), F.col("excerpt")))), "_claim": plain(F.concat_ws(" ", "title", "excerpt")),

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from leadloom.operators import discovery, drafts, identity, prompts, relational
+from leadloom.operators import discovery, drafts, identity, prompts, relational, size_pages
 from leadloom.operators.relational import once_each
 
 
@@ -88,3 +88,13 @@ def test_neighbours_before_are_those_of_all_pairs(spark):
     near = lambda a, b: None not in (*a[1:], *b[1:]) and abs(a[1] - b[1]) <= 0.015 and abs(a[2] - b[2]) <= 0.015
     before = {b[0]: [a[0] for a in rows if a[0] < b[0] and near(a, b)] for b in rows}
     assert sorted(map(tuple, made.collect())) == [(i, len(x), sum(x)) for i, x in sorted(before.items()) if x]
+
+
+def test_pages_are_dealt_out_before_sizes_are_sought(spark):
+    pages = spark.createDataFrame([(i, 1, "u", "Oak", "Oak has 30 employees" if i % 2 else "nothing") for i in range(40)], "company_id int, rank int, url string, title string, text string").coalesce(1)
+    companies = spark.createDataFrame([(i, "Oak", "u", None, None) for i in range(40)], "company_id int, name string, website string, city string, state string")
+    found = size_pages.findings(companies, pages)
+    assert sorted((r["company_id"], r["kind"], r["low"]) for r in found.collect()) == [(i, "exact", 30) for i in range(1, 40, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Repartition", 1)
+    assert "employees" in above and "employees" not in below.split("LogicalRDD", 1)[0].split("LocalRelation", 1)[0]
