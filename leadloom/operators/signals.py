@@ -115,12 +115,16 @@ def relationships(people: DataFrame, evidence: DataFrame) -> DataFrame:
     """
     joined = people.join(evidence, "id", "left").withColumns({"text": F.coalesce("text", F.lit("")), "url": F.coalesce("url", F.lit(""))})
     c = F.col
-    both = mentions_person(c("text"), c("person")) & mentions_company(c("text"), c("company"))
     path = F.coalesce(F.try_parse_url(F.when(c("url").contains("://"), c("url")).otherwise(F.concat(F.lit("https://"), c("url"))), F.lit("PATH")), F.lit(""))
     team = (c("url") != "") & path.rlike(TEAM_PATH)
     owned = (c("url") != "") & (F.coalesce(registrable_domain(c("url")) == registrable_domain(c("website")), F.lit(False)) | team)
-    stated = states_affiliation(c("text"), c("person"), c("title"), c("company"))
     profile = F.coalesce(registrable_domain(c("url")).isin(*PROFILE_SITES), F.lit(False))
+    # Patterns made of a row's own values cost most: a text that a person has from many pages of one kind is read once, and its first hit stands for all.
+    joined = joined.withColumns({"_team": team, "_owned": owned, "_profile": profile}).groupBy(*people.columns, "text", "_team", "_owned", "_profile").agg(F.min(F.when(c("n").isNotNull(), F.struct("n", "url"))).alias("_first"))
+    joined = joined.select("*", c("_first.n").alias("n"), c("_first.url").alias("url"))
+    team, owned, profile = c("_team"), c("_owned"), c("_profile")
+    both = mentions_person(c("text"), c("person")) & mentions_company(c("text"), c("company"))
+    stated = states_affiliation(c("text"), c("person"), c("title"), c("company"))
     kinds = {
         "wrong": names_another_company(c("text"), c("person"), c("company")), "strong": both & owned & (stated | team), "supported": both & stated & profile, "weak": both,
     }
