@@ -337,17 +337,29 @@ def first_cells(starred: DataFrame) -> DataFrame:
     return rows.unionByName(tops)
 
 
-def proposed(cells: DataFrame, maps: DataFrame, every: bool) -> DataFrame:
-    """The distinct pairs (a, b), a > b, that the members of the cells propose; see proposals()."""
+PROPOSED = "a long, b long, star long, component long"
+
+
+def proposed(cells: DataFrame, maps: DataFrame, every: bool, partial: bool = False) -> DataFrame:
+    """What the members of the cells propose, staged: rows with the pairs (a, b), a > b, and rows with the components of a star that are in a pair; see proposals().
+
+    Two members of a star whose components are in no pair of it cannot link. `partial` cells, those with members
+    that are no right ones, do not meet all pairs of their star: all their components count.
+    """
     rows = cells.join(maps, "doc_id").select("star", "cell", "n_shingles", "doc_id", "component", "left", "right", "parity")
     dealt = rows.repartition(partitions(cells.sparkSession), "star", "cell").sortWithinPartitions("star", "cell", "n_shingles", "doc_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(cell: list[pa.RecordBatch]) -> tuple[list, list]:
+        def made(cell: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(cell)
             size, doc, label, left, right = (table.column(i).to_numpy() for i in range(2, 7))
-            made = proposals(doc, label, size, table.column(7).to_pylist(), left, right, every)
-            return [int(max(doc[i], doc[j])) for i, j in made], [int(min(doc[i], doc[j])) for i, j in made]
+            sides = np.array(proposals(doc, label, size, table.column(7).to_pylist(), left, right, every), np.int64).reshape(-1, 2)
+            pairs = doc[sides]
+            met = np.unique(label if partial and not right.all() else label[sides])
+            none = lambda n: pa.nulls(n, pa.int64())
+            star = pa.array(np.full(len(met), table.column(0)[0].as_py()), pa.int64())
+            columns = ((pa.array(pairs.max(axis=1)), none(len(met))), (pa.array(pairs.min(axis=1)), none(len(met))), (none(len(pairs)), star), (none(len(pairs)), pa.array(met)))
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["a", "b", "star", "component"])
 
         # The rows of the cell in hand, which may go on in the next batch.
         kept: list[pa.RecordBatch] = []
@@ -357,21 +369,19 @@ def proposed(cells: DataFrame, maps: DataFrame, every: bool) -> DataFrame:
                 continue
             star, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             begins = np.flatnonzero(np.append(True, (star[1:] != star[:-1]) | (cell[1:] != cell[:-1])))
-            a, b = [], []
+            out = []
             for x, y in zip(begins.tolist(), [*begins[1:].tolist(), batch.num_rows]):
                 if (star[x], cell[x]) != last:
                     if sum(p.num_rows for p in kept) > 1:
-                        more = pairs(kept)
-                        a += more[0]
-                        b += more[1]
+                        out.append(made(kept))
                     kept, last = [], (star[x], cell[x])
                 kept.append(batch.slice(x, y - x))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            if out:
+                yield pa.Table.from_batches(out).combine_chunks().to_batches(max_chunksize=1 << 30)[0] if sum(p.num_rows for p in out) else out[0]
         if sum(p.num_rows for p in kept) > 1:
-            a, b = pairs(kept)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield made(kept)
 
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return stage(dealt.mapInArrow(compare, PROPOSED), "proposals")
 
 
 def bodies(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -390,8 +400,20 @@ def bodies(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(len(wanted))).alias("slot"), "text").mapInArrow(shrink, "id long, body binary")
 
 
+def asked_texts(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of bodies() that `asked` names by id (and few others, by a clash in a map)."""
+    wanted = bitmap(asked, F.xxhash64("id"), map_bits(asked.count()))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted[batch.column(2).to_numpy()])).select(["id", "body"])
+
+    return texts.select("id", "body", F.pmod(F.xxhash64("id"), F.lit(len(wanted))).alias("slot")).mapInArrow(choose, "id long, body binary")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link, counted on whole texts."""
+    """The pairs (a, b) whose sets link, counted on whole texts; texts that no pair names are not dealt out."""
+    texts = asked_texts(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b").select("a", "b", "body_a", "body_b")
 
@@ -459,12 +481,16 @@ def _stars(joined: DataFrame) -> DataFrame:
     return joined.filter("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
 
 
-def unsettled(starred: DataFrame, joined: DataFrame) -> DataFrame:
-    """(star, doc_id, component), staged: the stars that have members in different components; the others have nothing more to propose."""
+def unsettled(starred: DataFrame, joined: DataFrame, made: DataFrame) -> DataFrame:
+    """(star, doc_id, component), staged: of the stars that have members in different components those whose components were in a pair; the others have nothing more to propose."""
     labels = joined.select(F.col("id").alias("doc_id"), "component")
-    labelled = starred.select("star", "doc_id").distinct().join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_ = labelled.groupBy("star").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("star")
-    return stage(labelled.join(open_, "star", "left_semi"), "stars")
+    before = starred if "component" in starred.columns else starred.withColumn("component", F.col("doc_id"))
+    open_ = before.join(made.filter("star IS NOT NULL").select("star", "component"), ["star", "component"], "left_semi").select("star", "doc_id").distinct()
+    labelled = stage(open_.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "labelled")
+    several = labelled.groupBy("star").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("star")
+    out = stage(labelled.join(several, "star", "left_semi"), "stars")
+    discard(labelled)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -515,14 +541,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if joined is None:
             cells = first_cells(starred)
         else:
-            left = unsettled(starred, joined)
-            discard(starred)
+            left = unsettled(starred, joined, made)
+            discard(starred, made)
             starred = left
             if turn == 1:
                 # Maps of documents that no open star has are not looked at again.
                 maps = stage(maps.join(starred.select("doc_id").distinct(), "doc_id", "left_semi"), "maps")
             cells = spread(starred)
-        pairs = proposed(cells, maps, turn == FORESTS)
+        made = proposed(cells, maps, turn == FORESTS, partial=joined is None)
+        pairs = made.filter("a IS NOT NULL").select("a", "b").distinct()
         for seen in tried:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         tried.append(stage(pairs, "pairs"))
@@ -537,7 +564,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             discard(before)
         discard(links)
         turn += 1
-    discard(starred, packed, *tried, *([maps] if turn > 1 and hasattr(maps, "staged_at") else []))
+    discard(starred, made, packed, *tried, *([maps] if turn > 1 and hasattr(maps, "staged_at") else []))
     # A doc_id whose rows have several sets joins their groups.
     own = rows.join(sets, prints).select("doc_id", *prints, "stands")
     several = own.groupBy("doc_id").agg(F.min("stands").alias("a"), F.max("stands").alias("b"), F.collect_set("stands").alias("all")).filter("a < b")

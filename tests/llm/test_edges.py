@@ -156,6 +156,25 @@ def test_near_duplicates_in_many_cells(spark, monkeypatch, tile, block):
     assert {r["doc_id"]: r["component_id"] for r in found} == known
 
 
+def test_only_what_was_proposed_goes_to_the_next_turn(spark):
+    # Star 1 holds sets that cannot link, star 5 a pair that may and a set that cannot.
+    sets = {1: range(0, 100), 2: range(500, 600), 5: range(1000, 1100), 6: range(1001, 1101), 7: range(2000, 2100)}
+    hashed = [np.sort(near_duplicates.mix(np.array(list(v), np.uint64))) for v in sets.values()]
+    maps = near_duplicates.parities(np.concatenate(hashed), np.arange(len(sets) + 1) * 100)
+    known = spark.createDataFrame([(d, 100, bytearray(m)) for d, m in zip(sets, maps)], "doc_id long, n_shingles long, parity binary")
+    starred = spark.createDataFrame([(1, 1, 100), (1, 2, 100), (5, 5, 100), (5, 6, 100), (5, 7, 100)], near_duplicates.STARS)
+    made = near_duplicates.proposed(near_duplicates.first_cells(starred), known, False, partial=True)
+    assert [tuple(r) for r in made.filter("a IS NOT NULL").select("a", "b").collect()] == [(6, 5)]
+    nothing = spark.createDataFrame([], "id long, component long")
+    left = near_duplicates.unsettled(starred, nothing, made)
+    assert sorted(tuple(r) for r in left.collect()) == [(5, 5, 5), (5, 6, 6)]
+    joined = spark.createDataFrame([(5, 5), (6, 5)], "id long, component long")
+    assert near_duplicates.unsettled(left, joined, made).count() == 0
+    # Of the texts only those that pairs name are dealt out.
+    texts = spark.createDataFrame([(i, bytearray(b"x")) for i in range(100)], "id long, body binary")
+    assert sorted(r[0] for r in near_duplicates.asked_texts(texts, spark.createDataFrame([(3,), (4,)], "id long")).collect()) == [3, 4]
+
+
 def test_boundary_follows_the_lists():
     sizes = {3: 1000, 6: 1000, 12: 1000}
     assert near_duplicates.boundary(sizes, 0.0) <= near_duplicates.boundary(sizes, 50.0) <= near_duplicates.boundary(sizes, 1e6)
