@@ -431,6 +431,25 @@ def test_token_store(docs, rows, none):
     assert more.chunks.count() == store.chunks.count() + 1 and token_store.read(more).count() == docs.filter("doc_id < 5").count() + docs.filter("doc_id = 1").count()
 
 
+def test_chunks_of_one_document_are_not_looked_up(docs):
+    store = token_store.write(docs, vocabulary("word_bpe_49k.json"))
+    roots = {r["root"]: r for r in store.documents.collect()}
+    homes = [r for r in store.chunks.collect() if r["home"] is not None]
+    assert homes and all(roots[r["home"]]["recipe"].count(r["digest"]) == 1 for r in homes)
+    assert all(len(r["common"]) == len(r["recipe"]) for r in roots.values())
+    assert "home" in token_store.read(store)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cuts_of_many_streams_are_those_of_each():
+    rng = np.random.default_rng(8)
+    sizes = np.concatenate([rng.integers(1, 900, 60), [1, 15, 16, 17, 9000, 64]])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    ids = rng.integers(0, 5000, at[-1])
+    ids[2000:9000] = 7
+    made = token_store.all_cuts(ids, at)
+    assert [x.tolist() for x in made] == [token_store.cuts(ids[a:b]).tolist() for a, b in zip(at[:-1], at[1:])]
+
+
 def test_chunks_follow_the_content():
     ids = np.random.default_rng(6).integers(0, 5000, 20000)
     ends = token_store.cuts(ids)
