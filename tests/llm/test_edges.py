@@ -136,6 +136,19 @@ def test_parity_maps_never_rule_out_a_link():
             assert set(near_duplicates.proposals(*asked, True)) == {(0, 1), (1, 0)} and near_duplicates.proposals(*asked, False) == [(0, 1)]
 
 
+def test_parity_maps_are_short_and_tell_sets_apart():
+    rng = np.random.default_rng(5)
+    for n, common in ((40, 26), (1000, 800), (5000, 4000)):
+        # Similarities of 0.48 to 0.67: no link; the maps of large sets have four bits a member at most.
+        members = np.unique(rng.integers(0, 1 << 63, 3 * n).astype(np.uint64))
+        members = rng.permutation(members)
+        a, b = np.sort(members[:n]), np.sort(members[n - common : 2 * n - common])
+        maps = near_duplicates.parities(np.concatenate([a, b]), np.array([0, n, 2 * n]))
+        assert all(8 * len(m) <= max(512, 4 * n) for m in maps)
+        both = [np.array([1, 2]), np.array([1, 2]), np.array([n, n]), maps, np.array([True, True]), np.array([True, True])]
+        assert near_duplicates.proposals(*both, True) == []
+
+
 @pytest.mark.parametrize("tile, block", [(4, 3), (16, 1)])
 def test_near_duplicates_in_many_cells(spark, monkeypatch, tile, block):
     # Large stars are cut into cells: near copies, and chains of them that only some members link.
