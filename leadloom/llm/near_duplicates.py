@@ -19,6 +19,8 @@ WORDS = 5
 PERCENT = 80
 #: Bytes of text that a task works on at once.
 SLICE = 1 << 19
+#: Bytes of text whose words are hashed at once: some twenty times as much memory.
+PIECE = 1 << 18
 #: Sizes beyond which the subsets of one set are more than 10^8: never the cheaper way.
 ENUMERABLE = 64
 #: Frequent shingles that are moved to the end of the order of all shingles (8 bytes each are broadcast);
@@ -42,6 +44,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     A-Z are lower-cased, words end at [space, \\t to \\r]; a text of fewer words is one shingle.
     """
     n = len(offsets) - 1
+    if len(data) > PIECE and n > 1:
+        at, parts = 0, []
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
+            parts.append(shingle_sets(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]))
+            at = to
+        return np.concatenate([s for s, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(a) for _, a in parts]))])
     low = np.frombuffer(data.tobytes().lower(), np.uint8)
     word = ~((low == 32) | ((low >= 9) & (low <= 13)))
     first = word.copy()
@@ -146,13 +155,14 @@ def parities(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [packed[a:b] for a, b in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist())]
 
 
-def proposals(doc: np.ndarray, label: np.ndarray, size: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray, every: bool) -> list[tuple[int, int]]:
-    """Pairs (i, j) of a `left` and a `right` member with different labels whose parity maps leave a link possible.
+def proposed_sides(doc: np.ndarray, label: np.ndarray, size: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray, every: bool) -> np.ndarray:
+    """Pairs (i, j), a row each, of a `left` and a `right` member with different labels whose parity maps leave a link possible.
 
     Members come by ascending size. Unless `every` pair is asked for, a pair makes one label of the
     two, so that the pairs are a forest: one less than the labels at most.
     """
-    out: list[tuple[int, int]] = []
+    # Arrays, not tuples: all pairs of a cell may be some millions.
+    out = [np.zeros((0, 2), np.int32)]
     label, places = label.copy(), np.arange(len(doc))
     width = np.array([len(m) for m in maps])
     rows, words, folded = {}, {}, {}
@@ -192,8 +202,14 @@ def proposals(doc: np.ndarray, label: np.ndarray, size: np.ndarray, maps: list[b
             found = found[order]
             found = found[np.append(True, label[found][1:] != label[found][:-1])]
             label[np.isin(label, label[found])] = label[i]
-        out += [(i, j) for j in found.tolist()]
-    return out
+        if len(found):
+            out.append(np.stack([np.full(len(found), i, np.int32), found.astype(np.int32)], axis=1))
+    return np.concatenate(out)
+
+
+def proposals(*members) -> list[tuple[int, int]]:
+    """The pairs of proposed_sides() as tuples."""
+    return [(i, j) for i, j in proposed_sides(*members).tolist()]
 
 
 PROFILE = "doc_id long, n_shingles long, print_high long, print_low long, parity binary, often array<long>, counts array<int>"
@@ -343,7 +359,7 @@ PROPOSED = "a long, b long, star long, component long"
 
 
 def proposed(cells: DataFrame, maps: DataFrame, every: bool, partial: bool = False) -> DataFrame:
-    """What the members of the cells propose, staged: rows with the pairs (a, b), a > b, and rows with the components of a star that are in a pair; see proposals().
+    """What the members of the cells propose, staged: rows with the pairs (a, b), a > b, and rows with the components of a star that are in a pair; see proposed_sides().
 
     Two members of a star whose components are in no pair of it cannot link. `partial` cells, those with members
     that are no right ones, do not meet all pairs of their star: all their components count.
@@ -355,7 +371,7 @@ def proposed(cells: DataFrame, maps: DataFrame, every: bool, partial: bool = Fal
         def made(cell: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(cell)
             size, doc, label, left, right = (table.column(i).to_numpy() for i in range(2, 7))
-            sides = np.array(proposals(doc, label, size, table.column(7).to_pylist(), left, right, every), np.int64).reshape(-1, 2)
+            sides = proposed_sides(doc, label, size, table.column(7).to_pylist(), left, right, every)
             pairs = doc[sides]
             met = np.unique(label if partial and not right.all() else label[sides])
             none = lambda n: pa.nulls(n, pa.int64())

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -149,6 +150,31 @@ def test_parity_maps_are_short_and_tell_sets_apart():
         assert near_duplicates.proposals(*both, True) == []
 
 
+def test_near_duplicates_hold_little_memory():
+    rng = random.Random(41)
+    texts = ["", *(" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.choice((2, 40, 900)))) for _ in range(300)), "x y", ""]
+    data, at = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+
+    def peak(work):
+        tracemalloc.start()
+        out = work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    near_duplicates.Rolling._tables(len(data))
+    assert len(data) > 1.5 * near_duplicates.PIECE
+    (sets, cuts), most = peak(lambda: near_duplicates.shingle_sets(data, at))
+    each = [near_duplicates.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for t in texts]
+    assert [sets[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == [x.tolist() for x in each]
+    assert most < 30 * near_duplicates.PIECE
+    # All 499,500 pairs of a cell of equal maps.
+    n = 1000
+    members = [np.arange(n), np.arange(n), np.full(n, 70), [bytes(64)] * n, np.ones(n, bool), np.ones(n, bool), True]
+    pairs, most = peak(lambda: near_duplicates.proposed_sides(*members))
+    assert pairs.shape == (n * (n - 1), 2) and most < 32 * len(pairs)
+
+
 @pytest.mark.parametrize("tile, block", [(4, 3), (16, 1)])
 def test_near_duplicates_in_many_cells(spark, monkeypatch, tile, block):
     # Large stars are cut into cells: near copies, and chains of them that only some members link.
