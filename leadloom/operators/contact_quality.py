@@ -81,6 +81,9 @@ def contact_quality(contacts: DataFrame, evidence: DataFrame, roles: list[str],
     linked = named & (F.lower(F.concat_ws(" ", "excerpt", "value")).contains(_tidy(F.col("company"))) | F.coalesce(host(F.col("source_url")) == site, F.lit(False)))
     digits = F.regexp_replace("phone_value", "[^0-9]", "")
     assigned = F.exists(F.split("excerpt", r"[.\n]"), lambda s: F.regexp_replace(s, "[^0-9]", "").contains(digits) & F.lower(s).contains(person))
+    # Worked out once a piece, as columns: many flags use them.
+    borne = {"is_named": named, "is_linked": linked}
+    named, linked = F.col("is_named"), F.col("is_linked")
     flags = {
         "any": F.lit(True), "name": named, "linked": linked,
         "title": is_title & (norm == F.col("held")) & (historical == F.col("held_before")),
@@ -88,11 +91,12 @@ def contact_quality(contacts: DataFrame, evidence: DataFrame, roles: list[str],
         "phone": (F.col("kind") == "phone") & (digits != "") & assigned,
     }
     for platform, hosts in PLATFORMS.items():
-        flags[platform] = linked & (F.col("field").isin(platform, f"{platform}Url") | ((F.col("field") == "profileUrl") & F.coalesce(host(F.col("value")).isin(*hosts), F.lit(False))))
+        flags[platform] = linked & (F.col("field").isin(platform, f"{platform}Url") | ((F.col("field") == "profileUrl") & F.coalesce(F.col("value_host").isin(*hosts), F.lit(False))))
     text = F.lower(F.trim(F.regexp_replace("excerpt", r"\s+", " ")))
     source = F.when(F.length(text) >= COPY_CHARS, F.concat(F.lit("copy|"), text)).otherwise(source_key(F.col("source_url"), F.col("source_type")))
     by_source = (
         pieces.join(known.select("contact_id", "held", "held_before", "email_value", "phone_value"), "contact_id")
+        .withColumns(borne | {"value_host": F.when(F.col("field") == "profileUrl", host(F.col("value")))})
         .groupBy("contact_id", F.sha2(source, 256).alias("source"))
         .agg(*(F.max(F.when(F.coalesce(c, F.lit(False)), F.col("retrieved_at"))).alias(k) for k, c in flags.items()))
     )
