@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,10 @@ SLICE_OFTEN, OFTEN = 2, 8
 BLOCK = 4096
 #: Members of a star that one cell compares with each other, about.
 TILE = 4096
-#: Rounds in which a star only proposes a forest of links, before all pairs that may link are proposed.
-FORESTS = 4
+#: Shingles of these members, about, where a cell counts links on whole texts (8 bytes each, and the texts).
+SHINGLES = 1 << 20
+#: Sets that are counted against one at a time.
+COUNTED = 64
 
 _MULTIPLIERS = mix(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
@@ -155,15 +157,12 @@ def parities(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [packed[a:b] for a, b in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist())]
 
 
-def proposed_sides(doc: np.ndarray, label: np.ndarray, size: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray, every: bool) -> np.ndarray:
-    """Pairs (i, j), a row each, of a `left` and a `right` member with different labels whose parity maps leave a link possible.
+def near_sides(doc: np.ndarray, label: np.ndarray, size: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray, once: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each `left` member i the `right` ones with another label whose parity maps leave a link possible, and the bits in which the maps differ.
 
-    Members come by ascending size. Unless `every` pair is asked for, a pair makes one label of the
-    two, so that the pairs are a forest: one less than the labels at most.
+    Members come by ascending size. `label` is looked at anew for each i. With `once`, a pair comes from one of its sides only.
     """
-    # Arrays, not tuples: all pairs of a cell may be some millions.
-    out = [np.zeros((0, 2), np.int32)]
-    label, places = label.copy(), np.arange(len(doc))
+    places = np.arange(len(doc))
     width = np.array([len(m) for m in maps])
     rows, words, folded = {}, {}, {}
     for w in np.unique(width).tolist():
@@ -178,6 +177,8 @@ def proposed_sides(doc: np.ndarray, label: np.ndarray, size: np.ndarray, maps: l
     for i in places[left].tolist():
         reach = slice(low[i], high[i])
         open_ = right[reach] & (label[reach] != label[i]) & (doc[reach] != doc[i])
+        if once and right[i]:
+            open_ &= ~left[reach] | (places[reach] > i)
         if not open_.any():
             continue
         others = places[reach][open_]
@@ -193,9 +194,20 @@ def proposed_sides(doc: np.ndarray, label: np.ndarray, size: np.ndarray, maps: l
                 # 100 * common >= PERCENT * (m + n - common) bounds m + n - 2 * common.
                 may = (100 + PERCENT) * apart <= (100 - PERCENT) * (size[i] + size[some])
                 near.append((some[may], apart[may]))
-        if not near:
-            continue
-        found, apart = np.concatenate([x for x, _ in near]), np.concatenate([x for _, x in near])
+        if near:
+            yield i, np.concatenate([x for x, _ in near]), np.concatenate([x for _, x in near])
+
+
+def proposed_sides(doc: np.ndarray, label: np.ndarray, size: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray, every: bool) -> np.ndarray:
+    """Pairs (i, j), a row each, of a `left` and a `right` member with different labels that near_sides() leaves open.
+
+    Unless `every` pair is asked for, a pair makes one label of the two, so that the pairs are a forest:
+    one less than the labels at most.
+    """
+    # Arrays, not tuples: all pairs of a cell may be some millions.
+    out = [np.zeros((0, 2), np.int32)]
+    label = label.copy()
+    for i, found, apart in near_sides(doc, label, size, maps, left, right):
         if not every and len(found):
             # Of each label the closest member.
             order = np.lexsort((apart, label[found]))
@@ -207,6 +219,35 @@ def proposed_sides(doc: np.ndarray, label: np.ndarray, size: np.ndarray, maps: l
     return np.concatenate(out)
 
 
+def linked_sides(doc: np.ndarray, label: np.ndarray, size: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray, members: Callable[[list[int]], list[np.ndarray]]) -> np.ndarray:
+    """Pairs (i, j), a row each, of a `left` and a `right` member whose sets link, as many as join all labels that links join.
+
+    Every pair of different labels is counted on the sets that `members` gives, unless parity maps rule it
+    out; a link makes one label of the two, so the pairs are one less than the labels at most.
+    """
+    out = [np.zeros((0, 2), np.int64)]
+    label = label.copy()
+    for i, found, apart in near_sides(doc, label, size, maps, left, right, once=True):
+        # The closest first: what they link need not be counted again.
+        found = found[np.argsort(apart, kind="stable")]
+        many = 1
+        while len(found):
+            some, found = found[:many], found[many:]
+            many = min(2 * many, COUNTED)
+            mine, *theirs = members([i, *some.tolist()])
+            sizes = np.array([len(x) for x in theirs])
+            flat = np.concatenate(theirs)
+            same = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+            common = np.add.reduceat(same, np.cumsum(sizes) - sizes, dtype=np.int64)
+            some = some[100 * common >= PERCENT * (len(mine) + sizes - common)]
+            if len(some):
+                some = some[np.unique(label[some], return_index=True)[1]]
+                label[np.isin(label, label[some])] = label[i]
+                out.append(np.stack([np.full(len(some), i), some], axis=1))
+                found = found[label[found] != label[i]]
+    return np.concatenate(out)
+
+
 def proposals(*members) -> list[tuple[int, int]]:
     """The pairs of proposed_sides() as tuples."""
     return [(i, j) for i, j in proposed_sides(*members).tolist()]
@@ -328,13 +369,14 @@ def stars(posted: DataFrame) -> DataFrame:
 def spread(joined: DataFrame) -> DataFrame:
     """Rows (star, cell, doc_id, component, left, right): within each cell, `left` members are to be compared with `right` ones.
 
-    `joined` has star, doc_id and component. Stars of one component are left out. Of two members in
+    `joined` has star, doc_id, component and n_shingles. Stars of one component are left out. Of two members in
     different components one is not in the star's largest component; such members are the left ones.
-    A star of more than TILE members is cut into cells: each block of its left members meets each block of all.
+    A star of more than TILE members or SHINGLES shingles is cut into cells: each block of its left members meets each block of all.
     """
-    parts = joined.groupBy("star", "component").agg(F.count("*").alias("n"))
-    heads = parts.groupBy("star").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top")).filter(F.col("n") > F.col("top.n"))
-    tiles, blocks = F.ceil(F.col("n") / TILE), F.ceil((F.col("n") - F.col("top.n")) / TILE)
+    parts = joined.groupBy("star", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("load"))
+    heads = parts.groupBy("star").agg(F.sum("n").alias("n"), F.sum("load").alias("load"), F.max(F.struct("n", "component", "load")).alias("top")).filter(F.col("n") > F.col("top.n"))
+    tiles = F.ceil(F.greatest(F.col("n") / TILE, F.col("load") / SHINGLES))
+    blocks = F.ceil(F.greatest((F.col("n") - F.col("top.n")) / TILE, (F.col("load") - F.col("top.load")) / SHINGLES))
     minor = F.col("component") != F.col("top.component")
     here = F.pmod(F.xxhash64("doc_id"), F.col("tiles"))
     block = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks"))
@@ -355,30 +397,10 @@ def first_cells(starred: DataFrame) -> DataFrame:
     return rows.unionByName(tops)
 
 
-PROPOSED = "a long, b long, star long, component long"
-
-
-def proposed(cells: DataFrame, maps: DataFrame, every: bool, partial: bool = False) -> DataFrame:
-    """What the members of the cells propose, staged: rows with the pairs (a, b), a > b, and rows with the components of a star that are in a pair; see proposed_sides().
-
-    Two members of a star whose components are in no pair of it cannot link. `partial` cells, those with members
-    that are no right ones, do not meet all pairs of their star: all their components count.
-    """
-    rows = cells.join(maps, "doc_id").select("star", "cell", "n_shingles", "doc_id", "component", "left", "right", "parity")
-    dealt = rows.repartition(partitions(cells.sparkSession), "star", "cell").sortWithinPartitions("star", "cell", "n_shingles", "doc_id")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(cell: list[pa.RecordBatch]) -> pa.RecordBatch:
-            table = pa.Table.from_batches(cell)
-            size, doc, label, left, right = (table.column(i).to_numpy() for i in range(2, 7))
-            sides = proposed_sides(doc, label, size, table.column(7).to_pylist(), left, right, every)
-            pairs = doc[sides]
-            met = np.unique(label if partial and not right.all() else label[sides])
-            none = lambda n: pa.nulls(n, pa.int64())
-            star = pa.array(np.full(len(met), table.column(0)[0].as_py()), pa.int64())
-            columns = ((pa.array(pairs.max(axis=1)), none(len(met))), (pa.array(pairs.min(axis=1)), none(len(met))), (none(len(pairs)), star), (none(len(pairs)), pa.array(met)))
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["a", "b", "star", "component"])
+def by_cell(dealt: DataFrame, made: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """What `made` makes of the rows of each cell that has several; `dealt` has star and cell first and is sorted by them."""
 
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The rows of the cell in hand, which may go on in the next batch.
         kept: list[pa.RecordBatch] = []
         last = None
@@ -391,15 +413,83 @@ def proposed(cells: DataFrame, maps: DataFrame, every: bool, partial: bool = Fal
             for x, y in zip(begins.tolist(), [*begins[1:].tolist(), batch.num_rows]):
                 if (star[x], cell[x]) != last:
                     if sum(p.num_rows for p in kept) > 1:
-                        out.append(made(kept))
+                        out.append(made(pa.Table.from_batches(kept)))
                     kept, last = [], (star[x], cell[x])
                 kept.append(batch.slice(x, y - x))
             if out:
                 yield pa.Table.from_batches(out).combine_chunks().to_batches(max_chunksize=1 << 30)[0] if sum(p.num_rows for p in out) else out[0]
         if sum(p.num_rows for p in kept) > 1:
-            yield made(kept)
+            yield made(pa.Table.from_batches(kept))
+
+    return dealt.mapInArrow(walk, schema)
+
+
+PROPOSED = "a long, b long, star long, component long"
+
+
+def proposed(cells: DataFrame, maps: DataFrame, every: bool, partial: bool = False) -> DataFrame:
+    """What the members of the cells propose, staged: rows with the pairs (a, b), a > b, and rows with the components of a star that are in a pair; see proposed_sides().
+
+    Two members of a star whose components are in no pair of it cannot link. `partial` cells, those with members
+    that are no right ones, do not meet all pairs of their star: all their components count.
+    """
+    rows = cells.join(maps, "doc_id").select("star", "cell", "n_shingles", "doc_id", "component", "left", "right", "parity")
+    dealt = rows.repartition(partitions(cells.sparkSession), "star", "cell").sortWithinPartitions("star", "cell", "n_shingles", "doc_id")
+
+    def made(table: pa.Table) -> pa.RecordBatch:
+        size, doc, label, left, right = (table.column(i).to_numpy() for i in range(2, 7))
+        sides = proposed_sides(doc, label, size, table.column(7).to_pylist(), left, right, every)
+        pairs = doc[sides]
+        met = np.unique(label if partial and not right.all() else label[sides])
+        none = lambda n: pa.nulls(n, pa.int64())
+        star = pa.array(np.full(len(met), table.column(0)[0].as_py()), pa.int64())
+        columns = ((pa.array(pairs.max(axis=1)), none(len(met))), (pa.array(pairs.min(axis=1)), none(len(met))), (none(len(pairs)), star), (none(len(pairs)), pa.array(met)))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["a", "b", "star", "component"])
+
+    return stage(by_cell(dealt, made, PROPOSED), "proposals")
+
+
+def described(texts: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, parity, body) of the rows of bodies() that have a word."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
+        for batch in batches:
+            raw = pa.array([press.decompress(x.as_buffer()) for x in batch.column(1)], pa.large_binary())
+            for part, data, offsets in chunks(batch.append_column("text", raw), limit=2 * SLICE):
+                sets, at = shingle_sets(data, offsets)
+                made = pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at), pa.int64()), pa.array(parities(sets, at), pa.binary()), part.column(1)], names=["doc_id", "n_shingles", "parity", "body"])
+                yield made.filter(pa.array(np.diff(at) > 0))
+
+    return texts.select("id", "body").mapInArrow(look, "doc_id long, n_shingles long, parity binary, body binary")
+
+
+def linked(cells: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (a, b) of the cells, as many as join all components that links of their members join; see linked_sides().
+
+    Pairs are counted where the members meet, so a cell gives fewer rows than it has members, however many pairs
+    may link. `known` has the rows of described().
+    """
+    rows = cells.join(known, "doc_id").select("star", "cell", "n_shingles", "doc_id", "component", "left", "right", "parity", "body")
+    dealt = rows.repartition(partitions(cells.sparkSession), "star", "cell").sortWithinPartitions("star", "cell", "n_shingles", "doc_id")
+
+    def made(table: pa.Table) -> pa.RecordBatch:
+        size, doc, label, left, right = (table.column(i).to_numpy() for i in range(2, 7))
+        press, body = zstandard.ZstdDecompressor(), table.column(8)
+        sets: dict[int, np.ndarray] = {}
+
+        def members(asked: list[int]) -> list[np.ndarray]:
+            new = [i for i in asked if i not in sets]
+            if new:
+                texts = [press.decompress(body[i].as_buffer()) for i in new]
+                every, at = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+                sets.update({i: every[x:y] for i, x, y in zip(new, at[:-1], at[1:])})
+            return [sets[i] for i in asked]
+
+        pairs = doc[linked_sides(doc, label, size, table.column(7).to_pylist(), left, right, members)]
+        return pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], names=["a", "b"])
 
-    return stage(dealt.mapInArrow(compare, PROPOSED), "proposals")
+    return by_cell(dealt, made, "a long, b long").distinct()
 
 
 def bodies(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -518,8 +608,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     all their subsets of the fixed sizes that a link needs, large sets their rarest members; both
     meet in inverted lists, whose members make stars. Members of a star in different components
     are compared by their parity maps, which never rule out a link: first each star proposes a forest of
-    links, then, what is joined being left out, every pair that may link. Proposed pairs are counted on
-    whole texts. So no link is lost, and a group of n near copies costs about n counts.
+    links, and proposed pairs are counted on whole texts. Then, what is joined being left out, the texts of the
+    open stars meet in their cells, where every pair that may link is counted unless its members are
+    joined by then; only links leave a cell. So no link is lost, a group of n near copies costs about n counts,
+    and rows grow with the stars' members, not with their pairs.
 
     Shingles are 64-bit hashes: two different ones are taken for equal in one text of a million words
     among ten million or so.
@@ -552,37 +644,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     starred = stage(stars(postings(texts, stand, small, frequent[order], counts)), "stars")
     maps = rows.select("doc_id", "n_shingles", "parity")
     packed = stage(bodies(texts, starred), "bodies")
-    tried: list[DataFrame] = []
-    joined = None
-    turn = 0
-    while turn <= FORESTS:
-        if joined is None:
-            cells = first_cells(starred)
-        else:
-            left = unsettled(starred, joined, made)
-            discard(starred, made)
-            starred = left
-            if turn == 1:
-                # Maps of documents that no open star has are not looked at again.
-                maps = stage(maps.join(starred.select("doc_id").distinct(), "doc_id", "left_semi"), "maps")
-            cells = spread(starred)
-        made = proposed(cells, maps, turn == FORESTS, partial=joined is None)
-        pairs = made.filter("a IS NOT NULL").select("a", "b").distinct()
-        for seen in tried:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        tried.append(stage(pairs, "pairs"))
-        links = stage(verified(tried[-1], packed), "links")
-        if joined is None:
-            joined = stage(components(links), "components")
-        elif links.isEmpty():
-            # A forest without a new link: what is left is for the last turn.
-            turn = max(turn, FORESTS - 1)
-        else:
-            before, joined = joined, stage(components(_stars(joined).unionByName(links)), "components")
-            discard(before)
-        discard(links)
-        turn += 1
-    discard(starred, made, packed, *tried, *([maps] if turn > 1 and hasattr(maps, "staged_at") else []))
+    made = proposed(first_cells(starred), maps, False, partial=True)
+    pairs = stage(made.filter("a IS NOT NULL").select("a", "b").distinct(), "pairs")
+    links = stage(verified(pairs, packed), "links")
+    joined = stage(components(links), "components")
+    left = unsettled(starred, joined, made)
+    discard(starred, made, pairs, links)
+    known = stage(described(asked_texts(packed, left.select(F.col("doc_id").alias("id")).distinct())), "open")
+    sizes = known.groupBy("doc_id").agg(F.sum("n_shingles").alias("n_shingles"))
+    links = stage(linked(spread(left.join(sizes, "doc_id")), known), "links")
+    if not links.isEmpty():
+        before, joined = joined, stage(components(_stars(joined).unionByName(links)), "components")
+        discard(before)
+    discard(left, known, links, packed)
     # A doc_id whose rows have several sets joins their groups.
     own = rows.join(sets, prints).select("doc_id", *prints, "stands")
     several = own.groupBy("doc_id").agg(F.min("stands").alias("a"), F.max("stands").alias("b"), F.collect_set("stands").alias("all")).filter("a < b")

@@ -214,6 +214,35 @@ def test_only_what_was_proposed_goes_to_the_next_turn(spark):
     assert sorted(r[0] for r in near_duplicates.asked_texts(texts, spark.createDataFrame([(3,), (4,)], "id long")).collect()) == [3, 4]
 
 
+@pytest.mark.parametrize("most", [1 << 20, 3000])
+def test_pairs_that_may_link_are_no_rows(spark, monkeypatch, most):
+    # Sixteen groups of copies whose parity maps leave many pairs of two groups open, of which only those with the last row link.
+    monkeypatch.setattr(near_duplicates, "SHINGLES", most, raising=False)
+    texts = []
+    for place in range(4, 80, 5):
+        for k in range(12):
+            copy = [f"w{i}" for i in range(90)]
+            copy[place] = f"new{place}x{k}"
+            texts.append(copy)
+    # It has a changed word of each of two groups, so that these two join.
+    texts.append([f"w{i}" for i in range(90)])
+    texts[-1][4], texts[-1][9] = "new4x0", "new9x0"
+    random.Random(3).shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    known = components([(i, shingles(t)) for i, t in rows])
+    assert len(set(known.values())) == 15
+    counted, verified = [], near_duplicates.verified
+
+    def count(pairs, texts):
+        counted.append(pairs.count())
+        return verified(pairs, texts)
+
+    monkeypatch.setattr(near_duplicates, "verified", count)
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == known
+    assert sum(counted) < 4 * len(rows)
+
+
 def test_boundary_follows_the_lists():
     sizes = {3: 1000, 6: 1000, 12: 1000}
     assert near_duplicates.boundary(sizes, 0.0) <= near_duplicates.boundary(sizes, 50.0) <= near_duplicates.boundary(sizes, 1e6)
