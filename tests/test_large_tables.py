@@ -74,6 +74,56 @@ def test_pairs_of_shared_keys_come_once_and_unshuffled(spark, monkeypatch):
     assert "Aggregate" not in plan.split("Join Inner", 1)[0]
 
 
+def _sizes_of_parts(monkeypatch, **sizes):
+    for name, size in sizes.items():
+        monkeypatch.setattr(relational, name, size, raising=False)
+
+
+def test_pairs_of_parts_and_chunks_come_once(spark, monkeypatch):
+    _sizes_of_parts(monkeypatch, CUT=3, PART=5, GROUPS=3, CHUNK=2)
+    r = random.Random(8)
+    rows = [(r.choice([None, *range(-40, 80)]), [r.choice(["a", "b", "c", "d", "e", f"own {i}", f"few {i % 40}"]) for _ in range(r.randrange(5))]) for i in range(160)]
+    held = {}
+    for i, keys in rows:
+        held.setdefault(i, set()).update(keys)
+    held.pop(None, None)
+    want = [(a, b) for a in held for b in held if a < b and held[a] & held[b]]
+    made = discovery.duplicate_pairs(spark.createDataFrame(rows, "id long, keys array<string>"))
+    assert made.dtypes == [("a", "bigint"), ("b", "bigint")] and sorted(map(tuple, made.collect())) == sorted(want)
+
+
+def _shuffled(spark, frame):
+    """Rows of `frame`, and the bytes that are shuffled for it."""
+    context = spark.sparkContext
+    none = context._gateway.new_array(spark._jvm.double, 0)
+
+    def stages():
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        found = context._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    known = max(stages(), default=-1)
+    frame.write.format("noop").mode("overwrite").save()
+    return frame.count(), sum(v for k, v in stages().items() if k > known)
+
+
+def test_what_pairs_shuffle_grows_with_rows_not_with_pairs(spark, monkeypatch):
+    _sizes_of_parts(monkeypatch, CUT=20, PART=20, GROUPS=4)
+    found = []
+    # Tables at size are not sent to all tasks.
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for n in (500, 2000):
+            rows = spark.range(n).select("id", F.lit("x").alias("phone"), F.concat(F.lit("own"), "id").alias("name"))
+            found.append(_shuffled(spark, relational.block_pairs(rows, "id", {"phone": F.col("phone"), "name": F.col("name")})))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    (few, small), (many, large) = found
+    assert (few, many) == (500 * 499 // 2, 2000 * 1999 // 2)
+    assert large < 6 * small, found
+
+
 def test_blocks_know_kinds_of_keys(spark):
     rows = spark.createDataFrame([(1, "x", None), (2, "x", ""), (3, "y", "x"), (4, "x", "x"), (5, "", "")], "id int, p string, q string")
     got = relational.block_pairs(rows, "id", {"p": F.col("p"), "q": F.col("q")}).collect()
