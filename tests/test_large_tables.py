@@ -124,6 +124,18 @@ def test_what_pairs_shuffle_grows_with_rows_not_with_pairs(spark, monkeypatch):
     assert large < 6 * small, found
 
 
+def test_pairs_are_written_in_repeating_chunks(spark, tmp_path):
+    k = F.col("id")
+    keys = F.array(F.concat(F.lit("id:"), (k % 7).cast("string")), F.concat(F.lit("website:"), (k % 5).cast("string")))
+    made = discovery.duplicate_pairs(spark.range(4000).select("id", keys.alias("keys")))
+    made.write.parquet(f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"{tmp_path}/pairs").count()
+    shared = [sum(n * (n - 1) // 2 for n in (sum(i % m == r for i in range(4000)) for r in range(m))) for m in (7, 5, 35)]
+    assert pairs == shared[0] + shared[1] - shared[2]
+    written = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert written < pairs, (written, pairs)
+
+
 def test_blocks_know_kinds_of_keys(spark):
     rows = spark.createDataFrame([(1, "x", None), (2, "x", ""), (3, "y", "x"), (4, "x", "x"), (5, "", "")], "id int, p string, q string")
     got = relational.block_pairs(rows, "id", {"p": F.col("p"), "q": F.col("q")}).collect()
